@@ -16,6 +16,8 @@ def with_views(sql: str, *views: str) -> str:
     if not views:
         return sql
     heads = ", ".join(f"{v} AS ({view_oracle(v)})" for v in views)
+    if sql[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {heads}, {sql[15:]}"
     if sql[:5].upper() == "WITH ":
         return f"WITH {heads}, {sql[5:]}"
     return f"WITH {heads} {sql}"

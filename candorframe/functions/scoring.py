@@ -247,5 +247,5 @@ def feedback_quality(answer: Column, p_ai: Column) -> Column:
     score = F.when(answer == "AI", p_ai).otherwise(1 - p_ai)
     suspect = usable & (score < 0.20) & (F.greatest(p_ai, 1 - p_ai) >= 0.80)
     return F.struct(
-        F.when(usable, F.round(score, 3)).otherwise(1.0).alias("quality_score"), F.coalesce(suspect, F.lit(False)).alias("is_suspect")
+        F.when(usable, score).otherwise(1.0).alias("quality_score"), F.coalesce(suspect, F.lit(False)).alias("is_suspect")
     )

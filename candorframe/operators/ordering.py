@@ -121,3 +121,54 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[
         share = rank - F.floor(rank)
         out.append((F.col(f"_a_{name}") + (F.col(f"_b_{name}") - F.col(f"_a_{name}")) * share).alias(name))
     return picked.select(*keys, *out, F.col("_n").alias("n_measured"))
+
+
+def chunked_fold(df: DataFrame, keys: list[str], order: list[str], chunk: Column, fold, schema: str) -> DataFrame:
+    """An order-dependent fold with bounded chunks: ``fold(rows, state) -> (rows_out, state)`` on pandas rows sorted by ``order``.
+
+    ``state`` is any picklable value, None at the start of a key. Keys of one chunk take one pass. For longer keys every chunk is folded
+    in parallel from the state its predecessor ended with in the round before, until no chunk's entry state changes; after r rounds the
+    first r chunks are settled, and folds that forget their start settle in two or three.
+    """
+    import pickle
+
+    import pandas as pd
+
+    src = df.withColumn("_chunk", chunk.cast("bigint"))
+    group = [*keys, "_chunk"]
+    single = src.groupBy(*keys).agg(F.min("_chunk").alias("lo"), F.max("_chunk").alias("hi")).where("lo < hi").limit(1)
+    if not single.take(1):
+
+        def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+            return fold(pdf.sort_values(order, kind="stable").reset_index(drop=True), None)[0]
+
+        return src.groupBy(*group).applyInPandas(alone, schema)
+
+    types = dict(src.dtypes)
+    exit_schema = ", ".join(f"`{k}` {types[k]}" for k in group) + ", exit binary"
+    names = [c.split()[0].strip("`") for c in exit_schema.split(", ")]
+
+    def entry_of(entries: pd.DataFrame):
+        return pickle.loads(entries["entry"].iloc[0]) if len(entries) and entries["entry"].iloc[0] is not None else None
+
+    def leave(pdf: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=names)
+        state = fold(pdf.sort_values(order, kind="stable").reset_index(drop=True), entry_of(entries))[1]
+        return pd.DataFrame([[*(pdf[g].iloc[0] for g in group), pickle.dumps(state)]], columns=names)
+
+    def emit(pdf: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        return fold(pdf.sort_values(order, kind="stable").reset_index(drop=True), entry_of(entries))[0]
+
+    across = W.partitionBy(*keys).orderBy("_chunk")
+    entries = src.select(*group).distinct().withColumn("entry", F.lit(None).cast("binary"))
+    while True:
+        exits = src.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(leave, exit_schema)
+        fresh = durable(exits.select(*group, F.lag("exit").over(across).alias("entry")))
+        moved = fresh.join(entries.withColumnRenamed("entry", "_was"), group, "left").where(~F.col("entry").eqNullSafe(F.col("_was")))
+        settled = not moved.take(1)
+        entries = fresh
+        if settled:
+            return src.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(emit, schema)
