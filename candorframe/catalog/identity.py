@@ -49,7 +49,7 @@ def _(spark, sf):
 @query(
     "media_type",
     """WITH p AS (SELECT link_id, CASE link_id % 6 WHEN 0 THEN '/a/B.JPG' WHEN 1 THEN '/a/b.tar.webm' WHEN 2 THEN '/a/b.flac' WHEN 3 THEN '/a.mp4/readme' WHEN 4 THEN '/a/.png' ELSE url END AS path FROM links)
-       SELECT link_id, CASE link_id % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' WHEN 4 THEN 'image' ELSE 'unknown' END AS modality FROM p""",
+       SELECT link_id, CASE link_id % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' ELSE 'unknown' END AS modality FROM p""",
     ("links",),
 )
 def _(spark, sf):

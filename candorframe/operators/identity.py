@@ -167,8 +167,12 @@ def promotion_log(log: DataFrame) -> DataFrame:
 def promotion_decision(registry: DataFrame, scan: DataFrame, log: DataFrame, accuracy: float | None, min_new: int) -> DataFrame:
     """One row: promoted, reason, folded, cumulative after the decision."""
     new = resolvable(registry.where("status = 'new'"), scan).agg(F.count(F.lit(1))).scalar()
-    chosen = select_for_retrain(registry, scan)
-    sides = chosen.agg(F.count_if(C("side") == "train").alias("n_train"), F.count_if(C("side") == "val").alias("n_val"))
+    kept = resolvable(registry, scan).withColumn("side", partition_split(C("sha256")))
+    train = C("side") == "train"
+    sides = kept.agg(
+        F.count_if(train & (C("status") == "new")).alias("n_fresh"), F.count_if(train & (C("status") == "seen")).alias("n_seen"),
+        F.count_if(C("side") == "val").alias("n_val"),
+    ).withColumn("n_train", C("n_fresh") + F.least(C("n_seen"), F.greatest(F.lit(50), 4 * C("n_fresh"))))
     one = promotion_log(log).withColumn("n_new", new)
     x = one.withColumn("_one", F.lit(1)).join(sides.withColumn("_one", F.lit(1)), "_one")
     acc = F.lit(accuracy).cast("double")
