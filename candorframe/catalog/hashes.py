@@ -16,7 +16,8 @@ HALF_SPARK = "aggregate(sequence(0, 31), 0L, (a, i) -> a + IF(embedding[i + {o}]
 FLIP_SPARK = """aggregate(sequence(0, 3), {h}, (a, j) -> IF(j < vec_id % 4 AND (vec_id * 7 + j * 13) % 64 BETWEEN {o} AND {o} + 31,
  a ^ shiftleft(1L, CAST((vec_id * 7 + j * 13) % 64 - {o} AS INT)), a))"""
 HASH_SPARK = f"""WITH h AS (SELECT vec_id, {HALF_SPARK.format(o=0)} AS lo, {HALF_SPARK.format(o=32)} AS hi FROM {{embeddings}})
- SELECT vec_id AS item_id, hi, lo FROM h UNION ALL SELECT vec_id + 1000000, {FLIP_SPARK.format(h='hi', o=32)}, {FLIP_SPARK.format(h='lo', o=0)} FROM h"""
+ SELECT vec_id + v * 1000000 AS item_id, IF(v = 0, hi, {FLIP_SPARK.format(h='hi', o=32)}) AS hi, IF(v = 0, lo, {FLIP_SPARK.format(h='lo', o=0)}) AS lo
+ FROM h LATERAL VIEW explode(array(0, 1)) x AS v"""
 HALF_DUCK = "list_sum(list_transform(range(0, 32), lambda i: CASE WHEN embedding[i + {o} + 1] > 0 THEN (1::BIGINT << i) ELSE 0 END))::BIGINT"
 FLIP_DUCK = """xor({h}, coalesce(list_sum(list_transform(range(0, vec_id % 4), lambda j: CASE WHEN (vec_id * 7 + j * 13) % 64 BETWEEN {o} AND {o} + 31
  THEN (1::BIGINT << ((vec_id * 7 + j * 13) % 64 - {o})) ELSE 0 END)), 0)::BIGINT)"""
