@@ -23,12 +23,8 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session without one gets a folder of its own.
-    """
-    spark = df.sparkSession
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder for checkpoints: the session's ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,4 +33,10 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir is not set: name a folder that every executor can reach")
             folder = tempfile.mkdtemp(prefix="candorframe-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation."""
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
