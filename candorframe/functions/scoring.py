@@ -32,8 +32,17 @@ FRAME = {"baseline": 0.70, "noise_at": 2.0, "noise_at_sensitive": 2.4, "smooth_a
 UNDECIDED_MARGIN = {"image": (3.0, 24.0, 20.0), "audio": (3.0, 22.0, 18.0), "video": (4.0, 25.0, 20.0)}
 
 
+def at_least(c: Column, low: float) -> Column:
+    """``c`` raised to ``low``; NULL stays NULL (a bare ``greatest`` would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), c))
+
+
+def at_most(c: Column, high: float) -> Column:
+    return F.when(c.isNotNull(), F.least(F.lit(high), c))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def _triple(ai: Column, real: Column, undecided: Column) -> Column:
@@ -42,23 +51,22 @@ def _triple(ai: Column, real: Column, undecided: Column) -> Column:
 
 def normalise_with_margin(ai: Column, real: Column, undecided: Column, floor: float = 3.0, decimals: int = 1) -> Column:
     """struct(ai, real, undecided) scaled together to 100, the undecided share not below ``floor``."""
-    a, r = F.greatest(F.lit(0.0), ai), F.greatest(F.lit(0.0), real)
-    u = F.greatest(F.lit(float(floor)), undecided)
+    a, r = at_least(ai, 0.0), at_least(real, 0.0)
+    u = at_least(undecided, float(floor))
     scale = F.lit(100.0) / (a + r + u)
     pa, pr = F.round(a * scale, decimals), F.round(r * scale, decimals)
-    return F.when(a + r + u <= 0, _triple(F.lit(0.0), F.lit(0.0), F.lit(100.0))).otherwise(
-        _triple(pa, pr, F.round(F.greatest(F.lit(0.0), 100 - (pa + pr)), decimals))
-    )
+    shares = _triple(pa, pr, F.round(F.greatest(F.lit(0.0), 100 - (pa + pr)), decimals))
+    return F.when(a + r + u <= 0, _triple(F.lit(0.0), F.lit(0.0), F.lit(100.0))).when(a + r + u > 0, shares)
 
 
 def normalise_by_gap(ai: Column, real: Column, floor: float = 3.0, decimals: int = 1) -> Column:
     """struct(ai, real, undecided): the closer the two, the larger the undecided share."""
-    a, r = F.greatest(F.lit(0.0), ai), F.greatest(F.lit(0.0), real)
+    a, r = at_least(ai, 0.0), at_least(real, 0.0)
     u = F.greatest(F.lit(float(floor)), (1 - F.least(F.lit(1.0), F.abs(a - r) / 100)) * 20)
     rest = F.greatest(F.lit(0.0), 100 - u)
     pa, pr = F.round(a / (a + r) * rest, decimals), F.round(r / (a + r) * rest, decimals)
-    return F.when(a + r > 0, _triple(pa, pr, F.round(100 - (pa + pr), decimals))).otherwise(
-        _triple(F.lit(0.0), F.lit(0.0), F.lit(100.0))
+    return F.when(a + r > 0, _triple(pa, pr, F.round(100 - (pa + pr), decimals))).when(
+        a + r == 0, _triple(F.lit(0.0), F.lit(0.0), F.lit(100.0))
     )
 
 
@@ -120,15 +128,15 @@ def pixel_terms(c: dict[str, Column], weights: dict[str, float] | None = None) -
     raw_n = gaussian_llr(noise, REAL_NOISE, AI_NOISE, c["noise_offset"])
     raw_s = gaussian_llr(c["smooth"], REAL_SMOOTH, AI_SMOOTH, c["smooth_offset"])
     unreadable = (F.greatest(c["w"], c["h"]) <= SMALL_SIDE) | c["lossy_jpeg"]
-    n = F.when(unreadable, F.least(raw_n, F.lit(0.0))).otherwise(raw_n)
-    s = F.when(unreadable, F.least(raw_s, F.lit(0.0))).otherwise(raw_s)
+    n = F.when(unreadable, at_most(raw_n, 0.0)).otherwise(raw_n)
+    s = F.when(unreadable, at_most(raw_s, 0.0)).otherwise(raw_s)
     against = F.greatest(n, F.lit(0.0)) + F.greatest(s, F.lit(0.0)) >= EXIF_CONTRADICTION
     untrusted = c["has_camera"] & ~c["is_scanned"] & against
     discount = (c["has_camera"] & ~untrusted) | c["is_scanned"]
-    n = F.when(discount, F.least(F.lit(0.15), n)).otherwise(n)
-    n = F.when(c["is_art"], F.greatest(F.lit(0.15), n)).otherwise(n)
-    s = F.when(discount, F.least(F.lit(0.10), s)).otherwise(s)
-    s = F.when(c["is_art"], F.greatest(F.lit(0.20), s)).otherwise(s)
+    n = F.when(discount, at_most(n, 0.15)).otherwise(n)
+    n = F.when(c["is_art"], at_least(n, 0.15)).otherwise(n)
+    s = F.when(discount, at_most(s, 0.10)).otherwise(s)
+    s = F.when(c["is_art"], at_least(s, 0.20)).otherwise(s)
     return {
         "sensor_noise": n * share["noise"],
         "surface_smoothness": s * share["smooth"],
@@ -215,10 +223,10 @@ def score_frame(noise: Column, smooth: Column, sensitivity: str = "balanced") ->
     sensitive = sensitivity in ("high", "aggressive")
     noise_at = FRAME["noise_at_sensitive" if sensitive else "noise_at"]
     smooth_at = FRAME["smooth_at_sensitive" if sensitive else "smooth_at"]
-    p_noise = 1 / (1 + F.exp((F.greatest(F.lit(0.2), noise - FRAME["baseline"]) - noise_at) * 2.0))
+    p_noise = 1 / (1 + F.exp((at_least(noise - FRAME["baseline"], 0.2) - noise_at) * 2.0))
     p_smooth = 1 / (1 + F.exp((smooth - smooth_at) * 1.3))
     score = F.lit(0.5) + (p_noise * 0.55 + p_smooth * 0.45 - 0.5) * 0.4
-    label = F.when(score >= (0.50 if sensitive else 0.60), "LIKELY AI-GENERATED").when(score <= 0.35, "LIKELY REAL").otherwise("UNDECIDED")
+    label = F.when(score >= (0.50 if sensitive else 0.60), "LIKELY AI-GENERATED").when(score <= 0.35, "LIKELY REAL").when(score.isNotNull(), "UNDECIDED")
     return F.struct(score.alias("ai_prob"), label.alias("label"))
 
 

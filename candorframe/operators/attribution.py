@@ -190,7 +190,7 @@ def attribution_rank(media: DataFrame, cues: DataFrame, catalogue: list[str]) ->
             lambda k, i: F.struct((-(F.coalesce(F.try_element_at(C("weights"), k), F.lit(0.0)) + FLOOR) / total).alias("share"), i.alias("at"), k.alias("key")),
         )
     )
-    x = x.withColumn("ranked", ranked).withColumn("declared", F.coalesce(F.size("declared_keys") > 0, F.lit(False)))
+    x = x.withColumn("declared", F.coalesce(F.size("declared_keys") > 0, F.lit(False))).withColumn("ranked", F.when(C("declared"), ranked))
     mine = F.filter("ranked", lambda r: F.array_contains(C("declared_keys"), r["key"]))
     x = x.withColumn("best", F.when(C("declared"), F.get(mine, F.lit(0))))
     share = F.round(-C("best.share") + 1e-9, 2)

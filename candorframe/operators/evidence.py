@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from candorframe.functions.decisions import AI_CLAIMING, AI_STATUSES, REAL_LEANING, SCORE_BACKED, final_status, taxonomy_from_fused
 from candorframe.functions.scoring import PRIORS, clip, finite, normalise_by_gap, probability10
-from candorframe.operators.ordering import position
+from candorframe.operators.ordering import CHUNK, prefix_scan
 
 # Classes that may carry log-odds, classes that reach the trail, the total cap and the display stage order.
 SCORED_CLASSES = ["PHYSICAL_SIGNAL", "LEARNED_SIGNAL", "METADATA_WEAK"]
@@ -54,13 +54,22 @@ def dimension_report(findings: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def evidence_trail(findings: DataFrame, order: list[str]) -> DataFrame:
-    """(media_id, pos, line): FAIL and WARN findings of the weighty classes, stages in order of first appearance."""
-    first = findings.groupBy("media_id", "stage").agg(F.min(F.struct(*order)).alias("_stage_at"))
-    weighty = findings.where(F.col("status").isin("FAIL", "WARN") & F.col("evidence_class").isin(TRAIL_CLASSES))
+def evidence_trail(findings: DataFrame, order: list[str], chunk: int = CHUNK) -> DataFrame:
+    """(media_id, pos, line): FAIL and WARN findings of the weighty classes, stages in order of first appearance.
+
+    ``order`` starts with the finding's number in its media. Lines are numbered inside (media, stage), which is cut into chunks of that
+    number; the lines of earlier stages are added from one row per stage.
+    """
+    weighty = F.col("status").isin("FAIL", "WARN") & F.col("evidence_class").isin(TRAIL_CLASSES)
+    stages = findings.groupBy("media_id", "stage").agg(F.min(F.struct(*order)).alias("_at"), F.count_if(weighty).alias("_lines"))
+    before = W.partitionBy("media_id").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    stages = stages.select("media_id", "stage", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset"))
     line = F.concat(F.lit("["), F.col("evidence_class"), F.lit("] "), F.col("title"), F.lit(": "), F.col("detail"))
-    rows = weighty.join(first, ["media_id", "stage"]).select("media_id", "_stage_at", *order, line.alias("line"))
-    return position(rows, ["media_id"], ["_stage_at", *order, "line"], "pos").select("media_id", "pos", "line")
+    rows = findings.where(weighty).select("media_id", "stage", *order, line.alias("line"))
+    inside = prefix_scan(
+        rows, ["media_id", "stage"], [*order, "line"], sums={"_pos": F.lit(1).cast("bigint")}, chunk=F.expr(f"CAST({order[0]} AS BIGINT) div {chunk}")
+    )
+    return inside.join(stages, ["media_id", "stage"]).select("media_id", (F.col("_offset") + F.col("_pos")).alias("pos"), "line")
 
 
 def key_reasons(reasons: DataFrame, findings: DataFrame, trail: DataFrame, order: list[str], limit: int = 4) -> DataFrame:
