@@ -197,7 +197,7 @@ def _(spark, sf):
     "shift_log_odds",
     """WITH t AS (SELECT media_id, greatest(-1.0, least(1.0, sum(llr))) AS tot FROM findings GROUP BY 1),
        x AS (SELECT media_id, tot, (media_id % 101) / 100 AS p, greatest(0.01, least(0.99, (media_id % 101) / 100)) AS pc FROM t)
-       SELECT media_id, round(CASE WHEN tot = 0 THEN p ELSE greatest(0.01, least(0.99, 1/(1+pow(10.0, -(log10(pc/(1-pc)) + tot))))) END, 6) AS p_shifted FROM x""",
+       SELECT media_id, round(CASE WHEN abs(tot) < 1e-12 THEN p ELSE greatest(0.01, least(0.99, 1/(1+pow(10.0, -(log10(pc/(1-pc)) + tot))))) END, 6) AS p_shifted FROM x""",
     ("findings",),
 )
 def _(spark, sf):

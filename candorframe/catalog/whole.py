@@ -48,7 +48,7 @@ ENT = "(-q*log2(q) - (1-q)*log2(1-q))"
        t0 AS (SELECT media_id, check_id, sum(greatest(-llr_cap, least(llr_cap, llr))) AS term FROM findings WHERE evidence_class IN ('PHYSICAL_SIGNAL','LEARNED_SIGNAL','METADATA_WEAK') AND llr <> 0 GROUP BY 1, 2),
        t1 AS (SELECT media_id, CASE WHEN abs(sum(term)) > 0.40 THEN sum(term)*(0.40/abs(sum(term))) ELSE sum(term) END AS tot FROM t0 GROUP BY 1),
        p0 AS (SELECT media_id, modality, ai_pct/100 AS p, greatest(-1, least(1, coalesce(tot, 0))) AS tot FROM modality_results LEFT JOIN t1 USING (media_id) WHERE media_id IN (SELECT media_id FROM g WHERE gs IS NULL)),
-       p1 AS (SELECT media_id, modality, CASE WHEN tot = 0 THEN p ELSE greatest(0.01, least(0.99, 1/(1+pow(10.0, -(log10(greatest(0.01, least(0.99, p))/(1-greatest(0.01, least(0.99, p))))+tot))))) END AS p FROM p0),
+       p1 AS (SELECT media_id, modality, CASE WHEN abs(tot) < 1e-12 THEN p ELSE greatest(0.01, least(0.99, 1/(1+pow(10.0, -(log10(greatest(0.01, least(0.99, p))/(1-greatest(0.01, least(0.99, p))))+tot))))) END AS p FROM p0),
        p2 AS (SELECT *, greatest(1e-6, least(1-1e-6, p)) AS q FROM p1),
        p3 AS (SELECT media_id, modality, p, CASE modality WHEN 'image' THEN greatest(3.0, least(24.0, 20*{ENT})) WHEN 'audio' THEN greatest(3.0, least(22.0, 18*{ENT})) ELSE greatest(4.0, least(25.0, 20*{ENT})) END AS mg FROM p2),
        p4 AS (SELECT media_id, modality, round(p*100*(100/(100+mg)), 1) AS ai_pct, round((1-p)*100*(100/(100+mg)), 1) AS real_pct FROM p3),

@@ -97,9 +97,12 @@ def finite(c: Column) -> Column:
 
 
 def shift_log_odds(p: Column, total: Column) -> Column:
-    """Shift p by a base-10 log-odds total held within +/-1; a zero or missing total leaves p as it is."""
+    """Shift p by a base-10 log-odds total held within +/-1; a zero or missing total leaves p as it is.
+
+    Terms that cancel sum to zero or to the last bit of a double, depending on the order, so zero is read with a tolerance.
+    """
     t = clip(F.coalesce(total, F.lit(0.0)), -1.0, 1.0)
-    return F.when(t == 0, p).otherwise(clip(probability10(log_odds10(clip(p, 0.01, 0.99)) + t), 0.01, 0.99))
+    return F.when(F.abs(t) < 1e-12, p).otherwise(clip(probability10(log_odds10(clip(p, 0.01, 0.99)) + t), 0.01, 0.99))
 
 
 def sum_of_terms(terms: Column) -> Column:

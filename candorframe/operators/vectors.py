@@ -259,6 +259,7 @@ def _elect(faces: DataFrame, threshold: float, block: int, piece: int = 4_096) -
         found = fresh.select("album", "pos")
         leaders = found if leaders is None else leaders.unionByName(found)
         panel = state.select("album", "piece").distinct().join(fresh, "album")
+        panel = panel.select(*[C(c).alias(c) for c in panel.columns])
         state = durable(state.groupBy("album", "piece").cogroup(panel.groupBy("album", "piece")).applyInPandas(compare, schema))
     numbered = position(leaders, ["album"], ["pos"], "group_no").withColumnRenamed("pos", "leader")
     return state.select("album", "pos", F.coalesce("leader", "pos").alias("leader")).join(numbered, ["album", "leader"]).select("album", "pos", "group_no")
