@@ -76,11 +76,13 @@ def binary_entropy(p: Column) -> Column:
 
 
 def undecided_margin(p: Column, modality: Column) -> Column:
-    h = binary_entropy(p)
-    out = F
-    for name, (low, high, factor) in UNDECIDED_MARGIN.items():
-        out = out.when(modality == name, clip(h * factor, low, high))
-    return out
+    def pick(i: int) -> Column:
+        out = F
+        for name, limits in UNDECIDED_MARGIN.items():
+            out = out.when(modality == name, F.lit(limits[i]))
+        return out
+
+    return F.when(p.isNotNull() & pick(0).isNotNull(), F.greatest(pick(0), F.least(pick(1), binary_entropy(p) * pick(2))))
 
 
 def log_odds10(p: Column) -> Column:

@@ -41,7 +41,10 @@ def injection_matches(fields: DataFrame) -> DataFrame:
         begin = F.greatest(F.lit(1), start - 20)
         cut = F.substr(F.col("text"), begin, F.least(F.lit(160), start + length + 20 - begin))
         hits.append(F.when(start > 0, F.struct(F.lit(n).alias("pattern"), cut.alias("snippet"))))
-    return fields.select("media_id", "field", F.explode(F.array_compact(F.array(*hits))).alias("m")).select("media_id", "field", "m.pattern", "m.snippet")
+    # One pass decides whether a field matches at all. explode_outer keeps Spark from evaluating the whole array once more as a filter.
+    any_hit = F.col("text").rlike("(?iU)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS))
+    rows = fields.where(any_hit).select("media_id", "field", F.explode_outer(F.array(*hits)).alias("m"))
+    return rows.where("m IS NOT NULL").select("media_id", "field", "m.pattern", "m.snippet")
 
 
 def injection_findings(fields: DataFrame) -> DataFrame:

@@ -93,7 +93,8 @@ def _first(conditions: list[tuple[Column, Column]]) -> Column:
 
 
 def _explode(df: DataFrame, cues: list[Column]) -> DataFrame:
-    return df.select("media_id", F.explode(F.array_compact(F.array(*cues))).alias("c")).select("media_id", "c.*")
+    # explode_outer keeps Spark from evaluating the whole array of cues once more as a filter.
+    return df.select("media_id", F.explode_outer(F.array(*cues)).alias("c")).where("c IS NOT NULL").select("media_id", "c.*")
 
 
 def image_cues(df: DataFrame) -> DataFrame:

@@ -40,18 +40,17 @@ def dimension_report(findings: DataFrame, order: list[str]) -> DataFrame:
 
     The findings grouped by stage are the findings table itself; only bounded aggregates are gathered per media.
     """
-    at = F.struct(*order)
     per_stage = findings.groupBy("media_id", "stage").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES],
-        F.min(F.when((F.col("evidence_class") == "RELIABILITY") & F.col("level").isNotNull(), F.struct(at.alias("at"), F.col("level")))).alias("_first"),
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES]
     )
-    return per_stage.groupBy("media_id").agg(
+    counts = per_stage.groupBy("media_id").agg(
         F.sum("n").alias("total"),
         *[F.sum(s.lower()).alias(s.lower()) for s in STATUSES],
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "n")))).alias("by_stage"),
-        F.min("_first").getField("level").alias("reliability_level"),
     )
+    reliable = findings.where((F.col("evidence_class") == "RELIABILITY") & F.col("level").isNotNull())
+    first = reliable.groupBy("media_id").agg(F.min(F.struct(*order, "level")).getField("level").alias("reliability_level"))
+    return counts.join(first, "media_id", "left")
 
 
 def evidence_trail(findings: DataFrame, order: list[str], chunk: int = CHUNK) -> DataFrame:
@@ -119,17 +118,16 @@ def log_ratio(ai_pct: Column, real_pct: Column) -> Column:
     return F.ln(clip(ai_pct / 100, 1e-4, 1 - 1e-4) / clip(real_pct / 100, 1e-4, 1 - 1e-4))
 
 
-def fused_percentages(pooled: Column) -> Column:
-    odds = F.exp(clip(pooled, -6.0, 6.0))
-    p = odds / (1 + odds)
-    return normalise_by_gap(p * 100, (1 - p) * 100)
+def logistic(pooled: Column) -> Column:
+    """Probability of pooled natural log-odds held within +/-6."""
+    return 1 / (1 + F.exp(-clip(pooled, -6.0, 6.0)))
 
 
 def fuse_modalities(evidence: DataFrame) -> DataFrame:
     """(media_id, p_ai, p_real, p_undecided) from weighted natural-log-odds pooling, one partial sum per map task."""
     pooled = evidence.groupBy("media_id").agg(F.sum(F.col("weight") * log_ratio(F.col("ai_pct"), F.col("real_pct"))).alias("pooled"))
-    f = fused_percentages(F.col("pooled"))
-    return pooled.select("media_id", f.alias("f")).select(
+    p = pooled.select("media_id", logistic(F.col("pooled")).alias("p"))
+    return p.select("media_id", normalise_by_gap(F.col("p") * 100, (1 - F.col("p")) * 100).alias("f")).select(
         "media_id", F.col("f.ai").alias("p_ai"), F.col("f.real").alias("p_real"), F.col("f.undecided").alias("p_undecided")
     )
 
@@ -191,7 +189,9 @@ def decide(df: DataFrame) -> DataFrame:
     any_evidence = img | vid | aud | declared
     alone = c("img_state").isNotNull() & ~vid & ~F.coalesce(c("aud_ai") + c("aud_real") > 0, F.lit(False))
 
-    step = df.withColumns({"_f": fused_percentages(pooled), "_any": any_evidence, "_alone": alone, "_declared": declared})
+    # Each stage is a column of its own: the later ones mention the earlier ones many times.
+    step = df.withColumns({"_pooled": pooled, "_any": any_evidence, "_alone": alone, "_declared": declared})
+    step = step.withColumn("_p", logistic(c("_pooled"))).withColumn("_f", normalise_by_gap(c("_p") * 100, (1 - c("_p")) * 100))
     step = step.withColumns(
         {
             "_ai": F.when(c("_alone"), c("img_ai")).otherwise(c("_f.ai")),

@@ -92,7 +92,7 @@ def calibrate(feedback: DataFrame, modality: str, order: list[str], chunk: int =
     """
     answers = feedback.withColumn("user_label", F.upper(F.trim("user_label"))).where(C("user_label").isin("AI", "REAL"))
     once = position(dedupe_feedback(answers, order), [], [*order, "sha256", "user_label"], "n")
-    moves = once.select("n", F.explode(F.array_compact(F.array(*_moves(modality)))).alias("m")).select("n", "m.*")
+    moves = once.select("n", F.explode_outer(F.array(*_moves(modality))).alias("m")).where("m IS NOT NULL").select("n", "m.*")
     pieces = _fold(moves.withColumn("chunk", F.expr(f"n div {chunk}")), ["param", "chunk"], "n")
     total = _fold(pieces, ["param"], "n")
     spark = feedback.sparkSession

@@ -19,8 +19,8 @@ def modality_percentages(scores: DataFrame, findings: DataFrame) -> DataFrame:
     total = cap_evidence(findings).groupBy("media_id").agg(F.sum("term").alias("total"))
     p = shift_log_odds(C("p_ai"), C("total"))
     shifted = scores.join(total, "media_id", "left").withColumn("p", p)
-    margin = undecided_margin(C("p"), C("modality"))
-    x = normalise_with_margin(C("p") * 100, (1 - C("p")) * 100, margin)
+    shifted = shifted.withColumn("margin", undecided_margin(C("p"), C("modality")))
+    x = normalise_with_margin(C("p") * 100, (1 - C("p")) * 100, C("margin"))
     return shifted.select("media_id", "modality", x.alias("x")).select("media_id", "modality", "x.*")
 
 
