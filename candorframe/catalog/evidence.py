@@ -72,8 +72,8 @@ def _(spark, sf):
     return r.withColumn("by_stage", text)
 
 
-TRAIL_SQL = """SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY st, seq, check_id, status, evidence_class, llr) - 1 AS pos, line FROM (
- SELECT media_id, seq, check_id, status, evidence_class, llr, '[' || evidence_class || '] check ' || check_id || ': row ' || seq::VARCHAR AS line,
+TRAIL_SQL = """SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY st, stage, seq, check_id, status, evidence_class, llr) - 1 AS pos, line FROM (
+ SELECT media_id, stage, seq, check_id, status, evidence_class, llr, '[' || evidence_class || '] check ' || check_id || ': row ' || seq::VARCHAR AS line,
   min({'a': seq, 'b': check_id, 'c': status, 'd': evidence_class, 'e': llr}) OVER (PARTITION BY media_id, stage) AS st FROM findings) q
  WHERE status IN ('FAIL','WARN') AND evidence_class IN ('SECURITY','METADATA_WEAK','PHYSICAL_SIGNAL','LEARNED_SIGNAL')"""
 

@@ -24,16 +24,18 @@ FACE_GROW = 0.3
 TEXTURE = {"waxy": 3.2, "noise": 1.8, "high": 0.70, "suspicious": 0.45}
 
 
-def _cells(x: Column, y: Column, w: Column, h: Column, cell: float) -> Column:
-    def span(lo: Column, size: Column) -> Column:
-        return F.sequence(F.floor(lo / cell), F.floor((lo + size) / cell))
+def _cells(x: Column, y: Column, x1: Column, y1: Column, cell: float) -> Column:
+    """One row per grid cell that the box touches."""
 
-    return F.explode(F.flatten(F.transform(span(x, w), lambda i: F.transform(span(y, h), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
+    def span(lo: Column, hi: Column) -> Column:
+        return F.sequence(F.floor(lo / cell), F.floor(hi / cell))
+
+    return F.explode(F.flatten(F.transform(span(x, x1), lambda i: F.transform(span(y, y1), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
 
 
 def _side(df: DataFrame, prefix: str, keep: list[str], cell: float) -> DataFrame:
     cols = [C(c).alias(f"{prefix}_{c}") for c in (*keep, "x", "y", "w", "h")]
-    return df.where("w > 0 AND h > 0").select("image_id", *cols, _cells(C("x"), C("y"), C("w"), C("h"), cell).alias("cell"))
+    return df.where("w > 0 AND h > 0").select("image_id", *cols, _cells(C("x"), C("y"), C("x") + C("w"), C("y") + C("h"), cell).alias("cell"))
 
 
 def overlap_pairs(a: DataFrame, b: DataFrame, keep: list[str], distinct: Column | None = None, cell: float = CELL) -> DataFrame:
@@ -54,11 +56,11 @@ def overlap_pairs(a: DataFrame, b: DataFrame, keep: list[str], distinct: Column
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataFrame:
-    """Join of ``points`` (image_id, px, py, ...) with the ``boxes`` (image_id, x, y, w, h, ...) that contain them, edges included."""
+    """Join of ``points`` (image_id, px, py, ...) with the ``boxes`` (image_id, x, y, x1, y1, ...) that contain them, edges included."""
     p = points.withColumn("cell", F.struct(F.floor(C("px") / cell).alias("i"), F.floor(C("py") / cell).alias("j")))
-    b = boxes.where("w >= 0 AND h >= 0").withColumn("cell", _cells(C("x"), C("y"), C("w"), C("h"), cell))
-    inside = (C("px") >= C("x")) & (C("px") <= C("x") + C("w")) & (C("py") >= C("y")) & (C("py") <= C("y") + C("h"))
-    return p.join(b, ["image_id", "cell"]).where(inside).drop("cell")
+    sound = boxes.where("x1 >= x AND y1 >= y")
+    b = sound.withColumn("cell", _cells(C("x"), C("y"), C("x1"), C("y1"), cell))
+    return p.join(b, ["image_id", "cell"]).where(C("px").between(C("x"), C("x1")) & C("py").between(C("y"), C("y1"))).drop("cell")
 
 
 def iou_join(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -74,8 +76,8 @@ def match_annotations(subjects: DataFrame, truth: DataFrame) -> DataFrame:
     """
     gw, gh = (C("fx1") - C("fx0")) * FACE_GROW, (C("fy1") - C("fy0")) * FACE_GROW
     grown = truth.select(
-        "image_id", "ann_id", (C("fx0") - gw).alias("x"), (C("fy0") - gh).alias("y"), (C("fx1") - C("fx0") + 2 * gw).alias("w"),
-        (C("fy1") - C("fy0") + 2 * gh).alias("h"), ((C("fx0") + C("fx1")) / 2).alias("gx"), ((C("fy0") + C("fy1")) / 2).alias("gy"),
+        "image_id", "ann_id", (C("fx0") - gw).alias("x"), (C("fy0") - gh).alias("y"), (C("fx1") + gw).alias("x1"),
+        (C("fy1") + gh).alias("y1"), ((C("fx0") + C("fx1")) / 2).alias("gx"), ((C("fy0") + C("fy1")) / 2).alias("gy"),
     )
     centres = subjects.where("fx IS NOT NULL").select("image_id", "subject_id", (C("fx") + C("fw") / 2).alias("px"), (C("fy") + C("fh") / 2).alias("py"))
     dx, dy = C("px") - C("gx"), C("py") - C("gy")
@@ -146,7 +148,7 @@ def pair_faces_persons(faces: DataFrame, persons: DataFrame, limit: int = GROUP_
     Input: image_id, box_id, x, y, w, h on both sides. Ties go to the lower box_id.
     """
     f = faces.select("image_id", C("box_id").alias("face_id"), (C("w") * C("h")).alias("f_area"), (C("x") + C("w") / 2).alias("px"), (C("y") + C("h") / 2).alias("py"))
-    p = persons.select("image_id", C("box_id").alias("person_id"), (C("w") * C("h")).alias("p_area"), "x", "y", "w", "h")
+    p = persons.select("image_id", C("box_id").alias("person_id"), (C("w") * C("h")).alias("p_area"), "x", "y", (C("x") + C("w")).alias("x1"), (C("y") + C("h")).alias("y1"))
     owners = points_in_boxes(f, p).select("image_id", "face_id", "f_area", "person_id", "p_area")
     small, big = _by_size(owners, limit)
     at = F.struct((-C("f_area")).alias("fa"), "face_id", "p_area", "person_id")

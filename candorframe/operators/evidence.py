@@ -61,7 +61,7 @@ def evidence_trail(findings: DataFrame, order: list[str], chunk: int = CHUNK) ->
     """
     weighty = F.col("status").isin("FAIL", "WARN") & F.col("evidence_class").isin(TRAIL_CLASSES)
     stages = findings.groupBy("media_id", "stage").agg(F.min(F.struct(*order)).alias("_at"), F.count_if(weighty).alias("_lines"))
-    before = W.partitionBy("media_id").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("media_id").orderBy("_at", "stage").rowsBetween(W.unboundedPreceding, -1)
     stages = stages.select("media_id", "stage", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset"))
     line = F.concat(F.lit("["), F.col("evidence_class"), F.lit("] "), F.col("title"), F.lit(": "), F.col("detail"))
     rows = findings.where(weighty).select("media_id", "stage", *order, line.alias("line"))
