@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candorframe.llm import minhash, packing, secrets
+from candorframe.llm import minhash, packing, secrets, warc
 from candorframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,19 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_secret_scan")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
+SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+       CASE WHEN f.first IS NULL OR f.first = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.h = f.h
+"""
+
+
+@query("op1_warc_round_trip", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(read(spark, sf_dir, "pages"), shard_bytes=16 << 20, file_bytes=8 << 20)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
