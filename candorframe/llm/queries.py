@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candorframe.llm import minhash, packing, secrets, warc
+from candorframe.llm import minhash, packing, secrets, urltree, warc
 from candorframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,20 @@ FROM p LEFT JOIN f ON p.h = f.h
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(read(spark, sf_dir, "pages"), shard_bytes=16 << 20, file_bytes=8 << 20)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# The rules of the contract.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: A page shows the document whose number ends its path; that document's labels are the page's.
+SHOWN = {
+    engine: f"""SELECT p.url, l.quality = 1 AND l.toxic = 0 AS good FROM {pages} p JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM {labels} GROUP BY doc_id) l
+        ON l.doc_id = TRY_CAST(regexp_extract(p.url, '/([0-9]+)([.][A-Za-z]+)?/?([?#]|$)', 1) AS BIGINT) WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL"""
+    for engine, pages, labels in (("spark", "{pages}", "{labels}"), ("duckdb", "pages", "labels"))
+}
+
+
+@query("op9_url_tree", urltree.oracle(URL_RULES, SHOWN["duckdb"]))
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
+    labelled = spark.sql(SHOWN["spark"], pages=pages.select("url"), labels=labels)
+    return urltree.judge_pages(pages, labelled, URL_RULES)
