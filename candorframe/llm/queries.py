@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candorframe.llm import minhash, packing, secrets, urltree, warc
+from candorframe.llm import minhash, onebit, packing, secrets, urltree, warc
 from candorframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, labels = read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels")
     labelled = spark.sql(SHOWN["spark"], pages=pages.select("url"), labels=labels)
     return urltree.judge_pages(pages, labelled, URL_RULES)
+
+
+@query("op10_one_bit_search")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
