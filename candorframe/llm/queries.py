@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candorframe.llm import minhash, onebit, packing, secrets, urltree, warc
+from candorframe.llm import minhash, multiindex, onebit, packing, secrets, urltree, warc
 from candorframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_one_bit_search")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit.nearest(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
+@query("op8_multi_index_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.near_duplicates(read(spark, sf_dir, "embeddings"))
