@@ -4,9 +4,10 @@ A text is the set of its five-word shingles. One hash puts every shingle into on
 empty bin borrows from the first filled one in an order of its own (optimal densification), so equal sets keep equal values and every bin
 agrees with probability equal to the similarity. Bins are read in bands; texts that share a band meet in its bucket.
 
-Candidates of a bucket are stars: its most central text against the others, never all pairs. Verified links join components; a bucket whose
-texts still lie in several components gets further stars, from its rarest component first, until every candidate pair is either verified or
-inside one component. So no candidate is lost, and a bucket of n copies costs about n pairs. Verification counts the full shingle sets.
+Candidates of a bucket are stars: its most central text against the others, so a bucket of n copies costs about n pairs. Verified links join
+components. What then still lies in several components of one bucket is compared block against block inside tasks, which return one edge per
+text and never their pairs. So every two texts of a bucket are either compared or inside one component, and no candidate is lost. Verification
+counts the full shingle sets.
 
 Sets that are equal are one node from the start, whatever the number of their documents.
 """
@@ -19,18 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import WordHash, drop_stage, mix64, signed, stage, words
+from candorframe.llm.common import WordHash, mix64, signed, stage, words
 from candorframe.llm.graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
 BINS = BANDS * ROWS
-#: Buckets up to this many open texts compare them all at once; larger ones take stars.
-SMALL_BUCKET = 24
-MOST_STARS = 32
+#: Rounds of stars before what is still open is compared in blocks of this many texts.
+STARS, BLOCK = 2, 256
+#: A clump of buckets is compared as one while it has at most this many times the pairs of its buckets.
+SPARSE = 8
 #: Bits of the filter that tells which documents must be read again; at most 2 ** 20 words of it reach the driver (16 MB).
 FILTER_BITS = 26
 
@@ -127,7 +128,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for i in range(0, len(sets), 512):
                 part = sets[i : i + 512]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(s) for s in part], pa.int64()), pa.array([signed(s) for s in part], pa.list_(pa.int64()))], names=["node", "shingles"]
+                    [pa.array([_node(s) for s in part], pa.int64()), pa.array([signed(s) for s in part], pa.list_(pa.int64()))],
+                    names=["node", "shingles"],
                 )
 
     src = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
@@ -136,27 +138,94 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "node bigint, shingles array<bigint>")
 
 
-def _stars(open_: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, n_a, n_b) of each open bucket: its first ``most`` texts by rarity of component, then centrality, against the rest; and
-    those texts (bucket, node).
+def _star(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each open bucket: one text of its rarest component, the most central of them, against those of other components.
 
-    ``open_``: bucket, node, comp, n, central, size (texts in the bucket). Small buckets give all their pairs, at most SMALL_BUCKET squared.
-    The rank keeps at most ``most`` rows of a bucket before the shuffle, so a hot bucket never gathers in one task.
+    ``open_``: bucket, node, comp, central. The centre is an aggregate, so a hot bucket combines before the shuffle.
     """
-    weight = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("rarity"))
-    ranked = open_.join(weight, ["bucket", "comp"])
-    first = W.partitionBy("bucket").orderBy("rarity", F.desc("central"), "node")
-    top = ranked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= max(most, SMALL_BUCKET)).where(
-        (F.col("rank") <= most) | (F.col("size") <= SMALL_BUCKET)
+    rarity = open_.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("rarity"), F.min_by(F.struct("node", "central"), F.struct(-F.col("central"), "node")).alias("best"))
+    first = F.struct("rarity", -F.col("best.central"), "best.node")
+    centre = rarity.groupBy("bucket").agg(F.min_by(F.struct("best.node", "comp"), first).alias("c"))
+    met = open_.join(centre, "bucket").where("comp <> c.comp")
+    return met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
+    same = F.size(F.array_intersect("s_a", "s_b"))
+    return pairs.join(left, "a").join(right, "b").where(same * 100 >= (F.size("s_a") + F.size("s_b") - same) * percent).select("a", "b").distinct()
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share: products of slices of the incidence matrix, so its width does not matter."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    shared = times[code] > 1
+    owner, code = owner[shared], code[shared]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((n, n), np.float64)
+    step = 1 << 14
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, step):
+        at = slice(*np.searchsorted(code, [low, low + step]))
+        if at.start < at.stop:
+            used, column = np.unique(code[at], return_inverse=True)
+            part = np.zeros((n, len(used)), np.float32)
+            part[owner[at], column] = 1
+            out += part @ part.T
+    return out
+
+
+def _tiles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join what is left in open buckets: all its texts of different components are compared, block against block.
+
+    Buckets that overlap form a clump and are compared once as such, unless a clump is mostly pairs that share no bucket: then each of its
+    buckets is a group for itself. A task holds two blocks of a group and returns one edge per text at most, never its pairs.
+    """
+    low = open_.groupBy("bucket").agg(F.min("node").alias("b"))
+    clump = components(open_.join(low, "bucket").select(F.col("node").alias("a"), "b")).withColumnRenamed("root", "clump")
+    placed = open_.join(clump, "node")
+    per_bucket = placed.groupBy("clump", "bucket").agg(F.count(F.lit(1)).alias("m")).groupBy("clump").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+    per_clump = placed.select("clump", "node").distinct().groupBy("clump").agg(F.count(F.lit(1)).alias("m"))
+    dense = per_bucket.join(per_clump, "clump").select("clump", (F.col("m") * F.col("m") <= SPARSE * F.col("pairs")).alias("dense"))
+    member = placed.join(dense, "clump").select(F.when(F.col("dense"), F.col("clump")).otherwise(F.col("bucket")).alias("group"), "dense", "node", "comp").distinct()
+    size = member.groupBy("group", "dense").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = member.join(size, ["group", "dense"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tile = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "group", "dense", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "own"
     )
-    centre = top.select("bucket", F.col("node").alias("c"), F.col("comp").alias("comp_c"), F.col("n").alias("n_c"), "rank")
-    rest = open_.join(top.select("bucket", "node", F.col("rank").alias("own")), ["bucket", "node"], "left")
-    met = rest.join(centre, "bucket").where((F.col("comp") != F.col("comp_c")) & (F.col("own").isNull() | (F.col("own") > F.col("rank"))))
-    lo = F.col("c") < F.col("node")
-    return met.select(
-        F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b"),
-        F.when(lo, F.col("n_c")).otherwise(F.col("n")).alias("n_a"), F.when(lo, F.col("n")).otherwise(F.col("n_c")).alias("n_b"),
-    ), top.select("bucket", "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, comp, own = (table.column(c).to_numpy() for c in ("node", "comp", "own"))
+        lists = table.column("shingles").combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        sets_ = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        size_ = np.array([len(x) for x in sets_], np.float64)
+        common = _common(sets_)
+        linked = (common * 100 >= (size_[:, None] + size_ - common) * percent) & (comp[:, None] != comp)
+        # One edge to the smallest text that a text is joined to here.
+        root = node.copy()
+        rows, cols = np.nonzero(linked)
+        while True:
+            before = root.copy()
+            np.minimum.at(root, rows, root[cols])
+            if (before == root).all():
+                break
+        hit = root != node
+        return pa.table([pa.array(node[hit]), pa.array(root[hit])], names=["a", "b"])
+
+    whole = tile.join(sets, "node")
+    return whole.groupBy("group", "dense", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _still_open(open_: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows of buckets whose texts lie in several components, with those components."""
+    now = open_.drop("comp").join(comps.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    return now.join(split, "bucket")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -180,37 +249,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     known = stage(central.join(nodes, "node"), "nodes")
     sets = stage(full_sets(docs, known.select("node", "doc_id")), "sets")
 
-    open_ = stage(member.join(known.select("node", "n", "central"), "node").withColumn("comp", F.col("node")), "open")
+    open_ = member.join(known.select("node", "central"), "node").select("bucket", "node", "central", F.col("node").alias("comp"))
     links: DataFrame | None = None
-    tried: DataFrame | None = None
-    comps: DataFrame | None = None
-    most = 1
-    while not open_.isEmpty():
-        pairs, used = _stars(open_, most)
-        fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-        pairs = pairs.where(fits).select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s_a"))
-        right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("s_b"))
-        same = F.size(F.array_intersect("s_a", "s_b"))
-        judged = pairs.join(left, "a").join(right, "b").select("a", "b", (same * 100 >= (F.size("s_a") + F.size("s_b") - same) * percent).alias("linked"))
-        judged = stage(judged.distinct(), "judged")
-        fresh = judged.where("linked").select("a", "b")
-        tried = judged.select("a", "b") if tried is None else stage(tried.unionByName(judged.select("a", "b")), "tried")
-        if not fresh.isEmpty():
-            links = fresh if links is None else stage(links.unionByName(fresh), "links")
-            comps = stage(components(links), "components")
-        # A text that has met its whole bucket leaves it; so does a bucket that lies in one component.
-        again = open_.join(used, ["bucket", "node"], "left_anti").drop("comp", "size")
-        again = again.join(comps.withColumnRenamed("root", "comp"), "node", "left") if comps is not None else again.withColumn("comp", F.lit(None).cast("bigint"))
-        again = again.withColumn("comp", F.coalesce("comp", "node"))
-        split = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket", "size")
-        then = stage(again.join(split, "bucket"), "open")
-        drop_stage(open_)
-        open_, most = then, min(2 * most, MOST_STARS)
-    if comps is None:
-        comps = known.select("node", F.col("node").alias("root")).limit(0)
+    for _ in range(STARS):
+        open_ = stage(open_, "open")
+        fresh = stage(_verified(_star(open_), sets, percent), "links")
+        links = fresh if links is None else links.unionByName(fresh)
+        open_ = _still_open(open_, stage(components(links), "components"))
+    open_ = stage(open_, "open")
+    if not open_.isEmpty():
+        links = links.unionByName(stage(_tiles(open_, sets, percent), "links"))
+    comps = stage(components(links), "components")
     # The smallest document of a component; only linked sets take part, the others stand for themselves.
     tied = nodes.join(comps, "node")
     low = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
