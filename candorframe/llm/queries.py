@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candorframe.llm import minhash, multiindex, onebit, packing, secrets, urltree, warc
+from candorframe.llm import minhash, multiindex, onebit, packing, quality, secrets, urltree, warc
 from candorframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_multi_index_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query("op5_weak_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"))

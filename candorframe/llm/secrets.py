@@ -1,7 +1,7 @@
 """Secret scans over a trigram index.
 
 Every rule is a regular expression. From its parse tree comes a Boolean query over trigrams that each matching text must hold: literals in a row
-give an AND of their trigrams, alternatives an OR, anything else nothing. Documents are indexed segment by segment (an Arrow batch): one pass
+give an AND of their trigrams, alternatives an OR, anything else nothing. Documents are indexed segment by segment (a slice of an Arrow batch): one pass
 over the bytes finds the trigrams that some rule asks for and lists the documents of each. A rule's postings are united and intersected by its
 query, and only the documents that remain are searched with the expression. A rule without a mandatory trigram searches every document.
 
@@ -11,7 +11,6 @@ A segment's index lives as long as its batch, so nothing is shuffled or stored a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 from re import _constants as op
 from re import _parser
@@ -49,6 +48,7 @@ MORE = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
+SEGMENT_ROWS = 2_000
 
 
 # A trigram query is None (every text may match), ("gram", bytes), ("and", queries) or ("or", queries).
@@ -170,7 +170,7 @@ def _run_pattern(rule: Rule) -> str:
     return rule.pattern
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, slice_rows: int = 2_000) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``secrets``: an array of (kind, start, end) per row, by start and then the order of ``rules``; code points, end exclusive.
 
     Input: text and any other columns, which stay. A null or empty text has no secrets. Nothing depends on ids, so repeated rows, ties and null
@@ -180,33 +180,28 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, slice_rows: int = 2_0
     index = {g: i for i, g in enumerate(sorted(set().union(*map(_wanted, queries))))}
     if any(b"\n" in g for g in index):
         raise ValueError("a mandatory trigram holds a line end, which parts the texts of a segment")
-    kept = [c for c in docs.columns if c != "secrets"]
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(column: pa.Array) -> pa.Array:
         number = np.zeros(1 << 24, np.uint8 if len(index) < 255 else np.uint16)
         for g, i in index.items():
             number[int.from_bytes(g, "big")] = i + 1
         compiled = [re.compile(_run_pattern(r), re.ASCII) for r in rules]
-        for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                part = batch.slice(at, slice_rows)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                segment = Segment([t.encode() for t in texts], number, len(index))
-                found: list[list] = [[] for _ in texts]
-                for order, (rule, query) in enumerate(zip(rules, queries)):
-                    for d in segment.find(query, index):
-                        found[d] += [(s, order, e) for s, e in spans(rule, compiled[order], texts[d])]
-                column = pa.array([[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in sorted(f)] for f in found], kind)
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], column], names=[*kept, "secrets"])
-
-    fields = T.StructType([*docs.select(*kept).schema.fields, T.StructField("secrets", SECRETS)])
-    return docs.select(*kept).mapInArrow(run, fields)
+        found: list[list] = [[] for _ in range(len(column))]
+        for at in range(0, len(column), SEGMENT_ROWS):
+            texts = [t or "" for t in column.slice(at, SEGMENT_ROWS).to_pylist()]
+            segment = Segment([t.encode() for t in texts], number, len(index))
+            for order, (rule, query) in enumerate(zip(rules, queries)):
+                for d in segment.find(query, index):
+                    found[at + d] += [(s, order, e) for s, e in spans(rule, compiled[order], texts[d])]
+        return pa.array([[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in sorted(f)] for f in found], kind)
+
+    return docs.withColumn("secrets", F.arrow_udf(run, SECRETS)(F.col("text").cast("string")))
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, n_<base kind>..., base_sha256, spans): counts and digest of the base spans, and all spans as ``kind:start:end`` joined by commas."""
-    found = scan(docs.select("doc_id", F.col("text").cast("string").alias("text")), rules)
+    found = scan(docs.select("doc_id", "text"), rules).drop("text")
     base = [r.kind for r in BASE]
     said = "array_join(transform({0}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     of_base = f"filter(secrets, s -> s.kind IN ({', '.join(map(repr, base))}))"
