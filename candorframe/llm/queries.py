@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candorframe.llm import minhash, multiindex, onebit, packing, quality, secrets, urltree, warc
+from candorframe.llm import minhash, mixing, multiindex, onebit, packing, quality, secrets, urltree, warc
 from candorframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_weak_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"))
+
+
+#: Domains are the classes of the labels; weights are shares of the mixture's tokens, and clean text keeps all of its own.
+MIX_TARGETS, MIX_ANCHOR = {"clean": 0.93, "low": 0.03, "toxic": 0.04}, "clean"
+
+
+def label_domains(labels: DataFrame) -> DataFrame:
+    return labels.selectExpr("doc_id", "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 0 THEN 'low' WHEN quality = 1 THEN 'clean' END AS domain")
+
+
+@query("op4_soft_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), label_domains(read(spark, sf_dir, "labels")), MIX_TARGETS, MIX_ANCHOR)
