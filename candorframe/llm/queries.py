@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candorframe.llm import minhash, mixing, multiindex, onebit, packing, quality, secrets, urltree, warc
+from candorframe.llm import brown, minhash, mixing, multiindex, onebit, packing, quality, secrets, urltree, warc
 from candorframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def label_domains(labels: DataFrame) -> DataFrame:
 @query("op4_soft_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), label_domains(read(spark, sf_dir, "labels")), MIX_TARGETS, MIX_ANCHOR)
+
+
+@query("op6_class_bigrams")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(read(spark, sf_dir, "documents"))
