@@ -18,14 +18,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import WordHash, signed, stage, words
+from candorframe.llm.common import signed, stage, words
 
 #: Commonest words that are items of their own; items of other words, by their last two letters.
 HEAD, ENDINGS = 6_144, 2_048
+MEMO = 250_000
 CLASSES, ROUNDS = 64, 6
 #: Words whose counts every task holds; the others' counts are joined.
 CACHED = 100_000
@@ -36,23 +38,18 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and binascii.crc32(str(doc_id).encode()) % MODULUS == HELD_OUT
 
 
-class WordItems(dict):
-    """(hash, ending) of words, remembered while they fit."""
+class WordIds(dict):
+    """Ids of words, remembered while they fit: 53 bits of a hash, and in the low bits the item of the word's ending."""
 
-    def __init__(self):
-        self.hash = WordHash()
+    def __missing__(self, word: bytes) -> int:
+        ending = binascii.crc32(word.rstrip(b".,;:!?\"')")[-2:]) % ENDINGS
+        n = xxhash.xxh3_64_intdigest(word) // ENDINGS * ENDINGS + ending
+        if len(self) < MEMO:
+            self[word] = n
+        return n
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        ending = HEAD + binascii.crc32(word.rstrip(b".,;:!?\"')")[-2:]) % ENDINGS
-        pair = (self.hash[word], ending)
-        if len(self) < 300_000:
-            self[word] = pair
-        return pair
-
-    def of(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, endings) of a text's words."""
-        pairs = np.fromiter((x for w in ws for x in self[w]), np.uint64, 2 * len(ws)).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1].astype(np.int64)
+    def of(self, ws: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, ws), np.uint64, len(ws))
 
 
 #: The text's end, and its start for transitions, are items after the others.
@@ -69,19 +66,18 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, ending, n): how often each word, by its hash, occurs in the training documents; the end of a text is not among them."""
+    """(word, n): how often each word, by its id, occurs in the training documents; the end of a text is not among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordItems()
+        memo = WordIds()
         for batch in batches:
-            got = [memo.of(ws) for d, ws in _texts(batch) if ws and not is_held_out(d)]
-            if got:
-                h, e = (np.concatenate(x) for x in zip(*got))
-                u, first, n = np.unique(h, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(e[first].astype(np.int32)), pa.array(n)], names=["word", "ending", "n"])
+            for at in range(0, batch.num_rows, 2_500):
+                got = [memo.of(ws) for d, ws in _texts(batch.slice(at, 2_500)) if ws and not is_held_out(d)]
+                if got:
+                    u, n = np.unique(np.concatenate(got), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(n)], names=["word", "n"])
 
-    parts = _source(docs).mapInArrow(run, "word bigint, ending int, n bigint")
-    return parts.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+    return _source(docs).mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -97,10 +93,9 @@ class Head:
         at = np.minimum(np.searchsorted(self.word, h), max(len(self.word) - 1, 0))
         return (self.word[at] == h if len(self.word) else np.zeros(len(h), bool)), at
 
-    def items(self, h: np.ndarray, ending: np.ndarray) -> np.ndarray:
-        hit, at = self.find(h)
+    def items(self, h: np.ndarray, hit: np.ndarray, at: np.ndarray) -> np.ndarray:
         own = self.item[at] if len(self.word) else np.full(len(h), -1)
-        return np.where(hit & (own >= 0), own, ending)
+        return np.where(hit & (own >= 0), own, HEAD + (h % np.uint64(ENDINGS)).astype(np.int64))
 
 
 def head(counts: DataFrame) -> Head:
@@ -117,7 +112,7 @@ def item_bigrams(docs: DataFrame, common: Head) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size = WordItems(), [], 0
+        memo, common_, held, size = WordIds(), sent.value, [], 0
 
         def flush() -> pa.RecordBatch:
             code, n = np.unique(np.concatenate(held), return_counts=True)
@@ -127,10 +122,11 @@ def item_bigrams(docs: DataFrame, common: Head) -> DataFrame:
             for d, ws in _texts(batch):
                 if is_held_out(d):
                     continue
-                way = np.concatenate([[END], sent.value.items(*memo.of(ws)) if ws else [], [END]]).astype(np.int64)
+                h = memo.of(ws)
+                way = np.concatenate([[END], common_.items(h, *common_.find(h)), [END]]).astype(np.int64)
                 held.append(way[:-1] * ITEMS + way[1:])
                 size += len(way)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -202,7 +198,7 @@ def learn(docs: DataFrame, counts: DataFrame) -> Model:
     common = head(counts)
     texts = docs.where(~_held_out()).count()
     bigrams = stage(item_bigrams(docs, common), "bigrams")
-    item = F.coalesce("own", "ending")
+    item = F.coalesce("own", F.pmod("word", F.lit(ENDINGS)).cast("int") + HEAD)
     mine = docs.sparkSession.createDataFrame(pd.DataFrame({"word": common.word.view(np.int64)[common.item >= 0], "own": common.item[common.item >= 0]}), "word bigint, own int")
     held = counts.join(F.broadcast(mine), "word", "left").groupBy(item.alias("item")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).toPandas()  # at most ITEMS rows
     frequency, types = np.zeros(ITEMS), np.zeros(ITEMS)
@@ -231,15 +227,15 @@ def score(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, m, part, row = WordItems(), sent.value, TaskContext.get().partitionId(), 0
+        memo, m, part, row = WordIds(), sent.value, TaskContext.get().partitionId(), 0
         log_count = np.log10(m.common.count + 1.0)
         for batch in batches:
             for at in range(0, batch.num_rows, 1_000):
                 out = []
                 for d, ws in _texts(batch.slice(at, 1_000)):
-                    h, e = memo.of(ws) if ws else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                    h = memo.of(ws)
                     hit, place = m.common.find(h)
-                    way = np.concatenate([[END], m.common.items(h, e), [END]]).astype(np.int64)
+                    way = np.concatenate([[END], m.common.items(h, hit, place), [END]]).astype(np.int64)
                     c = m.own[way]
                     moves = m.step[c[:-1], c[1:]].sum() - m.mass[c[1:]].sum()
                     rare, times = np.unique(h[~hit], return_counts=True)

@@ -8,6 +8,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from candorframe.session import checkpoint_root
+
 #: Entries a worker's word memo may hold. It only saves time: what is not in it is worked out again.
 MEMO_WORDS = 400_000
 
@@ -17,11 +19,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and every executor can reach")
-    return folder.rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or checkpoint_root(spark)).rstrip("/")
 
 
 def _path(spark: SparkSession, path: str):
