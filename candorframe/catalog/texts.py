@@ -161,7 +161,8 @@ def _(spark, sf):
 @query(
     "url_reason",
     """SELECT link_id, CASE link_id % 10 WHEN 0 THEN 'port' WHEN 2 THEN 'protocol' WHEN 3 THEN CASE WHEN link_id % 40 BETWEEN 16 AND 31 THEN 'restricted_address' END WHEN 4 THEN 'credentials'
-        WHEN 5 THEN 'internal_host' WHEN 6 THEN 'internal_host' WHEN 7 THEN 'forbidden_character' END AS reason FROM links""",
+        WHEN 5 THEN 'internal_host' WHEN 6 THEN 'internal_host' WHEN 7 THEN 'forbidden_character'
+        WHEN 8 THEN CASE WHEN link_id % 9 IN (0, 1, 2, 5, 8) THEN 'restricted_address' WHEN link_id % 9 = 3 THEN 'internal_host' WHEN link_id % 9 = 7 THEN 'malformed' END END AS reason FROM links""",
     ("links",),
 )
 def _(spark, sf):
@@ -171,7 +172,8 @@ def _(spark, sf):
 @query(
     "detect_platform",
     """WITH q AS (SELECT link_id, CASE link_id % 10 WHEN 1 THEN 'YouTube' ELSE 'Unknown' END AS platform FROM links)
-       SELECT link_id, platform, CASE link_id % 3 WHEN 0 THEN true WHEN 1 THEN platform = 'YouTube' ELSE false END AS matches_expected FROM q""",
+       SELECT link_id, platform, CASE WHEN link_id % 10 IN (0, 2, 4, 5, 6, 7) OR link_id % 10 = 3 AND link_id % 40 BETWEEN 16 AND 31 OR link_id % 10 = 8 AND link_id % 9 NOT IN (4, 6) THEN false
+        WHEN link_id % 3 = 0 THEN true WHEN link_id % 3 = 1 THEN platform = 'YouTube' ELSE false END AS matches_expected FROM q""",
     ("links",),
 )
 def _(spark, sf):
@@ -186,11 +188,12 @@ IP_RANGES = """(a = 0 OR a = 10 OR a = 127 OR (a = 100 AND b BETWEEN 64 AND 127)
 
 @query(
     "restricted_ip_join",
-    f"WITH q AS (SELECT event_id, event_id*7%256 AS a, event_id*13%256 AS b, user_id AS c FROM events) SELECT event_id FROM q WHERE {IP_RANGES}",
+    f"WITH q AS (SELECT event_id, event_id*7%256 AS a, event_id*13%256 AS b, user_id AS c FROM events), r AS (SELECT event_id FROM q WHERE {IP_RANGES}) SELECT event_id FROM r UNION ALL SELECT event_id FROM r WHERE event_id % 3 = 0",
 )
 def _(spark, sf):
     cidrs = spark.createDataFrame([tuple(c.split("/")) for c in ln.RESTRICTED_CIDRS], "base string, bits string")
-    return ln.restricted_ip_join(spark_sql(spark, sf, IPS), cidrs).select("event_id")
+    hosts = spark_sql(spark, sf, IPS)
+    return ln.restricted_ip_join(hosts.unionByName(hosts.where("event_id % 3 = 0")), cidrs).select("event_id")
 
 
 @query(
@@ -317,15 +320,16 @@ def _(spark, sf):
        a AS (SELECT q.media_id, g.k, g.i, 0.05 + coalesce(sum(c.w), 0)::DOUBLE AS sc, coalesce(bool_or(c.d), false) AS d FROM q CROSS JOIN g LEFT JOIN c ON c.media_id = q.media_id AND c.k = g.k GROUP BY 1,2,3),
        r AS (SELECT *, sc/sum(sc) OVER (PARTITION BY media_id) AS sh, bool_or(d) OVER (PARTITION BY media_id) AS de, row_number() OVER (PARTITION BY media_id ORDER BY round(sc,9) DESC, i) AS rn FROM a),
        b AS (SELECT media_id, first(k ORDER BY rn) bk, first(sh ORDER BY rn) bs FROM r WHERE d GROUP BY 1), t AS (SELECT media_id, bool_or(de) de, string_agg(k || '=' || printf('%.2f', round(sh+1e-9,2)), '|' ORDER BY rn) tc FROM r WHERE rn <= 3 GROUP BY 1)
-       SELECT t.media_id, CASE WHEN bs >= 0.25 THEN bk ELSE 'unknown' END AS model_key, CASE WHEN de THEN round(bs+1e-9, 2) ELSE 0 END AS confidence, CASE WHEN de THEN tc ELSE '' END AS top_candidates FROM t LEFT JOIN b USING (media_id)""",
+       SELECT t.media_id, CASE WHEN t.media_id % 17 = 0 THEN 'none_authentic' WHEN bs >= 0.25 THEN bk ELSE 'unknown' END AS model_key, CASE WHEN de AND t.media_id % 17 <> 0 THEN round(bs+1e-9, 2) ELSE 0 END AS confidence,
+        CASE WHEN de AND t.media_id % 17 <> 0 THEN tc ELSE '' END AS top_candidates FROM t LEFT JOIN b USING (media_id)""",
     ("media_tags",),
 )
 def _(spark, sf):
     m = view(spark, sf, "media_tags").selectExpr(
         "media_id", "software", "CAST(NULL AS STRING) AS creator_tool", "media_id % 11 = 0 AS watermark", "false AS ai_label", "media_id % 8 = 0 AS c2pa_present", "w", "h",
-        "CAST(NULL AS DOUBLE) AS slope_alpha", "CAST(NULL AS DOUBLE) AS smoothness", "media_id % 13 = 0 AS is_art",
+        "CAST(NULL AS DOUBLE) AS slope_alpha", "CAST(NULL AS DOUBLE) AS smoothness", "media_id % 13 = 0 AS is_art", "IF(media_id % 17 = 0, 'AUTHENTIC_REAL_PHOTOGRAPH', 'AI_GENERATED') AS taxonomy_state",
     )
-    t = at.attribution_rank(m, at.image_cues(m), at.IMAGE_GENERATORS)
+    t = at.image_attribution(m)
     return t.withColumn("top_candidates", joined("top_candidates"))
 
 
@@ -342,12 +346,14 @@ def _(spark, sf):
 )
 def _(spark, sf):
     p = view(spark, sf, "predictions")
-    v = p.selectExpr("media_id", "CASE media_id % 5 WHEN 0 THEN 'Kling 1.6' WHEN 1 THEN 'OpenAI' WHEN 2 THEN 'Hunyuan' END AS vendor_text", "false AS c2pa_present", "p_ai_pct*2 AS motion_variance", "false AS has_flicker")
-    a = p.selectExpr(
-        "media_id", "CASE media_id % 5 WHEN 0 THEN 'made with Suno' WHEN 1 THEN 'Gemini native audio' WHEN 2 THEN 'gpt-4o voice' WHEN 3 THEN 'sunoise' END AS tag_text", "media_id % 7 = 0 AS has_vocoder_cutoff", "7500 AS cutoff_hz",
-        "1.0D AS spectral_flatness", "IF(latency_s > 0.5, 0.2D, 0.0D) AS silence_ratio",
-    )
-    u = at.video_cues(v).withColumn("modality", F.lit("video")).unionByName(at.audio_cues(a).withColumn("modality", F.lit("audio")))
+    # Several strings a file: what they declare counts by string, the signals once.
+    tags = p.selectExpr("media_id", "explode(array(0, 1, 2)) AS nth")
+    v = tags.selectExpr("media_id", "CASE WHEN nth > 0 THEN 'Lavf60' ELSE CASE media_id % 5 WHEN 0 THEN 'Kling 1.6' WHEN 1 THEN 'OpenAI' WHEN 2 THEN 'Hunyuan' END END AS vendor_text")
+    a = tags.selectExpr("media_id", "CASE WHEN nth > 0 THEN 'track' ELSE CASE media_id % 5 WHEN 0 THEN 'made with Suno' WHEN 1 THEN 'Gemini native audio' WHEN 2 THEN 'gpt-4o voice' WHEN 3 THEN 'sunoise' END END AS tag_text")
+    vs = p.selectExpr("media_id", "false AS c2pa_present", "p_ai_pct*2 AS motion_variance", "false AS has_flicker")
+    au = p.selectExpr("media_id", "media_id % 7 = 0 AS has_vocoder_cutoff", "7500 AS cutoff_hz", "1.0D AS spectral_flatness", "IF(latency_s > 0.5, 0.2D, 0.0D) AS silence_ratio")
+    video, audio = at.video_declared(v).unionByName(at.video_signals(vs)), at.audio_declared(a).unionByName(at.audio_signals(au))
+    u = video.withColumn("modality", F.lit("video")).unionByName(audio.withColumn("modality", F.lit("audio")))
     return u.groupBy("modality", "model_key", "declared").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 

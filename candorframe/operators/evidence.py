@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from candorframe.functions.decisions import AI_CLAIMING, AI_STATUSES, REAL_LEANING, SCORE_BACKED, final_status, taxonomy_from_fused
 from candorframe.functions.scoring import PRIORS, clip, finite, normalise_by_gap, probability10
 from candorframe.operators.ordering import CHUNK, prefix_scan
+from candorframe.functions.whitespace import strip
 
 # Classes that may carry log-odds, classes that reach the trail, the total cap and the display stage order.
 SCORED_CLASSES = ["PHYSICAL_SIGNAL", "LEARNED_SIGNAL", "METADATA_WEAK"]
@@ -78,11 +79,11 @@ def key_reasons(reasons: DataFrame, findings: DataFrame, trail: DataFrame, order
     """
     stage = F.array_position(F.array(*[F.lit(s) for s in REASON_STAGES]), F.col("stage"))
     flagged = findings.where(F.col("stage").isin(REASON_STAGES) & F.col("status").isin("FAIL", "WARN"))
-    text = F.trim(F.concat(F.col("title"), F.lit(": "), F.coalesce("detail", F.lit(""))))
+    text = strip(F.concat(F.col("title"), F.lit(": "), F.coalesce("detail", F.lit(""))))
     own = reasons.select("media_id", F.lit(0).alias("tier"), F.lit(0).cast("bigint").alias("stage_no"), F.col("pos").cast("bigint").alias("at"), "reason")
     found = flagged.select("media_id", F.lit(1).alias("tier"), stage.cast("bigint").alias("stage_no"), F.col(order[0]).cast("bigint").alias("at"), text.alias("reason"))
     backup = trail.select("media_id", F.lit(2).alias("tier"), F.lit(0).cast("bigint").alias("stage_no"), F.col("pos").cast("bigint").alias("at"), F.col("line").alias("reason"))
-    pool = own.unionByName(found).unionByName(backup)
+    pool = own.unionByName(found).unionByName(backup).where(strip("reason") != "")
     w = W.partitionBy("media_id").orderBy("tier", "stage_no", "at", "reason")
     top = pool.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
     best = F.min("tier").over(W.partitionBy("media_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from candorframe.functions.scoring import damped
 from candorframe.operators.identity import dedupe_feedback
 from candorframe.operators.ordering import CHUNK, position
+from candorframe.functions.whitespace import strip
 
 C = F.col
 INF = float("inf")
@@ -90,7 +91,7 @@ def calibrate(feedback: DataFrame, modality: str, order: list[str], chunk: int =
 
     Input: sha256, user_label and the measurements named in RULES; a NULL measurement moves nothing.
     """
-    answers = feedback.withColumn("user_label", F.upper(F.trim("user_label"))).where(C("user_label").isin("AI", "REAL"))
+    answers = feedback.withColumn("user_label", F.upper(strip("user_label"))).where(C("user_label").isin("AI", "REAL"))
     once = position(dedupe_feedback(answers, order), [], [*order, "sha256", "user_label"], "n")
     moves = once.select("n", F.explode_outer(F.array(*_moves(modality))).alias("m")).where("m IS NOT NULL").select("n", "m.*")
     pieces = _fold(moves.withColumn("chunk", F.expr(f"n div {chunk}")), ["param", "chunk"], "n")

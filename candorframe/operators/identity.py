@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candorframe.operators.ordering import CHUNK, chunked_fold, position, prefix_scan
+from candorframe.functions.whitespace import strip
 
 C = F.col
 LABELS = ["ai_generated", "real"]
@@ -31,7 +32,7 @@ def partition_split(sha256: Column) -> Column:
 
 def normalise_feedback(feedback: DataFrame) -> DataFrame:
     """Answers AI and REAL become registry labels; everything else is dropped."""
-    answer = F.upper(F.trim("user_label"))
+    answer = F.upper(strip("user_label"))
     return feedback.withColumn("label", F.when(answer == "AI", "ai_generated").when(answer == "REAL", "real")).where("label IS NOT NULL")
 
 

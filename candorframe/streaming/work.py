@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from candorframe.operators.feedback import RULES, calibrate
+from candorframe.functions.whitespace import strip
 
 C = F.col
 
@@ -30,7 +31,7 @@ def stream_feedback(source: DataFrame, store: str, checkpoint: str, order: list[
 
     def take(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        answers = batch.withColumn("user_label", F.upper(F.trim("user_label"))).where(C("user_label").isin("AI", "REAL"))
+        answers = batch.withColumn("user_label", F.upper(strip("user_label"))).where(C("user_label").isin("AI", "REAL"))
         keys = ["modality", "sha256", "user_label"]
         rest = [c for c in answers.columns if c not in keys and c not in order]
         first = answers.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("r")).select(*keys, "r.*")

@@ -73,6 +73,8 @@ VIEW_SQL = {
         WHEN 5 THEN concat('http://LOCALHOST/', CAST(page_id AS {STR}))
         WHEN 6 THEN concat('https://api.svc.internal:443/', CAST(page_id AS {STR}))
         WHEN 7 THEN concat('http://a b.example.com/', CAST(page_id AS {STR}))
+        WHEN 8 THEN CASE page_id % 9 WHEN 0 THEN 'http://[::ffff:127.0.0.1]/' WHEN 1 THEN 'http://[FD00::1]/a' WHEN 2 THEN 'http://[fe80::1]/' WHEN 3 THEN 'http://localhost../'
+             WHEN 4 THEN 'http://[2606:4700::1111]/' WHEN 5 THEN 'http://[::]/' WHEN 6 THEN 'http://[::ffff:8.8.8.8]/' WHEN 7 THEN 'http://[1::2::3]/' ELSE 'https://[2001:db8::7]:443/' END
         ELSE url END AS url FROM {pages}""",
     "feedback": """SELECT event_id, ts, CASE user_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' ELSE 'video' END AS modality,
         {SHAU} AS sha256, CASE event_type WHEN 'purchase' THEN 'AI' WHEN 'view' THEN 'REAL' ELSE 'NOT SURE' END AS user_label,
