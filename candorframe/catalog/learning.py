@@ -12,6 +12,7 @@ from candorframe.sources import media as md
 from candorframe.sources import sinks as sk
 from candorframe.streaming import work as st
 from candorframe.tables import round6, spark_sql, table, view
+from candorframe.sources.stored import stream_table
 
 C = F.col
 ORDER = ["ts", "event_id"]
@@ -62,7 +63,7 @@ for _m in ("image", "audio", "video"):
 
 @query("stream_feedback", _fold_sql("video"), ("feedback",))
 def _(spark, sf):
-    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    events = stream_table(spark, sf, "events")
     rows = events.selectExpr(
         "event_id", "ts", "CASE user_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' ELSE 'video' END AS modality", "sha2(CAST(user_id AS STRING), 256) AS sha256",
         "CASE event_type WHEN 'purchase' THEN 'AI' WHEN 'view' THEN 'REAL' ELSE 'NOT SURE' END AS user_label", "CAST(NULL AS DOUBLE) AS noise", "CAST(NULL AS DOUBLE) AS smooth",
@@ -76,7 +77,7 @@ def _(spark, sf):
 
 @query("stream_scoring", "SELECT doc_id, sha256(text) AS sha256, CASE WHEN strlen(text) > 3000 THEN 'large' ELSE 'small' END AS verdict FROM documents")
 def _(spark, sf):
-    landing = spark.readStream.schema(table(spark, sf, "documents").schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    landing = stream_table(spark, sf, "documents")
     base = st.workspace(spark, "scoring")
 
     def score(d):

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from candorframe.functions.textscan import formula_safe
+from candorframe.sources.stored import need_columns, read_if_there
 
 C = F.col
 
@@ -30,16 +30,16 @@ def append_results(inputs: DataFrame, log_path: str, score, limit: int = 0) -> D
     """
     spark = inputs.sparkSession
     schema = "path string, verdict string, ai_pct double, error string, batch string"
-    try:
-        log = spark.read.schema(schema).json(log_path)
-    except AnalysisException:
-        log = spark.createDataFrame([], schema)
+    log = read_if_there(spark, log_path, "json", schema)
+    log = spark.createDataFrame([], schema) if log is None else log
     todo = pending_inputs(inputs, log)
     if limit:
         todo = todo.orderBy("path").limit(limit)
     batch = str(spark.sql("SELECT uuid()").first()[0])
-    log_rows(score(todo)).withColumn("batch", F.lit(batch)).write.mode("append").json(log_path)
-    return spark.read.schema(schema).json(log_path).where(C("batch") == batch).drop("batch")
+    log_rows(score(todo)).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").json(log_path)
+    # The batch is a folder of the log; nothing else is read again.
+    mine = read_if_there(spark, log_path, "json", schema)
+    return mine.where(C("batch") == batch).drop("batch")
 
 
 def bank_merge(samples: DataFrame, bank: DataFrame, fingerprint: str) -> DataFrame:
@@ -56,10 +56,8 @@ def feature_bank_upsert(samples: DataFrame, bank_path: str, fingerprint: str, ex
     cannot compute has a NULL embedding and is left out). Returns one row with processed and reused."""
     spark = samples.sparkSession
     schema = "sample_id bigint, label int, sha256 string, embedding array<float>, fingerprint string"
-    try:
-        bank = spark.read.schema(schema).parquet(bank_path)
-    except AnalysisException:
-        bank = spark.createDataFrame([], schema)
+    bank = read_if_there(spark, bank_path, "parquet")
+    bank = spark.createDataFrame([], schema) if bank is None else need_columns(bank, [c.split()[0] for c in schema.split(", ")], bank_path)
     from candorframe.session import durable
 
     merged = bank_merge(samples, bank, fingerprint)

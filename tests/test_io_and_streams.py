@@ -111,3 +111,38 @@ def test_stream_scoring_resumes(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(src)
         st.stream_scoring(stream, lambda d: d.withColumn("p", C("id") * 2), out, state).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(10))
+
+
+def test_fresh_checkpoint_neither_overwrites_nor_recounts(spark, tmp_path):
+    src, store = str(tmp_path / "in"), str(tmp_path / "store")
+    feedback(spark, [(1, "a", "AI\t", "image", 1.0, 1.0, None, 1.0), (2, "b", "real", "image", 1.0, 1.0, None, 1.0)]).coalesce(1).write.parquet(src)
+    for run in range(3):
+        if run == 2:
+            feedback(spark, [(3, "c", "AI", "image", 1.0, 1.0, None, 1.0)]).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(feedback(spark, []).schema).parquet(src)
+        st.stream_feedback(stream, store, str(tmp_path / f"state{run}"), ["ts"]).awaitTermination()
+        assert sorted(r.sha256 for r in spark.read.parquet(store).collect()) == ["a", "b"] + ["c"] * (run == 2)
+
+
+def test_store_of_another_shape_is_refused(spark, tmp_path):
+    src, store = str(tmp_path / "in"), str(tmp_path / "store")
+    feedback(spark, [(1, "a", "AI", "image", 1.0, 1.0, None, 1.0)]).write.parquet(src)
+    spark.range(3).write.parquet(store)
+    stream = spark.readStream.schema(feedback(spark, []).schema).parquet(src)
+    with pytest.raises(Exception, match="was not written by this operator"):
+        st.stream_feedback(stream, store, str(tmp_path / "state"), ["ts"]).awaitTermination()
+    samples = spark.createDataFrame([(1, 0, "h")], "sample_id long, label int, sha256 string")
+    with pytest.raises(ValueError, match="was not written by this operator"):
+        sk.feature_bank_upsert(samples, store, "v1", lambda r: r)
+    assert spark.read.parquet(store).count() == 3
+
+
+def test_streams_read_a_file_and_a_folder(spark, sf, tmp_path):
+    from candorframe.catalog import QUERIES
+
+    folder = str(tmp_path / "sf")
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{t}.parquet").repartition(3).write.parquet(f"{folder}/{t}.parquet")
+    for name in ("stream_scoring", "stream_feedback"):
+        a, b = (sorted(map(tuple, QUERIES[name](spark, where).collect())) for where in (sf, folder))
+        assert a == b and a
