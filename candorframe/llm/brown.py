@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import signed, stage, words
+from candorframe.llm.common import signed, stage, texts, words
 
 #: Commonest words that are items of their own; items of other words, by their last two letters.
 HEAD, ENDINGS = 6_144, 2_048
-MEMO = 250_000
+MEMO = 150_000
 CLASSES, ROUNDS = 64, 6
 #: Words whose counts every task holds; the others' counts are joined.
 CACHED = 100_000
@@ -58,7 +58,7 @@ ITEMS = END + 1
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, list[bytes]]]:
-    return ((d, words(t)) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist()))
+    return ((d, words(t)) for d, t in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text"))))
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -196,18 +196,18 @@ class Model:
 def learn(docs: DataFrame, counts: DataFrame) -> Model:
     """The model of the training documents. ``counts``: word_counts of them."""
     common = head(counts)
-    texts = docs.where(~_held_out()).count()
+    learnt = docs.where(~_held_out()).count()
     bigrams = stage(item_bigrams(docs, common), "bigrams")
     item = F.coalesce("own", F.pmod("word", F.lit(ENDINGS)).cast("int") + HEAD)
     mine = docs.sparkSession.createDataFrame(pd.DataFrame({"word": common.word.view(np.int64)[common.item >= 0], "own": common.item[common.item >= 0]}), "word bigint, own int")
     held = counts.join(F.broadcast(mine), "word", "left").groupBy(item.alias("item")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("types")).toPandas()  # at most ITEMS rows
     frequency, types = np.zeros(ITEMS), np.zeros(ITEMS)
     frequency[held["item"].to_numpy(int)], types[held["item"].to_numpy(int)] = held["n"], held["types"]
-    frequency[END], types[END] = texts, 1 if texts else 0
+    frequency[END], types[END] = learnt, 1 if learnt else 0
     own, matrix, _ = exchange(bigrams, frequency)
     step = np.log10((matrix + 1) / (matrix.sum(axis=1, keepdims=True) + CLASSES))
     mass = np.log10(np.bincount(own, frequency, CLASSES) + np.bincount(own, types, CLASSES) + 1)
-    return Model(common, own, step, mass, texts, int(frequency.sum()), int(types.sum()))
+    return Model(common, own, step, mass, learnt, int(frequency.sum()), int(types.sum()))
 
 
 def _held_out():
@@ -230,9 +230,9 @@ def score(docs: DataFrame) -> DataFrame:
         memo, m, part, row = WordIds(), sent.value, TaskContext.get().partitionId(), 0
         log_count = np.log10(m.common.count + 1.0)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_000):
+            for at in range(0, batch.num_rows, 500):
                 out = []
-                for d, ws in _texts(batch.slice(at, 1_000)):
+                for d, ws in _texts(batch.slice(at, 500)):
                     h = memo.of(ws)
                     hit, place = m.common.find(h)
                     way = np.concatenate([[END], m.common.items(h, hit, place), [END]]).astype(np.int64)
@@ -246,15 +246,15 @@ def score(docs: DataFrame) -> DataFrame:
 
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "moves", "rare", "times"]
     kinds = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, moves double, rare array<bigint>, times array<bigint>"
-    texts = stage(_source(docs).mapInArrow(run, kinds), "scores")
+    scored = stage(_source(docs).mapInArrow(run, kinds), "scores")
     # Rare words meet their counts by hash; a word that is not found was never seen and adds the logarithm of one.
-    asked = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    asked = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     met = asked.join(counts.select("word", "n"), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     end_log = float(np.log10(model.texts + 1.0))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + end_log
     unit = float(np.log10(model.tokens + model.types + 1.0))
     known = F.col("known") + F.coalesce("more", F.lit(0)) + (1 if model.texts else 0)
-    return texts.drop("rare", "times").join(met, "row", "left").select(
+    return scored.drop("rare", "times").join(met, "row", "left").select(
         "doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         (logs - F.col("n_tokens") * unit).alias("base_score"), (logs + F.col("moves")).alias("score"),
     )

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from candorframe.session import checkpoint_root
 
 #: Entries a worker's word memo may hold. It only saves time: what is not in it is worked out again.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 120_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +54,12 @@ def drop_stage(df: DataFrame) -> None:
     fs.delete(p, True)
 
 
+def texts(column: pa.Array, rows: int = 500) -> Iterator[bytes | None]:
+    """The texts of a column in UTF-8, taken out of it a slice at a time."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).cast(pa.large_binary()).to_pylist()
+
+
 def words(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text, A-Z lower-cased; none for a null text. Bytes split at exactly these characters."""
     return text.lower().split() if text else []

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import WordHash, mix64, signed, stage, words
+from candorframe.llm.common import WordHash, mix64, signed, stage, texts, words
 from candorframe.llm.graph import components
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
 BINS = BANDS * ROWS
 #: Rounds of stars before what is still open is compared in blocks of this many texts.
-STARS, BLOCK = 2, 256
+STARS, BLOCK = 2, 128
 #: A clump of buckets is compared as one while it has at most this many times the pairs of its buckets.
 SPARSE = 8
 #: Bits of the filter that tells which documents must be read again; at most 2 ** 20 words of it reach the driver (16 MB).
@@ -77,10 +77,6 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _texts(batch: pa.RecordBatch) -> list:
-    return batch.column("text").cast(pa.large_binary()).to_pylist()
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, node, buckets): node names the shingle set, null if it is empty; buckets are the band keys."""
 
@@ -88,7 +84,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         memo = WordHash()
         for batch in batches:
             n, node, keys = [], [], []
-            for text in _texts(batch):
+            for text in texts(batch.column("text")):
                 s = shingle_set(text, memo)
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
@@ -124,13 +120,12 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             h = batch.column("h").to_numpy().astype(np.uint64)
             hit = np.flatnonzero((bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1))
-            sets = [s for s in (shingle_set(t, memo) for t in _texts(batch.take(pa.array(hit)))) if len(s)]
-            for i in range(0, len(sets), 512):
-                part = sets[i : i + 512]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(s) for s in part], pa.int64()), pa.array([signed(s) for s in part], pa.list_(pa.int64()))],
-                    names=["node", "shingles"],
-                )
+            for at in range(0, len(hit), 128):
+                part = [s for s in (shingle_set(t, memo) for t in texts(batch.column("text").take(pa.array(hit[at : at + 128])))) if len(s)]
+                if part:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([_node(s) for s in part], pa.int64()), pa.array([signed(s) for s in part], pa.list_(pa.int64()))], names=["node", "shingles"]
+                    )
 
     src = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
         F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << FILTER_BITS)).alias("h"), F.col("text").cast("string").alias("text")

@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import WordHash, stage, words
+from candorframe.llm.common import WordHash, stage, texts, words
 
 #: About this many labelled rows, chosen by hash, fit the classifier; the labels of twice as many at most are broadcast.
 FIT_ROWS = 12_000
@@ -32,8 +32,7 @@ SEED = 4
 
 def _buckets(column: pa.Array, memo: WordHash) -> list[np.ndarray]:
     """Sorted distinct word buckets of each text, from its letters alone."""
-    texts = column.cast(pa.large_binary()).to_pylist()
-    return [np.unique(memo.of([w.strip(b".,;:!?\"'()") for w in words(t)]) % np.uint64(BUCKETS)).astype(np.int64) if t else np.empty(0, np.int64) for t in texts]
+    return [np.unique(memo.of([w.strip(b".,;:!?\"'()") for w in words(t)]) % np.uint64(BUCKETS)).astype(np.int64) for t in texts(column)]
 
 
 def _style(text: bytes | None) -> tuple[float, ...]:
@@ -66,7 +65,7 @@ class Membership:
         place = np.full(BUCKETS, -1)
         place[self.chosen] = np.arange(len(self.chosen))
         out = np.zeros((len(column), len(self.chosen) + 4))
-        for row, (b, t) in enumerate(zip(_buckets(column, memo), column.cast(pa.large_binary()).to_pylist())):
+        for row, (b, t) in enumerate(zip(_buckets(column, memo), texts(column))):
             at = place[b]
             out[row, at[at >= 0]] = 1
             out[row, len(self.chosen) :] = _style(t)
@@ -78,9 +77,9 @@ class Membership:
 
         def run(column: pa.Array) -> pa.Array:
             memo, tokens, rows = WordHash(), [], []
-            for at in range(0, len(column), 1_000):
-                part = column.slice(at, 1_000)
-                tokens += [len(words(t)) for t in part.cast(pa.large_binary()).to_pylist()]
+            for at in range(0, len(column), 500):
+                part = column.slice(at, 500)
+                tokens += [len(words(t)) for t in texts(part)]
                 s = model.features(part, memo) @ model.weights.T + model.intercept
                 e = np.exp(s - s.max(axis=1, keepdims=True))
                 rows += list(e / e.sum(axis=1, keepdims=True))
@@ -95,18 +94,18 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], fit_rows
     known = labelled.where("doc_id IS NOT NULL").select("doc_id", number[F.col("domain")].alias("label")).where("label IS NOT NULL")
     share = min(1.0, fit_rows / max(known.count(), 1))
     picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * fit_rows)
-    texts = stage(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", F.col("text").cast("string").alias("text")), "labelled")
+    known_texts = stage(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", F.col("text").cast("string").alias("text")), "labelled")
 
     def spread(column: pa.Array) -> pa.Array:
         return pa.array(_buckets(column, WordHash()), pa.list_(pa.int64()))
 
-    sizes = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
+    sizes = {r["label"]: r["count"] for r in known_texts.groupBy("label").count().collect()}
     if len(sizes) < 2:
         bias = np.array([0.0 if float(i) in sizes or not sizes else -700.0 for i in range(len(domains))])
         return Membership(domains, np.empty(0, np.int64), np.zeros((len(domains), 4)), bias)
     total = sum(sizes.values())
     # How much more often a word's bucket occurs in a domain than elsewhere, in standard deviations; the strongest are looked at.
-    seen = texts.select("label", F.explode(F.arrow_udf(spread, "array<bigint>")("text")).alias("bucket"))
+    seen = known_texts.select("label", F.explode(F.arrow_udf(spread, "array<bigint>")("text")).alias("bucket"))
     held = seen.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("label") == label).alias(f"n{int(label)}") for label in sizes])
     strength = [F.abs(F.col(f"n{int(k)}") - F.col("n") * (m / total)) / F.sqrt(F.col("n") * (m / total) * (1 - m / total) + 1) for k, m in sizes.items()]
     chosen = np.sort(np.array([r["bucket"] for r in held.where("n >= 5").withColumn("s", F.greatest(*strength)).orderBy(F.desc("s"), "bucket").limit(CHOSEN).collect()], np.int64))
@@ -115,7 +114,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], fit_rows
     def dense(column: pa.Array) -> pa.Array:
         return pa.array(list(shape.features(column, WordHash())), pa.list_(pa.float64()))
 
-    rows = texts.select("label", array_to_vector(F.arrow_udf(dense, "array<double>")("text")).alias("features"))
+    rows = known_texts.select("label", array_to_vector(F.arrow_udf(dense, "array<double>")("text")).alias("features"))
     got = LogisticRegression(family="multinomial", regParam=1e-3, maxIter=50, standardization=False).fit(rows)
     weights, intercept = np.zeros((len(domains), len(chosen) + 4)), np.full(len(domains), -700.0)
     fitted = got.coefficientMatrix.toArray()

@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import MEMO_WORDS, drop_stage, stage
+from candorframe.llm.common import MEMO_WORDS, stage, texts
 
 CAPACITY = 4096
 #: Lengths are put into this many classes for the fit.
 CLASSES = 128
-SLICE = 2_000
+SLICE = 500
 
 
 class WordTokens(dict):
@@ -79,7 +79,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
                 rows = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.large_binary()).to_pylist()):
+                for doc, text in zip(part.column("doc_id").to_pylist(), texts(part.column("text"))):
                     ids = (memo.of(text) if text else b"") + end
                     n = len(ids) // 4
                     for k, at in enumerate(range(0, n, capacity)):

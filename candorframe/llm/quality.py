@@ -11,6 +11,7 @@ texts chosen by hash, which bounds the training; votes, estimates and decisions
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import stage
+from candorframe.llm.common import stage, texts
 
 FIT_ROWS = 12_000
 BUCKETS = 1_024
@@ -133,8 +134,8 @@ def buckets(joined: np.ndarray) -> np.ndarray:
     return (((a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2_654_435_761)) >> np.uint32(32 - 10)).astype(np.int64)
 
 
-def _texts(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    return (t or b"" for t in texts(column))
 
 
 def _patterns(code: np.ndarray) -> np.ndarray:
@@ -159,8 +160,8 @@ def features(text: pa.Array) -> pa.Array:
     out = []
     for t in _texts(text):
         b = buckets(np.frombuffer(b" " + t + b" ", np.uint8))
-        out.append(np.append(np.bincount(b, minlength=BUCKETS) / len(b), repeats(t)))
-    return pa.array(out, pa.list_(pa.float64()))
+        out.append(np.append(np.bincount(b, minlength=BUCKETS) / len(b), repeats(t)).astype(np.float32))
+    return pa.array(out, pa.list_(pa.float32()))
 
 
 @dataclass(frozen=True)
@@ -199,7 +200,7 @@ class Scorer:
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     """Estimates the labellers over all texts of ``docs`` (doc_id, text) and fits the scorer on about ``fit_rows`` of them."""
     text = F.col("text").cast("string")
-    vote_code, shares = F.arrow_udf(vote_codes, "int"), F.arrow_udf(features, "array<double>")
+    vote_code, shares = F.arrow_udf(vote_codes, "int"), F.arrow_udf(features, "array<float>")
     seen = docs.select(vote_code(text).alias("code")).where("code IS NOT NULL").groupBy("code").count().orderBy("code").toPandas()
     if not len(seen):
         return Scorer(np.zeros(BUCKETS + 3), 0.0, LabelModel(0.5, np.full((LABELLERS, 2, 3), 1 / 3)))
@@ -212,7 +213,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     )
     table = docs.sparkSession.createDataFrame([(int(c), float(p)) for c, p in zip(seen["code"], model.posterior(patterns))], "code int, p double")
     rows = known.join(F.broadcast(table), "code").select(  # at most 3 ** LABELLERS rows
-        array_to_vector("shares").alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("y")
+        array_to_vector(F.col("shares").cast("array<double>")).alias("features"), F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("y")
     ).select("features", "y.label", "y.w").where("w > 0.001")
     if rows.select("label").distinct().count() < 2:
         return Scorer(np.zeros(BUCKETS + 3), 8.0 if model.good >= 0.5 else -8.0, model)

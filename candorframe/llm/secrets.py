@@ -48,7 +48,7 @@ MORE = (
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 RULES = BASE + MORE
-SEGMENT_ROWS = 2_000
+SEGMENT_ROWS = 500
 
 
 # A trigram query is None (every text may match), ("gram", bytes), ("and", queries) or ("or", queries).
