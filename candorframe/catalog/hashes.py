@@ -37,25 +37,26 @@ def halves(name: str, prefix: str):
 
 @query(
     "phash_match",
-    f"""WITH {HASH_DUCK} SELECT q.item_id, r.item_id AS ref_id, {DIST.format(a='q', b='r')}::INT AS distance FROM hash64 q JOIN hash64 r
-        ON q.item_id < 1000000 AND q.item_id % 2 = 0 AND (r.item_id >= 1000000 OR r.item_id % 2 = 1) AND {DIST.format(a='q', b='r')} <= 6""",
+    f"""WITH {HASH_DUCK}, q AS (SELECT hi, lo, count(*) n FROM hash64 WHERE item_id < 1000000 AND item_id % 2 = 0 GROUP BY 1, 2),
+         r AS (SELECT hi, lo, count(*) n FROM hash64 WHERE item_id >= 1000000 OR item_id % 2 = 1 GROUP BY 1, 2)
+        SELECT q.hi AS a_hi, q.lo AS a_lo, r.hi AS b_hi, r.lo AS b_lo, {DIST.format(a='q', b='r')}::INT AS distance, q.n AS n_items, r.n AS n_refs FROM q JOIN r ON {DIST.format(a='q', b='r')} <= 6""",
 )
 def _(spark, sf):
     h = hash64(spark, sf)
     index = h.where("item_id >= 1000000 OR item_id % 2 = 1").withColumnRenamed("item_id", "ref_id")
-    return hm.phash_match(h.where("item_id < 1000000 AND item_id % 2 = 0"), index)
+    p = hm.phash_match(h.where("item_id < 1000000 AND item_id % 2 = 0"), index)
+    return p.select(*halves("hash_a", "a"), *halves("hash_b", "b"), "distance", "n_items", "n_refs")
 
 
 @query(
     "phash_findings",
-    f"""WITH {HASH_DUCK}, m AS (SELECT q.item_id, count(*) n, min({DIST.format(a='q', b='r')})::INT d FROM hash64 q JOIN hash64 r ON q.item_id < 1000000 AND r.item_id >= 1000000 AND r.item_id % 3 = 1
+    f"""WITH {HASH_DUCK}, m AS (SELECT q.item_id, count(*) n, min({DIST.format(a='q', b='r')})::INT d FROM hash64 q JOIN hash64 r ON q.item_id < 1000000 AND r.item_id >= 1000000
          AND {DIST.format(a='q', b='r')} <= 6 GROUP BY 1)
        SELECT h.item_id, CASE WHEN n > 0 THEN 'WARN' ELSE 'INFO' END AS status, coalesce(n, 0) AS matches, d AS nearest, NULL::VARCHAR AS note FROM hash64 h LEFT JOIN m USING (item_id) WHERE h.item_id < 1000000""",
 )
 def _(spark, sf):
     h = hash64(spark, sf)
-    index = h.where("item_id >= 1000000 AND item_id % 3 = 1").withColumnRenamed("item_id", "ref_id")
-    return hm.phash_findings(h.where("item_id < 1000000"), index)
+    return hm.phash_findings(h.where("item_id < 1000000"), h.where("item_id >= 1000000").withColumnRenamed("item_id", "ref_id"))
 
 
 @query(

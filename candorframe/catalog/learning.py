@@ -97,15 +97,12 @@ LOADED = """SELECT user_id AS calib_id, e.section, e.key, max_by(e.value, event_
 @query(
     "sanitise_calibration",
     """WITH u AS (SELECT DISTINCT user_id AS id FROM events), v AS (SELECT user_id AS id, event_id % 5 AS c, arg_max(value, event_id) AS v FROM events GROUP BY 1, 2),
-       d(section, key, dv, c) AS (VALUES ('','samples_processed',0.0,3),('feature_weights','noise_residual',0.35,0),('sensitivity_offsets','noise_center_offset',0.0,1),('motion_thresholds','high_warping_var',140.0,2),
-        ('thresholds','flatness_synthetic_max',0.002,NULL),('thresholds','silence_synthetic_min',0.12,NULL))
+       d(section, key, dv, c) AS (VALUES ('','samples_processed',0.0,3),""" + ",".join(f"('{x[1]}','{x[2]}',{x[3]}," + {"noise_residual": "0", "noise_center_offset": "1", "high_warping_var": "2"}.get(x[2], "NULL") + ")" for x in fb.DEFAULTS) + """)
        SELECT id AS calib_id, section, key, round((CASE d.c WHEN 0 THEN CASE WHEN v/100 <= 2 THEN v/100 ELSE dv END WHEN 1 THEN CASE WHEN v/200 <= 1 THEN v/200 ELSE dv END WHEN 2 THEN CASE WHEN id % 2 = 1 THEN coalesce(v, dv) ELSE dv END
         WHEN 3 THEN CASE WHEN id % 3 = 2 AND v IS NOT NULL THEN id ELSE 0 END ELSE dv END)::DOUBLE, 6) AS value FROM u CROSS JOIN d LEFT JOIN v USING (id, c)""",
 )
 def _(spark, sf):
-    keep = ["noise_residual", "noise_center_offset", "high_warping_var", "flatness_synthetic_max", "silence_synthetic_min"]
-    rows = [(s, k, v) for _, s, k, v in fb.DEFAULTS if k in keep]
-    defaults = spark.createDataFrame(rows, "section string, key string, value double")
+    defaults = [d[1:] for d in fb.DEFAULTS]
     return fb.sanitise_calibration(spark_sql(spark, sf, LOADED), defaults).select("calib_id", "section", "key", round6("value"))
 
 

@@ -21,6 +21,48 @@ AUDIO_FORMATS = {
 VIDEO_FORMATS = {".mp4": "mp4", ".m4v": "mp4", ".mov": "mov", ".avi": "avi", ".mkv": "mkv", ".webm": "mkv", ".3gp": "mp4"}
 HEIF_BRANDS = [b"ftypheic", b"ftypheix", b"ftypmif1", b"ftypavif", b"ftyphevc", b"ftypmsf1"]
 
+# How formats show themselves: use, name, and parts (offset, one of these bytes; none: the byte is there) that must all hold.
+SIGNATURES = [
+    ("image", "jpeg", (0, [b"\xff\xd8\xff"])),
+    ("image", "png", (0, [b"\x89PNG\r\n\x1a\n"])),
+    ("image", "gif", (0, [b"GIF87a", b"GIF89a"])),
+    ("image", "webp", (0, [b"RIFF"]), (8, [b"WEBP"])),
+    ("image", "bmp", (0, [b"BM"])),
+    ("image", "tiff", (0, [b"II*\x00", b"MM\x00*"])),
+    ("image", "heif", (4, HEIF_BRANDS)),
+    ("audio", "wav", (0, [b"RIFF"]), (8, [b"WAVE"])),
+    ("audio", "flac", (0, [b"fLaC"])),
+    ("audio", "ogg", (0, [b"OggS"])),
+    ("audio", "aiff", (0, [b"FORM"]), (8, [b"AIFF", b"AIFC"])),
+    ("audio", "m4a", (4, [b"ftyp"])),
+    ("audio", "midi", (0, [b"MThd"])),
+    ("audio", "mp3", (0, [b"ID3"])),
+    ("video", "mov", (4, [b"ftyp"]), (8, [b"qt  "])),
+    ("video", "mp4", (4, [b"ftyp"]), (11, None)),
+    ("video", "mkv", (0, [b"\x1a\x45\xdf\xa3"])),
+    ("video", "avi", (0, [b"RIFF"]), (8, [b"AVI "])),
+    ("ordinary", "still", (0, [b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"GIF8", b"BM"])),
+    ("ordinary", "sound or clip", (0, [b"RIFF", b"OggS", b"fLaC", b"\x1aE\xdf\xa3", b"ID3"])),
+    ("ordinary", "base media", (4, [b"ftyp"])),
+    ("other", "FITS", (0, [b"SIMPLE  ="])),
+    ("other", "DICOM", (128, [b"DICM"])),
+    ("other", "OpenEXR", (0, [b"\x76\x2f\x31\x01"])),
+    ("other", "HDF5", (0, [b"\x89HDF\r\n\x1a\n"])),
+    ("other", "NetCDF", (0, [b"CDF\x01", b"CDF\x02", b"CDF\x05"])),
+    ("other", "AEDAT", (0, [b"#!AER-DAT"])),
+    ("other", "MIDI", (0, [b"MThd"])),
+]
+# Signatures of other file types inside media: name, only in trailing bytes, marks that must all be there.
+FOREIGN = [
+    ("ZIP", False, [b"PK\x03\x04", b"PK\x05\x06"]),
+    ("PDF", False, [b"%PDF-"]),
+    ("PE executable", False, [b"This program cannot be run in DOS mode"]),
+    ("ELF executable", True, [b"\x7fELF"]),
+    ("RAR", True, [b"Rar!\x1a\x07"]),
+    ("7z", True, [b"7z\xbc\xaf\x27\x1c"]),
+]
+ACTIVE_MARKUP = r"<(?:script|html)[\s/>]|<\?php\s"
+
 # Credential markers; one of eight characters or more counts alone, a shorter one only next to the box tag.
 CREDENTIAL_MARKERS = [
     "urn:c2pa", "c2pa", "c2ma", "c2cs", "application/c2pa", "image/jumd", "http://c2pa.org", "c2pa.claim", "c2pa.assertion",
@@ -56,48 +98,41 @@ def declared_format(path: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), extension(path)), F.lit("unknown"))
 
 
-def sniff_image(content: Column) -> Column:
-    head = F.lower(F.substring(F.regexp_replace(latin1(F.substring(content, 1, 8192)), "^[ï»¿ \\t\\r\\n]+", ""), 1, 2048))
-    return (
-        F.when(starts(content, b"\xff\xd8\xff"), "jpeg")
-        .when(starts(content, b"\x89PNG\r\n\x1a\n"), "png")
-        .when(any_start(content, [b"GIF87a", b"GIF89a"]), "gif")
-        .when(starts(content, b"RIFF") & starts(content, b"WEBP", 8), "webp")
-        .when(starts(content, b"BM"), "bmp")
-        .when(any_start(content, [b"II*\x00", b"MM\x00*"]), "tiff")
-        .when(any_start(content, HEIF_BRANDS, 4), "heif")
-        .when(head.startswith("<?xml") | head.contains("<svg"), "svg")
-        .otherwise("unknown")
-    )
+def named(content: Column, use: str) -> Column:
+    """The first format of a use whose signature the content shows, NULL for none."""
+    out = F
+    for where, name, *parts in SIGNATURES:
+        if where == use:
+            shown = F.lit(True)
+            for at, options in parts:
+                shown = shown & (any_start(content, options, at) if options else F.length(content) > at)
+            out = out.when(shown, name)
+    return out
+
 
+def _is_svg(content: Column) -> Column:
+    """Markup is looked for in the first 2,048 characters after a byte order mark and white space, however long these are."""
+    head = F.lower(F.substring(F.regexp_replace(latin1(content), "^[ï»¿ \\t\\r\\n]+", ""), 1, 2048))
+    return head.startswith("<?xml") | head.contains("<svg")
 
-def _byte(content: Column, at: int) -> Column:
-    return F.conv(F.hex(F.substring(content, at + 1, 1)), 16, 10).cast("bigint")
+
+def _mpeg_audio(content: Column) -> Column:
+    """A bare MPEG or ADTS frame: eleven sync bits, and the layer bits tell which."""
+    second = F.conv(F.hex(F.substring(content, 2, 1)), 16, 10).cast("bigint")
+    frame = starts(content, b"\xff") & (second.bitwiseAND(0xE0) == 0xE0)
+    return F.when(frame, F.when(second.bitwiseAND(0xF6) == 0xF0, "aac").otherwise("mp3"))
+
+
+def sniff_image(content: Column) -> Column:
+    return F.coalesce(named(content, "image"), F.when(_is_svg(content), "svg"), F.lit("unknown"))
 
 
 def sniff_audio(content: Column) -> Column:
-    second = _byte(content, 1)
-    sync = starts(content, b"\xff") & (second.bitwiseAND(0xE0) == 0xE0)
-    return (
-        F.when(starts(content, b"RIFF") & starts(content, b"WAVE", 8), "wav")
-        .when(starts(content, b"fLaC"), "flac")
-        .when(starts(content, b"OggS"), "ogg")
-        .when(starts(content, b"FORM") & any_start(content, [b"AIFF", b"AIFC"], 8), "aiff")
-        .when(starts(content, b"ftyp", 4), "m4a")
-        .when(starts(content, b"MThd"), "midi")
-        .when(starts(content, b"ID3"), "mp3")
-        .when(sync, F.when(second.bitwiseAND(0xF6) == 0xF0, "aac").otherwise("mp3"))
-        .otherwise("unknown")
-    )
+    return F.coalesce(named(content, "audio"), _mpeg_audio(content), F.lit("unknown"))
 
 
 def sniff_video(content: Column) -> Column:
-    return (
-        F.when(starts(content, b"ftyp", 4) & (F.length(content) >= 12), F.when(starts(content, b"qt  ", 8), "mov").otherwise("mp4"))
-        .when(starts(content, b"\x1a\x45\xdf\xa3"), "mkv")
-        .when(starts(content, b"RIFF") & starts(content, b"AVI ", 8), "avi")
-        .otherwise("unknown")
-    )
+    return F.coalesce(named(content, "video"), F.lit("unknown"))
 
 
 def format_audit(content: Column, path: Column, modality: str) -> Column:
@@ -119,42 +154,20 @@ def format_audit(content: Column, path: Column, modality: str) -> Column:
 
 def out_of_scope(content: Column) -> Column:
     """Name of a scientific, medical or symbolic format, NULL for ordinary media, whose magic bytes win over any stray tag."""
-    ordinary = (
-        any_start(content, [b"\xff\xd8\xff", b"\x89PNG\r\n\x1a\n", b"GIF8", b"RIFF", b"OggS", b"fLaC", b"\x1aE\xdf\xa3", b"ID3", b"BM"])
-        | starts(content, b"ftyp", 4)
-    )
-    return (
-        F.when(ordinary, F.lit(None).cast("string"))
-        .when(starts(content, b"SIMPLE  ="), "FITS")
-        .when(starts(content, b"DICM", 128), "DICOM")
-        .when(starts(content, b"\x76\x2f\x31\x01"), "OpenEXR")
-        .when(starts(content, b"\x89HDF\r\n\x1a\n"), "HDF5")
-        .when(any_start(content, [b"CDF\x01", b"CDF\x02", b"CDF\x05"]), "NetCDF")
-        .when(starts(content, b"#!AER-DAT"), "AEDAT")
-        .when(starts(content, b"MThd"), "MIDI")
-    )
+    return F.when(named(content, "ordinary").isNull(), named(content, "other"))
 
 
 def scan_polyglot(content: Column, trailing: Column | None = None) -> Column:
-    """Sorted names of foreign signatures in the content; ELF, RAR and 7z only in the bytes after the media payload."""
-
-    def hit(where: Column, data: bytes) -> Column:
-        return F.contains(where, raw(data))
-
-    active = F.lower(latin1(content)).rlike(r"<(?:script|html)[\s/>]|<\?php\s")
-    rows = [
-        F.when(hit(content, b"PK\x03\x04") & hit(content, b"PK\x05\x06"), F.lit("ZIP")),
-        F.when(hit(content, b"%PDF-"), F.lit("PDF")),
-        F.when(active, F.lit("HTML/Script")),
-        F.when(hit(content, b"This program cannot be run in DOS mode"), F.lit("PE executable")),
-    ]
-    if trailing is not None:
-        rows += [
-            F.when(hit(trailing, b"\x7fELF"), F.lit("ELF executable")),
-            F.when(hit(trailing, b"Rar!\x1a\x07"), F.lit("RAR")),
-            F.when(hit(trailing, b"7z\xbc\xaf\x27\x1c"), F.lit("7z")),
-        ]
-    return F.array_sort(F.array_compact(F.array(*rows)))
+    """Sorted names of foreign signatures in the content; those marked so only in the bytes after the media payload."""
+    found = [F.when(F.lower(latin1(content)).rlike(ACTIVE_MARKUP), F.lit("HTML/Script"))]
+    for name, only_trailing, marks in FOREIGN:
+        where = trailing if only_trailing else content
+        if where is not None:
+            held = F.lit(True)
+            for mark in marks:
+                held = held & F.contains(where, raw(mark))
+            found.append(F.when(held, F.lit(name)))
+    return F.sort_array(F.array_compact(F.array(*found)))
 
 
 def extract_xmp(content: Column) -> Column:

@@ -189,10 +189,13 @@ def declared_terms(c: dict[str, Column]) -> Column:
     return F.map_from_entries(rows)
 
 
-def pool_audio(c: dict[str, Column], offset: float = 0.0, flatness_max: float = 0.002, silence_min: float = 0.12) -> Column:
-    """P(AI) of a recording. ``c``: has_vocoder_cutoff, spectral_flatness, digital_silence_ratio (NULL = not measured), high_freq_ratio,
+def pool_audio(
+    c: dict[str, Column], offset: Column | float = 0.0, flatness_max: Column | float = 0.002, silence_min: Column | float = 0.12, weights: dict[str, Column | float] | None = None
+) -> Column:
+    """P(AI) of a recording. Offset, thresholds and weights may be columns, such as a joined calibration; weights that are not given keep
+    their defaults. ``c``: has_vocoder_cutoff, spectral_flatness, digital_silence_ratio (NULL = not measured), high_freq_ratio,
     neural_prob (NULL = none)."""
-    w = AUDIO_WEIGHTS
+    w = AUDIO_WEIGHTS | (weights or {})
     measured = c["digital_silence_ratio"].isNotNull()
     without = F.lit(1.0) - w["silence"]
     scale = F.when(measured, F.lit(1.0)).otherwise(1 / without)
@@ -205,14 +208,14 @@ def pool_audio(c: dict[str, Column], offset: float = 0.0, flatness_max: float =
     return clip(blended + offset, 0.01, 0.99)
 
 
-def pool_video(c: dict[str, Column], offset: float = 0.0) -> Column:
-    """P(AI) of a clip; a cue that was not measured gives its weight to the others. ``c``: mean_frame_ai, warping_risk, has_flicker,
-    neural_prob."""
-    w = VIDEO_WEIGHTS
+def pool_video(c: dict[str, Column], offset: Column | float = 0.0, weights: dict[str, Column | float] | None = None) -> Column:
+    """P(AI) of a clip. Offset and weights may be columns, such as a joined calibration; a cue that was not measured gives its weight to the
+    others. ``c``: mean_frame_ai, warping_risk, has_flicker, neural_prob."""
+    w = VIDEO_WEIGHTS | (weights or {})
     warp_w = F.when(c["warping_risk"].isNull(), 0.0).otherwise(w["warp"])
     flick_w = F.when(c["has_flicker"].isNull(), 0.0).otherwise(w["flicker"])
     neural_w = F.when(c["neural_prob"].isNull(), 0.0).otherwise(w["neural"])
-    total = F.lit(w["frame"]) + warp_w + flick_w + neural_w
+    total = F.lit(0.0) + w["frame"] + warp_w + flick_w + neural_w
     risky = F.coalesce(c["warping_risk"].isin("HIGH_WARPING_DETECTED", "SUSPICIOUS_FLICKER", "UNNATURAL_FREEZE"), F.lit(False))
     raw = (
         c["mean_frame_ai"] * w["frame"]

@@ -110,7 +110,7 @@ def nms(boxes: DataFrame, iou: float = MERGE_IOU, limit: int = GROUP_LIMIT) -> D
     """
     cols = ["image_id", "box_id", "x", "y", "w", "h", "score"]
     small, big = _by_size(boxes.select(*cols), limit)
-    listed = small.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct((-C("score")).alias("rank"), "box_id", "x", "y", "w", "h"))).alias("b"))
+    listed = small.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((-C("score")).alias("rank"), "box_id", "x", "y", "w", "h"))).alias("b"))
 
     def overlaps(k: Column, n: Column) -> Column:
         iw = F.least(k["x"] + k["w"], n["x"] + n["w"]) - F.greatest(k["x"], n["x"])
@@ -152,7 +152,7 @@ def pair_faces_persons(faces: DataFrame, persons: DataFrame, limit: int = GROUP_
     owners = points_in_boxes(f, p).select("image_id", "face_id", "f_area", "person_id", "p_area")
     small, big = _by_size(owners, limit)
     at = F.struct((-C("f_area")).alias("fa"), "face_id", "p_area", "person_id")
-    listed = small.groupBy("image_id").agg(F.array_sort(F.collect_list(at)).alias("e"))
+    listed = small.groupBy("image_id").agg(F.sort_array(F.collect_list(at)).alias("e"))
 
     def take(acc: Column, e: Column) -> Column:
         busy = F.exists(acc, lambda k: (k["face_id"] == e["face_id"]) | (k["person_id"] == e["person_id"]))

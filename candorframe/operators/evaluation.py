@@ -275,18 +275,31 @@ def drift_report(reference: DataFrame, current: DataFrame, value: str, alpha: fl
     )
 
 
-def stratified_sample(df: DataFrame, stratum: str, quota: Column, row_id: str, seed: int) -> DataFrame:
-    """min(n, quota) rows of each stratum in a seeded hash order.
+#: Leading bits of a hash that rows are counted by.
+HASH_BITS = 12
+
 
-    A partial top-k runs per (stratum, hash bucket), so a stratum that holds most of the table is spread over many tasks; only quota rows
-    per bucket reach the last ranking.
+def first_by_hash(df: DataFrame, strata: list[str], quota: Column, row_id: str, seed: int) -> DataFrame:
+    """min(n, quota) rows of each stratum, the first in a seeded hash order; ``quota`` is the same for all rows of a stratum.
+
+    Rows are counted per leading bits of the hash. That small table says up to which bits the quota reaches, so only about a quota of rows is
+    shuffled and ranked, whatever the size of a stratum.
     """
     from pyspark.sql import Window as W
 
-    marked = df.withColumns(
-        {"_k": F.xxhash64(F.lit(seed), F.col(row_id)), "_b": F.pmod(F.hash(F.col(row_id)), F.lit(256)), "_quota": quota.cast("bigint")}
-    )
-    for keys in ([stratum, "_b"], [stratum]):
-        w = W.partitionBy(*keys).orderBy("_k", row_id)
-        marked = marked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("_quota"))
-    return marked.drop("_k", "_b", "_n", "_quota")
+    key = F.xxhash64(F.lit(seed), F.col(row_id))
+    marked = df.withColumns({"_k": key, "_b": F.shiftrightunsigned(key, 64 - HASH_BITS), "_quota": quota.cast("bigint")})
+    size = marked.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"), F.max("_quota").alias("_q"))
+    before = F.sum("_n").over(W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    reached = size.withColumn("_before", F.coalesce(before, F.lit(0))).where("_before < _q").select(*strata, "_b", "_before")
+    on = marked["_b"] == reached["_b"]
+    for s in strata:
+        on = on & marked[s].eqNullSafe(reached[s])
+    kept = marked.join(reached, on).select(marked["*"], "_before")
+    inside = F.row_number().over(W.partitionBy(*strata, "_b").orderBy("_k", row_id))
+    return kept.withColumn("_at", F.col("_before") + inside).where("_at <= _quota").drop("_k", "_b", "_quota", "_before", "_at")
+
+
+def stratified_sample(df: DataFrame, stratum: str, quota: Column, row_id: str, seed: int) -> DataFrame:
+    """min(n, quota) rows of each stratum in a seeded hash order."""
+    return first_by_hash(df, [stratum], quota, row_id, seed)

@@ -47,7 +47,7 @@ def dimension_report(findings: DataFrame, order: list[str]) -> DataFrame:
     counts = per_stage.groupBy("media_id").agg(
         F.sum("n").alias("total"),
         *[F.sum(s.lower()).alias(s.lower()) for s in STATUSES],
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "n")))).alias("by_stage"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", "n")))).alias("by_stage"),
     )
     reliable = findings.where((F.col("evidence_class") == "RELIABILITY") & F.col("level").isNotNull())
     first = reliable.groupBy("media_id").agg(F.min(F.struct(*order, "level")).getField("level").alias("reliability_level"))

@@ -81,7 +81,7 @@ def _compose(a: Column, b: Column) -> Column:
 
 
 def _fold(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "d", "lo", "hi"))).alias("s"), F.min(order).alias(order))
+    listed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, "d", "lo", "hi"))).alias("s"), F.min(order).alias(order))
     start = F.struct(F.lit(0.0).alias("d"), F.lit(-INF).alias("lo"), F.lit(INF).alias("hi"))
     return listed.select(*keys, order, F.aggregate("s", start, _compose).alias("f")).select(*keys, order, "f.d", "f.lo", "f.hi")
 
@@ -103,11 +103,11 @@ def calibrate(feedback: DataFrame, modality: str, order: list[str], chunk: int =
     return start.join(total, "param", "left").select("section", "key", F.coalesce(moved, C("start")).alias("value"), samples.alias("samples"))
 
 
-def sanitise_calibration(loaded: DataFrame, defaults: DataFrame) -> DataFrame:
+def sanitise_calibration(loaded: DataFrame, defaults: list[tuple[str, str, float]]) -> DataFrame:
     """(calib_id, section, key, value): every default filled in, and a missing, non-numeric, non-finite or out-of-range value replaced by it.
 
-    ``loaded``: calib_id, section, key, value (text); ``defaults``: section, key, value (double), a fixed list that goes along with each
-    calibration as a map-side array. ``samples_processed`` (section '') falls back to 0.
+    ``loaded``: calib_id, section, key, value (text); ``defaults``: section, key, value, a fixed list that goes along with each calibration as
+    a map-side array. ``samples_processed`` (section '') falls back to 0.
     """
     number = C("value").try_cast("double")
     low, high = F.lit(-1.0e9), F.lit(1.0e9)
@@ -119,10 +119,9 @@ def sanitise_calibration(loaded: DataFrame, defaults: DataFrame) -> DataFrame:
     given = loaded.select(
         "calib_id", "section", "key", F.when(C("key") == "samples_processed", F.when(count >= 0, count.cast("double"))).when(fine, number).alias("given")
     )
-    listed = defaults.collect()
     every = F.array(
         F.struct(F.lit("").alias("section"), F.lit("samples_processed").alias("key"), F.lit(0.0).alias("default")),
-        *[F.struct(F.lit(r["section"]).alias("section"), F.lit(r["key"]).alias("key"), F.lit(float(r["value"])).alias("default")) for r in listed],
+        *[F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), F.lit(float(value)).alias("default")) for section, key, value in defaults],
     )
     wanted = loaded.select("calib_id").distinct().withColumn("w", F.explode(every)).select("calib_id", "w.*")
     one = given.groupBy("calib_id", "section", "key").agg(F.max("given").alias("given"))

@@ -99,17 +99,25 @@ def hamming_pairs(left: DataFrame, right: DataFrame | None, k: int, r: int = 2,
 
 
 def phash_match(query: DataFrame, index: DataFrame, max_bits: int = IMAGE_MATCH_BITS) -> DataFrame:
-    """(item_id, ref_id, distance) for every reference within the distance. Input: item_id, hash; ref_id, hash."""
+    """(hash_a, hash_b, distance, n_items, n_refs): query and reference hashes within the distance, one row per pair of hash values, with the
+    items and references that have them. Input: item_id, hash; ref_id, hash.
+
+    Joining back by hash names the items; copies times copies are not written out.
+    """
+    items = query.where("hash IS NOT NULL").groupBy(C("hash").alias("hash_a")).agg(F.count(F.lit(1)).alias("n_items"))
+    refs = index.where("hash IS NOT NULL").groupBy(C("hash").alias("hash_b")).agg(F.count(F.lit(1)).alias("n_refs"))
     pairs = hamming_pairs(query, index, max_bits)
-    found = query.select("item_id", C("hash").alias("hash_a")).join(pairs, "hash_a")
-    return found.join(index.select("ref_id", C("hash").alias("hash_b")), "hash_b").select("item_id", "ref_id", "distance")
+    return pairs.join(items, "hash_a").join(refs, "hash_b").select("hash_a", "hash_b", "distance", "n_items", "n_refs")
 
 
 def phash_findings(query: DataFrame, index: DataFrame, max_bits: int = IMAGE_MATCH_BITS) -> DataFrame:
-    """One finding per query item: WARN with the number of matches and the nearest distance, else INFO; a note when the index is empty."""
-    m = phash_match(query, index, max_bits).groupBy("item_id").agg(F.count(F.lit(1)).alias("matches"), F.min("distance").alias("nearest"))
+    """One finding per query item: WARN with the number of matches and the nearest distance, else INFO; a note when the index is empty.
+
+    References are counted per hash before any join, so copies on either side do not multiply.
+    """
+    m = phash_match(query, index, max_bits).groupBy(C("hash_a").alias("hash")).agg(F.sum("n_refs").alias("matches"), F.min("distance").alias("nearest"))
     size = index.agg(F.count(F.lit(1))).scalar()
-    out = query.select("item_id").join(m, "item_id", "left").withColumn("_n", size)
+    out = query.select("item_id", "hash").join(m, "hash", "left").withColumn("_n", size)
     return out.select(
         "item_id", F.when(C("matches") > 0, "WARN").otherwise("INFO").alias("status"), F.coalesce("matches", F.lit(0)).alias("matches"), "nearest",
         F.when(C("_n") == 0, "no reference index").alias("note"),
@@ -131,10 +139,10 @@ def near_duplicate_pairs(items: DataFrame, max_bits: int = NEAR_DUPLICATE_BITS)
     return near.select("hash_a", "hash_b", "distance", "n_a", "n_b").unionByName(copies)
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) with root the smallest node of the component, for every node of ``edges`` (a, b).
 
-    Alternating large-star and small-star steps; each round is kept in the checkpoint folder. Fails loudly if the rounds do not suffice.
+    Alternating large-star and small-star steps; each round is kept in the checkpoint folder. Goes on until nothing moves.
     """
 
     def oriented(df: DataFrame) -> DataFrame:
@@ -155,14 +163,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     current = durable(oriented(edges))
     mark = digest(current)
-    for _ in range(max_rounds):
+    while True:
         current = durable(small_star(large_star(current)))
         fresh = digest(current)
         if fresh == mark:
             roots = current.select(C("b").alias("node"), C("b").alias("root")).distinct()
             return current.select(C("a").alias("node"), C("b").alias("root")).unionByName(roots)
         mark = fresh
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
 def near_duplicate_groups(items: DataFrame, max_bits: int = NEAR_DUPLICATE_BITS) -> DataFrame:
@@ -213,7 +220,7 @@ def audio_fingerprint_match(query: DataFrame, index: DataFrame, block: int = 256
 
     def blocks(df: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
         cut = df.join(sizes.select(key), key).groupBy(key, F.expr(f"idx div {block}").alias("blk"))
-        return cut.agg(F.array_sort(F.collect_list(F.struct("idx", "bits"))).alias("f")).select(
+        return cut.agg(F.sort_array(F.collect_list(F.struct("idx", "bits"))).alias("f")).select(
             C(key).alias("rec"), (C("blk") * block).alias("start"), C("f.bits").alias("bits")
         )
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candorframe.operators.ordering import CHUNK, chunked_fold, position, prefix_scan
+from candorframe.operators.evaluation import first_by_hash
 from candorframe.functions.whitespace import strip
 
 C = F.col
@@ -149,9 +150,8 @@ def select_for_retrain(registry: DataFrame, scan: DataFrame, replay_ratio: int =
     rows = resolvable(registry, scan).withColumn("side", partition_split(C("sha256")))
     train = rows.where("side = 'train'")
     fresh = train.where("status = 'new'")
-    seen = train.where("status = 'seen'").withColumn("_k", F.xxhash64(F.lit(seed), "sha256"))
     quota = fresh.agg(F.greatest(F.lit(min_replay), replay_ratio * F.count(F.lit(1)))).scalar()
-    replay = position(seen, [], ["_k", "sha256"], "_pos").withColumn("_quota", quota).where("_pos < _quota")
+    replay = first_by_hash(train.where("status = 'seen'"), ["side"], quota, "sha256", seed)
     cols = ["side", "sha256", "label"]
     return fresh.select(*cols).unionByName(replay.select(*cols)).unionByName(rows.where("side = 'val'").select(*cols))
 
@@ -196,7 +196,7 @@ def training_manifest(models: DataFrame, corrections: DataFrame) -> DataFrame:
     used = C("active") & C("trained_files").isNotNull()
     agg = models.groupBy("modality").agg(
         F.coalesce(F.sum(F.when(used, C("trained_files"))), F.lit(0)).alias("training_files_total"),
-        F.array_join(F.array_sort(F.collect_set(F.when(used, C("model")))), ", ").alias("trained_models"),
+        F.array_join(F.sort_array(F.collect_set(F.when(used, C("model")))), ", ").alias("trained_models"),
     )
     done = corrections.groupBy("modality").agg(F.count(F.lit(1)).alias("corrections"))
     return agg.join(done, "modality", "left").withColumn("corrections", F.coalesce("corrections", F.lit(0)))
@@ -237,7 +237,7 @@ def admit_batch(files: DataFrame, file_bytes: float, batch_bytes: float, chunk:
             taken = F.struct((acc["used"] + f["size_bytes"]).alias("used"), F.array_append(acc["kept"], f).alias("kept"))
             return F.when(fits, taken).otherwise(acc)
 
-        listed = src.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("pos", "size_bytes"))).alias("f"))
+        listed = src.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("pos", "size_bytes"))).alias("f"))
         kept = listed.select("batch", "f", F.aggregate("f", start, step)["kept"]["pos"].alias("kept"))
         rows = kept.select("batch", "kept", F.explode("f").alias("x"))
         return rows.select("batch", "x.pos", "x.size_bytes", F.array_contains("kept", C("x.pos")).alias("admitted"))
