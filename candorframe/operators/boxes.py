@@ -15,7 +15,6 @@ from candorframe.session import durable
 
 C = F.col
 CELL = 128.0
-GROUP_LIMIT = 5_000
 
 # Suppression, matching and texture limits.
 MERGE_IOU = 0.40
@@ -95,54 +94,30 @@ def match_annotations(subjects: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def _by_size(df: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of images with at most ``limit`` boxes, and the rest (None when there is none)."""
-    big = df.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")).where(C("_n") > limit).select("image_id")
-    if not big.take(1):
-        return df, None
-    return df.join(big, "image_id", "left_anti"), df.join(big, "image_id", "left_semi")
-
-
-def nms(boxes: DataFrame, iou: float = MERGE_IOU, limit: int = GROUP_LIMIT) -> DataFrame:
+def nms(boxes: DataFrame, iou: float = MERGE_IOU) -> DataFrame:
     """Greedy non-maximum suppression: (image_id, box_id) of the kept boxes. Input: image_id, box_id (unique per image), x, y, w, h, score.
 
-    Equal scores keep the order of box_id.
+    Equal scores keep the order of box_id; a box without a score, or with NaN, is the weakest. Goes by rounds: a box without an undecided better
+    neighbour is kept and removes its worse neighbours. The state of a round is one table of the boxes.
     """
-    cols = ["image_id", "box_id", "x", "y", "w", "h", "score"]
-    small, big = _by_size(boxes.select(*cols), limit)
-    listed = small.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct((-C("score")).alias("rank"), "box_id", "x", "y", "w", "h"))).alias("b"))
-
-    def overlaps(k: Column, n: Column) -> Column:
-        iw = F.least(k["x"] + k["w"], n["x"] + n["w"]) - F.greatest(k["x"], n["x"])
-        ih = F.least(k["y"] + k["h"], n["y"] + n["h"]) - F.greatest(k["y"], n["y"])
-        inter = iw * ih
-        return (iw > 0) & (ih > 0) & (inter / (k["w"] * k["h"] + n["w"] * n["h"] - inter) >= iou)
-
-    survivors = F.aggregate("b", F.slice("b", 1, 0), lambda acc, n: F.when(F.exists(acc, lambda k: overlaps(k, n)), acc).otherwise(F.array_append(acc, n)))
-    kept = listed.select("image_id", F.explode(survivors).alias("k")).select("image_id", "k.box_id")
-    return kept if big is None else kept.unionByName(nms_by_rounds(big, iou))
-
-
-def nms_by_rounds(boxes: DataFrame, iou: float = MERGE_IOU) -> DataFrame:
-    """The same answer as the greedy pass, by rounds: a box without an undecided better neighbour is kept and removes its worse neighbours."""
+    known = F.when(~F.isnan("score"), C("score").cast("double"))
+    ranked = boxes.select("image_id", "box_id", "x", "y", "w", "h", F.coalesce(known, F.lit(float("-inf"))).alias("score"))
     better = (C("a_score") > C("b_score")) | ((C("a_score") == C("b_score")) & (C("a_box_id") < C("b_box_id")))
-    edges = overlap_pairs(boxes, boxes, ["box_id", "score"], better).where(C("iou") >= iou).select("image_id", "a_box_id", "b_box_id")
-    edges, left = durable(edges), boxes.select("image_id", "box_id")
-    kept = None
-    while True:
-        blocked = edges.select("image_id", C("b_box_id").alias("box_id"))
-        fresh = durable(left.join(blocked, ["image_id", "box_id"], "left_anti"))
-        kept = fresh if kept is None else kept.unionByName(fresh)
-        gone = fresh.select("image_id", C("box_id").alias("a_box_id")).join(edges, ["image_id", "a_box_id"]).select("image_id", C("b_box_id").alias("box_id"))
-        left = durable(left.join(fresh, ["image_id", "box_id"], "left_anti").join(gone, ["image_id", "box_id"], "left_anti"))
-        if not left.take(1):
-            return kept
-        for end in ("a_box_id", "b_box_id"):
-            edges = edges.join(left.withColumnRenamed("box_id", end), ["image_id", end], "left_semi")
-        edges = durable(edges)
-
-
-def pair_faces_persons(faces: DataFrame, persons: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+    edges = overlap_pairs(ranked, ranked, ["box_id", "score"], better).where(C("iou") >= iou).select("image_id", "a_box_id", "b_box_id")
+    edges = durable(edges)
+    # A box that overlaps no better one is settled at once; only the others take part in the rounds.
+    worse = edges.select("image_id", C("b_box_id").alias("box_id")).distinct().withColumn("_worse", F.lit(True))
+    state = ranked.select("image_id", "box_id").join(worse, ["image_id", "box_id"], "left")
+    state = durable(state.select("image_id", "box_id", F.when(C("_worse").isNull(), True).alias("kept")))
+    while not state.where("kept IS NULL").isEmpty():
+        ends = edges.join(state.select("image_id", C("box_id").alias("a_box_id"), C("kept").alias("_a")), ["image_id", "a_box_id"])
+        seen = ends.groupBy("image_id", C("b_box_id").alias("box_id")).agg(F.bool_or(F.coalesce("_a", F.lit(False))).alias("_beaten"), F.bool_or(C("_a").isNull()).alias("_waits"))
+        now = F.when(C("kept").isNotNull(), C("kept")).when(C("_beaten"), False).when(~C("_waits"), True)
+        state = durable(state.join(seen, ["image_id", "box_id"], "left").select("image_id", "box_id", now.alias("kept")))
+    return state.where("kept").select("image_id", "box_id")
+
+
+def pair_faces_persons(faces: DataFrame, persons: DataFrame) -> DataFrame:
     """(image_id, face_id, person_id): largest face first, to the smallest free person box that holds its centre; the rest stay one-sided.
 
     Input: image_id, box_id, x, y, w, h on both sides. Ties go to the lower box_id.
@@ -150,24 +125,14 @@ def pair_faces_persons(faces: DataFrame, persons: DataFrame, limit: int = GROUP_
     f = faces.select("image_id", C("box_id").alias("face_id"), (C("w") * C("h")).alias("f_area"), (C("x") + C("w") / 2).alias("px"), (C("y") + C("h") / 2).alias("py"))
     p = persons.select("image_id", C("box_id").alias("person_id"), (C("w") * C("h")).alias("p_area"), "x", "y", (C("x") + C("w")).alias("x1"), (C("y") + C("h")).alias("y1"))
     owners = points_in_boxes(f, p).select("image_id", "face_id", "f_area", "person_id", "p_area")
-    small, big = _by_size(owners, limit)
-    at = F.struct((-C("f_area")).alias("fa"), "face_id", "p_area", "person_id")
-    listed = small.groupBy("image_id").agg(F.sort_array(F.collect_list(at)).alias("e"))
-
-    def take(acc: Column, e: Column) -> Column:
-        busy = F.exists(acc, lambda k: (k["face_id"] == e["face_id"]) | (k["person_id"] == e["person_id"]))
-        return F.when(busy, acc).otherwise(F.array_append(acc, e))
-
-    pairs = listed.select("image_id", F.explode(F.aggregate("e", F.slice("e", 1, 0), take)).alias("k")).select("image_id", "k.face_id", "k.person_id")
-    if big is not None:
-        pairs = pairs.unionByName(pair_by_rounds(big))
+    pairs = pair_by_rounds(owners)
     lone_f = f.select("image_id", "face_id").join(pairs, ["image_id", "face_id"], "left_anti")
     lone_p = p.select("image_id", "person_id").join(pairs, ["image_id", "person_id"], "left_anti")
     return pairs.unionByName(lone_f, allowMissingColumns=True).unionByName(lone_p, allowMissingColumns=True)
 
 
 def pair_by_rounds(owners: DataFrame) -> DataFrame:
-    """The same pairs by rounds of proposals: every face without a person asks its smallest untried one, every person keeps the largest
+    """The greedy pairs by rounds of proposals: every face without a person asks its smallest untried one, every person keeps the largest
     face that ever asked; a person's choice only improves, so the outcome is that of the greedy pass."""
     open_ = durable(owners)
     held = None

@@ -225,23 +225,10 @@ def recent_corrections(feedback: DataFrame, order: list[Column], limit: int = 15
 
 def admit_batch(files: DataFrame, file_bytes: float, batch_bytes: float, chunk: int = CHUNK) -> DataFrame:
     """(batch, pos, size_bytes, admitted) in order of pos: a file over the file limit, or one that would take the batch past its limit, is
-    turned away and does not count. ``pos`` is unique in its batch."""
+    turned away and does not count; so is a file of unknown size. ``pos`` is unique in its batch."""
     import pandas as pd
 
     src = files.select("batch", "pos", "size_bytes")
-    if not src.groupBy("batch").agg(F.count(F.lit(1)).alias("n")).where(C("n") > min(chunk, 10_000)).take(1):
-        start = F.struct(F.lit(0).cast("bigint").alias("used"), F.slice("f", 1, 0).alias("kept"))
-
-        def step(acc: Column, f: Column) -> Column:
-            fits = (f["size_bytes"] <= file_bytes) & (acc["used"] + f["size_bytes"] <= batch_bytes)
-            taken = F.struct((acc["used"] + f["size_bytes"]).alias("used"), F.array_append(acc["kept"], f).alias("kept"))
-            return F.when(fits, taken).otherwise(acc)
-
-        listed = src.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("pos", "size_bytes"))).alias("f"))
-        kept = listed.select("batch", "f", F.aggregate("f", start, step)["kept"]["pos"].alias("kept"))
-        rows = kept.select("batch", "kept", F.explode("f").alias("x"))
-        return rows.select("batch", "x.pos", "x.size_bytes", F.array_contains("kept", C("x.pos")).alias("admitted"))
-
     def fold(rows: pd.DataFrame, used):
         used = 0 if used is None else used
         kept = []

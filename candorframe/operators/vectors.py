@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candorframe.operators.ordering import CHUNK, chunked_fold, exact_quantiles, position
-from candorframe.operators.sequence import block_max_difference, cut
+from candorframe.operators.sequence import cut
 from candorframe.session import durable
 
 C = F.col
@@ -174,41 +174,19 @@ def recognised_as(labels: Column) -> Column:
     return F.when(best["probability"] >= MIN_LABEL_CONFIDENCE, best["label"])
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def group_same_person(faces: DataFrame, threshold: float = SAME_PERSON_COSINE, small: int = 300, block: int = 512) -> DataFrame:
+def group_same_person(faces: DataFrame, threshold: float = SAME_PERSON_COSINE, block: int = 512) -> DataFrame:
     """(album, pos, group_no): greedy, order-stable groups of unit embeddings; -1 without an embedding. Input: album, pos, embedding.
 
-    A face joins the earlier group whose first member is most similar, if at least ``threshold``, else it starts a group. Small albums fold
-    over their sorted faces; larger ones elect first members block by block (see ``_elect``).
+    A face joins the earlier group whose first member is most similar, if at least ``threshold``, else it starts a group. First members are
+    elected block by block (see ``_elect``).
     """
     known = faces.where("embedding IS NOT NULL").select("album", "pos", "embedding")
     bare = faces.where("embedding IS NULL").select("album", "pos", F.lit(-1).cast("bigint").alias("group_no"))
-    big = known.groupBy("album").agg(F.count(F.lit(1)).alias("n")).where(C("n") > small).select("album")
-    has_big = bool(big.take(1))
-    listed = (known.join(big, "album", "left_anti") if has_big else known).groupBy("album").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "embedding"))).alias("f")
-    )
-    start = F.struct(F.slice("f", 1, 0).alias("firsts"), F.array().cast("array<bigint>").alias("groups"))
-
-    def step(acc: Column, x: Column) -> Column:
-        scores = F.transform(acc["firsts"], lambda k: _dot(k["embedding"], x["embedding"]))
-        best = F.array_max(scores)
-        joined = F.struct(acc["firsts"].alias("firsts"), F.array_append(acc["groups"], F.array_position(scores, best).cast("bigint") - 1).alias("groups"))
-        opened = F.struct(F.array_append(acc["firsts"], x).alias("firsts"), F.array_append(acc["groups"], F.size(acc["firsts"]).cast("bigint")).alias("groups"))
-        return F.when(F.coalesce(best >= threshold, F.lit(False)), joined).otherwise(opened)
-
-    folded = listed.select("album", "f", F.aggregate("f", start, step)["groups"].alias("g"))
-    out = folded.select("album", F.explode(F.arrays_zip(C("f.pos").alias("pos"), C("g").alias("group_no"))).alias("z")).select("album", "z.pos", "z.group_no")
-    if has_big:
-        out = out.unionByName(_elect(known.join(big, "album", "left_semi"), threshold, block))
-    return out.unionByName(bare)
+    return _elect(known, threshold, block).unionByName(bare)
 
 
 def _elect(faces: DataFrame, threshold: float, block: int, piece: int = 4_096) -> DataFrame:
-    """Groups of large albums. Each round takes the first ``block`` undecided faces of every album, finds the first members among them in one
+    """Greedy groups. Each round takes the first ``block`` undecided faces of every album, finds the first members among them in one
     small task per album, and lets every piece of the album compare its faces with the new first members; a face with an earlier similar first
     member is no longer a candidate. Faces keep the best first member seen so far. ``pos`` is a unique integer in its album."""
     kind = dict(faces.dtypes)
@@ -260,32 +238,26 @@ def _elect(faces: DataFrame, threshold: float, block: int, piece: int = 4_096) -
         panel = state.select("album", "piece").distinct().join(fresh, "album")
         panel = panel.select(*[C(c).alias(c) for c in panel.columns])
         state = durable(state.groupBy("album", "piece").cogroup(panel.groupBy("album", "piece")).applyInPandas(compare, schema))
+    if leaders is None:
+        return faces.select("album", "pos", F.lit(0).cast("bigint").alias("group_no"))
     numbered = position(leaders, ["album"], ["pos"], "group_no").withColumnRenamed("pos", "leader")
     return state.select("album", "pos", F.coalesce("leader", "pos").alias("leader")).join(numbered, ["album", "leader"]).select("album", "pos", "group_no")
 
 
-def reuse_static_frames(frames: DataFrame, height: int, width: int, limit: float = REUSE_DIFFERENCE, small: int = 2_000, chunk: int = CHUNK) -> DataFrame:
+def reuse_static_frames(frames: DataFrame, height: int, width: int, limit: float = REUSE_DIFFERENCE, chunk: int = CHUNK) -> DataFrame:
     """(clip_id, frame_idx, assessed_at): the frame whose result is used, which is the last assessed one while the picture stays within
-    ``limit`` of it. Input: clip_id, frame_idx, thumb."""
+    ``limit`` of it. Input: clip_id, frame_idx, thumb. A frame without a picture is assessed itself, and so is the one after it; a
+    difference that is not a number counts as none."""
     src = frames.select("clip_id", "frame_idx", "thumb")
-    if not src.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")).where(C("n") > small).take(1):
-        listed = src.groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("frame_idx", "thumb"))).alias("f"))
-        start = F.struct(F.get("f", F.lit(0)).alias("last"), F.array().cast("array<bigint>").alias("at"))
-
-        def step(acc: Column, x: Column) -> Column:
-            still = block_max_difference(x["thumb"], acc["last"]["thumb"], height, width) < limit
-            return F.when(
-                still, F.struct(acc["last"].alias("last"), F.array_append(acc["at"], acc["last"]["frame_idx"].cast("bigint")).alias("at"))
-            ).otherwise(F.struct(x.alias("last"), F.array_append(acc["at"], x["frame_idx"].cast("bigint")).alias("at")))
-
-        folded = listed.select("clip_id", "f", F.aggregate("f", start, step)["at"].alias("at"))
-        z = F.arrays_zip(C("f.frame_idx").alias("frame_idx"), C("at").alias("assessed_at"))
-        return folded.select("clip_id", F.explode(z).alias("z")).select("clip_id", "z.frame_idx", "z.assessed_at")
     bh, bw = (height - height % 6) // 6, (width - width % 8) // 8
 
     def fold(rows: pd.DataFrame, state):
         at = []
         for idx, thumb in zip(rows["frame_idx"], rows["thumb"]):
+            if thumb is None:
+                state = None
+                at.append(int(idx))
+                continue
             t = np.asarray(thumb, dtype=np.float64).reshape(height, width)
             if state is not None:
                 d = np.abs(t - state[1])[: bh * 6, : bw * 8].reshape(6, bh, 8, bw).mean(axis=(1, 3)).max()
