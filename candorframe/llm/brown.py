@@ -16,14 +16,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import signed, stage, texts, words
+from candorframe.llm.common import signed, stage, texts, wide_rows, words
 
 #: Commonest words that are items of their own; items of other words, by their last two letters.
 HEAD, ENDINGS = 6_144, 2_048
@@ -62,6 +61,7 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, list[bytes]]]:
 
 
 def _source(docs: DataFrame) -> DataFrame:
+    wide_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -143,6 +143,8 @@ def exchange(bigrams: DataFrame, frequency: np.ndarray, classes: int = CLASSES,
     blocks of items find their best class; half of the items may move, by turns, so that two that attract each other do not swap for ever. The best round counts.
     END has the last class to itself.
     """
+    import pandas as pd  # not for the other workers
+
     spark = bigrams.sparkSession
     own = np.full(ITEMS, classes - 1, np.int64)
     own[np.argsort(-frequency[:END], kind="stable")] = np.arange(END) % (classes - 1)
@@ -195,6 +197,8 @@ class Model:
 
 def learn(docs: DataFrame, counts: DataFrame) -> Model:
     """The model of the training documents. ``counts``: word_counts of them."""
+    import pandas as pd
+
     common = head(counts)
     learnt = docs.where(~_held_out()).count()
     bigrams = stage(item_bigrams(docs, common), "bigrams")

@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or checkpoint_root(spark)).rstrip("/")
 
 
+def wide_rows(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lowers the session's rows per Arrow batch to at most ``rows``: a text or a page is a wide row, and a batch is held in memory whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())

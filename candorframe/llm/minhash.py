@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import WordHash, mix64, signed, stage, texts, words
+from candorframe.llm.common import WordHash, mix64, signed, stage, texts, wide_rows, words
 from candorframe.llm.graph import components
 
 SHINGLE = 5
@@ -94,6 +94,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_shingles", "node", "buckets"],
             )
 
+    wide_rows(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, buckets array<bigint>")
 

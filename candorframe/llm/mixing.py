@@ -15,12 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import WordHash, stage, texts, words
+from candorframe.llm.common import WordHash, stage, texts, wide_rows, words
 
 #: About this many labelled rows, chosen by hash, fit the classifier; the labels of twice as many at most are broadcast.
 FIT_ROWS = 12_000
@@ -90,6 +88,10 @@ class Membership:
 
 def fit(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], fit_rows: int = FIT_ROWS) -> Membership:
     """Fits on about ``fit_rows`` rows of ``labelled`` (doc_id, domain), whose texts are looked up in ``docs``."""
+    from pyspark.ml.classification import LogisticRegression  # not for the workers
+    from pyspark.ml.functions import array_to_vector
+
+    wide_rows(docs.sparkSession)
     number = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(float(i)))])
     known = labelled.where("doc_id IS NOT NULL").select("doc_id", number[F.col("domain")].alias("label")).where("label IS NOT NULL")
     share = min(1.0, fit_rows / max(known.count(), 1))

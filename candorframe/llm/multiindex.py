@@ -106,6 +106,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, target: float = TARG
     good = usable(vectors, dim).withColumn("key", key)
     single = stage(good.groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding")), "vectors")
     n = single.count()
+    if n == 0:
+        return nothing
     part = lambda m: F.pmod(F.xxhash64("key", F.lit(m)), F.lit(1 << 30)) < int(min(1.0, m / max(n, 1)) * (1 << 30))
     fit = np.array([r["embedding"] for r in single.where(part(FIT_ROWS)).orderBy("key").limit(2 * FIT_ROWS).select("embedding").toLocalIterator()], float)
     if not len(fit):

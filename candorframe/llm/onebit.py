@@ -15,8 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,13 +69,17 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20) -> DataFrame:
     than ``k`` candidates are all returned. Vectors that are null, zero, or hold null or non-finite components, or whose length is not the most
     common one, or without a vec_id, take no part. Rows that repeat id and vector count once. An empty table gives an empty result.
     """
+    from pyspark.ml.functions import array_to_vector  # not for the workers
+    from pyspark.ml.stat import Summarizer
+
     spark = vectors.sparkSession
+    nothing = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     dim = dimension(vectors)
-    if dim == 0:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     use = usable(vectors, dim)
-    stats = use.select(Summarizer.metrics("mean", "count").summary(array_to_vector(F.col("embedding").cast("array<double>"))).alias("s")).select("s.mean", "s.count").first()
-    mean = np.array(stats["mean"].toArray() if stats["mean"] is not None and stats["count"] else np.zeros(dim))
+    if dim == 0 or use.isEmpty():
+        return nothing
+    stats = use.select(Summarizer.metrics("mean").summary(array_to_vector(F.col("embedding").cast("array<double>"))).alias("s")).select("s.mean").first()
+    mean = np.array(stats["mean"].toArray())
     coded = stage(index(vectors, dim, mean), "codes")
     asked = coded.where(queries)
     n_blocks = max(1, -(-coded.count() // VECTOR_BLOCK))

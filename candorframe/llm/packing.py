@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import MEMO_WORDS, stage, texts
+from candorframe.llm.common import MEMO_WORDS, stage, texts, wide_rows
 
 CAPACITY = 4096
 #: Lengths are put into this many classes for the fit.
@@ -88,6 +88,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                         seen[size] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
+    wide_rows(docs.sparkSession)
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, chunk bigint, nth bigint")
 

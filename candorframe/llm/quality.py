@@ -16,12 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import stage, texts
+from candorframe.llm.common import stage, texts, wide_rows
 
 FIT_ROWS = 12_000
 BUCKETS = 1_024
@@ -199,6 +197,10 @@ class Scorer:
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Scorer:
     """Estimates the labellers over all texts of ``docs`` (doc_id, text) and fits the scorer on about ``fit_rows`` of them."""
+    from pyspark.ml.classification import LogisticRegression  # not for the workers
+    from pyspark.ml.functions import array_to_vector
+
+    wide_rows(docs.sparkSession)
     text = F.col("text").cast("string")
     vote_code, shares = F.arrow_udf(vote_codes, "int"), F.arrow_udf(features, "array<float>")
     seen = docs.select(vote_code(text).alias("code")).where("code IS NOT NULL").groupBy("code").count().orderBy("code").toPandas()

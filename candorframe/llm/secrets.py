@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from candorframe.llm.common import wide_rows
+
 SECRETS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -196,6 +198,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                     found[at + d] += [(s, order, e) for s, e in spans(rule, compiled[order], texts[d])]
         return pa.array([[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in sorted(f)] for f in found], kind)
 
+    wide_rows(docs.sparkSession)
     return docs.withColumn("secrets", F.arrow_udf(run, SECRETS)(F.col("text").cast("string")))
 
 

@@ -23,11 +23,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import new_folder, stage
+from candorframe.llm.common import new_folder, stage, wide_rows
 
 LEAST = 1000
 SHARD_BYTES = 256 << 20
@@ -146,7 +145,10 @@ def write_archives(pages: DataFrame, folder: str, *, least: int = LEAST, shard_b
     A null html is an empty payload; a null url gets an urn; a null page_id is written without its header and comes first. Rows that repeat the
     largest page_id of a payload all stay responses. An empty table gives an empty manifest. Writing the same pages again gives the same files.
     """
+    from pyspark.ml.feature import Bucketizer  # not for the workers
+
     spark = pages.sparkSession
+    wide_rows(spark)
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(f"{root}/_temporary", recursive=True)
     sizes = stage(pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))).cast("bigint").alias("payload_bytes")), "sizes")

@@ -190,6 +190,7 @@ def test_nearest_against_all(spark, monkeypatch, blocks):
 
 
 def test_nearest_of_few(spark):
+    assert onebit.nearest(vectors(spark, ODD_VECTORS), "vec_id % 20 = 0").count() == 0
     assert onebit.nearest(vectors(spark, [(20, [1.0, 2.0]), (21, [2.0, 1.0])]), "vec_id % 20 = 0").collect() == [(20, 1, 21, 4.0)]
     assert onebit.nearest(vectors(spark, [(20, [1.0])]).where("false"), "vec_id % 20 = 0").count() == 0
     assert onebit.nearest(vectors(spark, [(20, [1.0, 2.0])]), "vec_id % 20 = 0").count() == 0
