@@ -100,7 +100,7 @@ def nms(boxes: DataFrame, iou: float = MERGE_IOU) -> DataFrame:
     Equal scores keep the order of box_id; a box without a score, or with NaN, is the weakest. Goes by rounds: a box without an undecided better
     neighbour is kept and removes its worse neighbours. The state of a round is one table of the boxes.
     """
-    known = F.when(~F.isnan("score"), C("score").cast("double"))
+    known = F.when(C("score").isNotNull() & ~F.isnan("score"), C("score").cast("double"))
     ranked = boxes.select("image_id", "box_id", "x", "y", "w", "h", F.coalesce(known, F.lit(float("-inf"))).alias("score"))
     better = (C("a_score") > C("b_score")) | ((C("a_score") == C("b_score")) & (C("a_box_id") < C("b_box_id")))
     edges = overlap_pairs(ranked, ranked, ["box_id", "score"], better).where(C("iou") >= iou).select("image_id", "a_box_id", "b_box_id")

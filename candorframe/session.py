@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,7 @@ def checkpoint_root(spark: SparkSession) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir is not set: name a folder that every executor can reach")
             folder = tempfile.mkdtemp(prefix="candorframe-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
