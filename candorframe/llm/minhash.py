@@ -270,8 +270,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     """The rows of ``docs``, one document of each group of near copies, with the columns of ``docs``. Rows with a null doc_id stay."""
     kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    mine = docs.where("doc_id IS NOT NULL").join(kept, "doc_id").select(*[docs[c] for c in docs.columns], "_rows")
+    # Rows travel whole in a struct, so no name of theirs can clash.
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    mine = rows.join(kept, "doc_id")
     # Only ids that come in several rows need their rows compared.
-    once = mine.where("_rows = 1").drop("_rows")
-    more = mine.where("_rows > 1").drop("_rows").dropDuplicates(["doc_id"])
+    once = mine.where("_rows = 1").select("row.*")
+    more = mine.where("_rows > 1").dropDuplicates(["doc_id"]).select("row.*")
     return once.unionByName(more).unionByName(docs.where("doc_id IS NULL"))

@@ -195,6 +195,7 @@ def draw(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], anchor
     member = fit(docs, labelled, domains).column()
     members = stage(docs.select(member.alias("m")).select("m.tokens", "m.p"), "members")
     steps = solve(members, list(targets.values()), domains.index(anchor))
-    rated = docs.withColumn("_m", member).withColumn("_p", F.col("_m.p"))
-    times = F.floor(F.round(rate_column(steps, "_p"), 6) + _draw()).cast("int")
-    return rated.withColumn("_n", times).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    # Rows travel whole in a struct, so no name of theirs can clash.
+    rated = docs.select(F.struct(*docs.columns).alias("row"), _draw().alias("draw"), member.alias("m")).select("row", "draw", F.col("m.p").alias("p"))
+    times = F.floor(F.round(rate_column(steps), 6) + F.col("draw")).cast("int")
+    return rated.withColumn("times", times).where("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -218,7 +218,6 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``[kind]``; overlapping spans are merged and take the first one's kind."""
-    kept = docs.columns
     merged = """aggregate(secrets, array(named_struct('kind', '', 'start', 0L, 'end', 0L)),
         (a, s) -> IF(s.start < element_at(a, -1).end,
             concat(slice(a, 1, size(a) - 1), array(named_struct('kind', element_at(a, -1).kind, 'start', element_at(a, -1).start,
@@ -228,5 +227,7 @@ def mask(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         array_join(transform(sequence(2, size(m)), i -> concat(substring(text, CAST(m[i - 2].end + 1 AS INT), CAST(m[i - 1].start - m[i - 2].end AS INT)),
                    '[', m[i - 1].kind, ']')), ''),
         substring(text, CAST(element_at(m, -1).end + 1 AS INT))) END"""
-    out = scan(docs, rules).withColumn("m", F.expr(merged)).withColumn("text", F.expr(masked))
-    return out.select(*kept)
+    # Rows travel whole in a struct, so no name of theirs can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    out = scan(rows, rules).withColumn("m", F.expr(merged)).select(F.col("row").withField("text", F.expr(masked)).alias("row"))
+    return out.select("row.*")

@@ -72,7 +72,8 @@ def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
     ).select("page_id", "url", "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha1("payload").alias("digest"), F.sha2("payload", 256).alias("_same"))
     large = src.where(F.col("payload_bytes") >= least)
     twice = large.groupBy("_same").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _first IS NOT NULL")
-    joined = src.join(twice.select(F.col("_same"), "_first"), "_same", "left")
+    # Kept as a table, so that Spark knows its size and moves it to the pages instead of the pages to it while it is small.
+    joined = src.join(stage(twice.select("_same", "_first"), "copies"), "_same", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(F.col("_first").isNotNull(), refers).alias("refers_to"))
 
