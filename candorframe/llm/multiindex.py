@@ -1,9 +1,10 @@
 """Near copies among vectors over an inverted multi-index.
 
 The two halves of a unit vector are quantised by codebooks of their own; a pair of half-cells is a cell of a product grid. A vector visits cells
-in the order of the sum of its two half-distances (the multi-sequence order), as many as a calibration found to hold the target share of all
-links: a few vectors, chosen by hash, are compared with every vector, and the places of their links in that order are counted. Within a cell
-the visitors are compared with the residents in double precision.
+in the order of the sum of its two half-distances (the multi-sequence order). How many is calibrated, so that the target share of all links is
+found. A bound that needs no link is the share of pairs made just at the threshold, the furthest a link can be, from vectors of the table. Links
+seen can only raise it: vectors chosen by hash are compared with every vector, block after block, until links of enough groups are seen, all are
+probed or the probing costs what the search does. Within a cell the visitors are compared with the residents in double precision.
 
 Crowded cells are cut into blocks on both sides, so a task holds two blocks whatever the crowd. A block returns, per vector, a number of links and
 one edge to the smallest vector it is joined to there; pairs are never written out. Equal vectors are one vector with a weight.
@@ -23,8 +24,10 @@ from candorframe.llm.common import stage
 from candorframe.llm.graph import components
 from candorframe.llm.vectors import dimension, matrix, packed, unit, unpacked, usable
 
-#: Rows that the codebooks are fitted on, at most about this many, chosen by hash; vectors compared with all others for the calibration.
-FIT_ROWS, PROBES = 20_000, 256
+#: Rows that the codebooks are fitted on, at most about this many, chosen by hash; vectors of the first and of the largest block of probes.
+FIT_ROWS, PROBES, PROBE_BLOCK = 20_000, 256, 4_096
+#: Groups whose links end the probing; pairs made at the threshold, for each kind of direction.
+GROUPS, MADE = 64, 4_096
 CELL_ROWS, MOST_CODES, BLOCK = 64, 512, 2_048
 TARGET = 0.99
 
@@ -77,6 +80,32 @@ def places(u: np.ndarray, books, cell: np.ndarray) -> np.ndarray:
     return np.array([np.searchsorted(b[n], at[n] - a[n] - 1e-12, side="left").sum() for n in range(len(u))], np.int64)
 
 
+def threshold_steps(u: np.ndarray, books, least: float, target: float) -> int:
+    """How many cells hold the target share of pairs whose cosine is exactly ``least``, made from the unit vectors ``u``.
+
+    The second vector of a pair departs from the first in any direction, or as vectors of the table differ; the wider of the two counts.
+    """
+    rng = np.random.default_rng(20_241)
+    u = u[rng.permutation(max(len(u), MADE))[:MADE] % len(u)]
+    steps = 1
+    for way in (rng.standard_normal(u.shape), u[rng.permutation(len(u))] - u[rng.permutation(len(u))]):
+        way = way - (way * u).sum(axis=1, keepdims=True) * u
+        size = np.sqrt((way * way).sum(axis=1, keepdims=True))
+        some = size[:, 0] > 1e-9
+        if some.any():
+            v = least * u[some] + math.sqrt(max(0.0, 1 - least * least)) * way[some] / size[some]
+            at = np.concatenate([places(u[some], books, cells(v, books)), places(v, books, cells(u[some], books))])
+            steps = max(steps, int(np.quantile(at, target, method="higher")) + 1)
+    return steps
+
+
+def share_steps(place: np.ndarray, weight: np.ndarray, target: float) -> int:
+    """How many cells hold the target share of links with the given places."""
+    order = np.argsort(place, kind="stable")
+    total = np.cumsum(weight[order])
+    return int(place[order][int((total >= target * total[-1] * (1 - 1e-12)).argmax())]) + 1
+
+
 def _roots(near: np.ndarray, p: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The smallest id that each row and column of a block is joined to inside it."""
     lp, lr = p.copy(), r.copy()
@@ -116,29 +145,48 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, target: float = TARG
     codes = max(1, min(MOST_CODES, len(u), math.isqrt(max(1, n // CELL_ROWS))))
     books = sc.broadcast((codebook(u[:, : dim // 2], codes), codebook(u[:, dim // 2 :], codes)))
 
-    # Places of the links of a few vectors, counted over all vectors.
-    asked = single.where(part(PROBES)).orderBy("key").limit(2 * PROBES).select("id", "embedding").toPandas()
-    probes = sc.broadcast((asked["id"].to_numpy(np.int64), unit(np.array(asked["embedding"].tolist(), float).reshape(-1, dim)) if len(asked) else np.empty((0, dim))))
-
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (pid, p), b = probes.value, books.value
-        counts = np.zeros(len(b[0]) * len(b[1]) + 1, np.int64)
-        for batch in batches:
-            v, ids = unit(matrix(batch.column("embedding"), dim)), batch.column("id").to_numpy()
-            for at in range(0, len(v), BLOCK):
-                near = (v[at : at + BLOCK] @ p.T >= least) & (ids[at : at + BLOCK, None] != pid)
-                row, col = np.nonzero(near)
-                if len(row):
-                    pair, times = np.unique(col * counts.size + cells(v[at : at + BLOCK], b)[row], return_counts=True)
-                    np.add.at(counts, places(p[pair // counts.size], b, pair % counts.size), times)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at])], names=["place", "links"])
-
-    seen = single.select("id", "embedding").mapInArrow(links, "place bigint, links bigint").groupBy("place").agg(F.sum("links").alias("links")).orderBy("place").toPandas()
-    steps = 4
-    if len(seen):
-        share = seen["links"].cumsum() / seen["links"].sum()
-        steps = max(steps, int(seen["place"].to_numpy()[int((share.to_numpy() >= target).argmax())]) + 1)
+    def linked(asked):
+        """(probe, place, links) of the links that the probes (id, embedding) have in the whole table."""
+        probes = sc.broadcast((asked["id"].to_numpy(np.int64), unit(np.array(asked["embedding"].tolist(), float).reshape(-1, dim))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (pid, p), b = probes.value, books.value
+            for batch in batches:
+                v, ids = unit(matrix(batch.column("embedding"), dim)), batch.column("id").to_numpy()
+                for at in range(0, len(v), BLOCK):
+                    near = (v[at : at + BLOCK] @ p.T >= least) & (ids[at : at + BLOCK, None] != pid)
+                    row, col = np.nonzero(near)
+                    if len(row):
+                        n_cells = len(b[0]) * len(b[1])
+                        pair, times = np.unique(col * n_cells + cells(v[at : at + BLOCK], b)[row], return_counts=True)
+                        place = places(p[pair // n_cells], b, pair % n_cells)
+                        yield pa.RecordBatch.from_arrays([pa.array(pid[pair // n_cells]), pa.array(place), pa.array(times)], names=["probe", "place", "links"])
+
+        found = single.select("id", "embedding").mapInArrow(run, "probe bigint, place bigint, links bigint")
+        out = found.groupBy("probe", "place").agg(F.sum("links").alias("links")).toPandas()
+        probes.destroy()
+        return out
+
+    steps = threshold_steps(u, books.value, least, target)
+    # Probes in the order of a hash; of the links, each counts once, or each probe with links.
+    turn = F.pmod(F.xxhash64("key", F.lit(PROBES)), F.lit(1 << 30))
+    seen, groups, done, block = [], np.empty((0, dim)), 0, PROBES
+    while done < n and (done == 0 or (len(groups) < GROUPS and done < steps * CELL_ROWS)):
+        low, done = done, min(n, done + block)
+        asked = single.where((turn >= (low << 30) // n) & (turn < (done << 30) // n)).select("id", "embedding").toPandas()
+        block = min(2 * block, PROBE_BLOCK)
+        got = linked(asked) if len(asked) else None
+        if got is not None and len(got):
+            seen.append(got)
+            for v in unit(np.array(asked.loc[asked["id"].isin(got["probe"]).to_numpy(), "embedding"].tolist(), float)):
+                if not (groups @ v >= least).any():
+                    groups = np.vstack([groups, v])
+            place, links = (np.concatenate([s[c].to_numpy(np.int64) for s in seen]) for c in ("place", "links"))
+            each = np.concatenate([(s["links"] / s.groupby("probe")["links"].transform("sum")).to_numpy(float) for s in seen])
+            steps = max(steps, share_steps(place, links, target), share_steps(place, each, target))
+
+    # Vectors travel in the precision that they have in the table.
+    kind = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
 
     def visits(whole: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +197,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, target: float = TARG
                     way = traversal(unit(x), books.value, steps)
                     for cell, own, visitor in ((cells(unit(x), books.value), np.arange(len(x)), False), (way.ravel(), np.repeat(np.arange(len(x)), way.shape[1]), True)):
                         out = [pa.array(cell), pa.array(np.full(len(own), visitor))]
-                        out += [*(pa.array(part.column(c).to_numpy()[own]) for c in ("id", "weight")), packed(x[own])] if whole else []
+                        out += [*(pa.array(part.column(c).to_numpy()[own]) for c in ("id", "weight")), packed(x[own].astype(kind))] if whole else []
                         yield pa.RecordBatch.from_arrays(out, names=["cell", "visitor", "id", "weight", "vector"][: len(out)])
 
         return run
@@ -171,7 +219,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, target: float = TARG
         p, r = table.filter(pa.array(side)), table.filter(pa.array(~side))
         pid, rid = p.column("id").to_numpy(), r.column("id").to_numpy()
         # Each pair is looked at once, from its smaller id.
-        near = (unit(unpacked(p.column("vector"), np.float64, dim)) @ unit(unpacked(r.column("vector"), np.float64, dim)).T >= least) & (pid[:, None] < rid)
+        near = (unit(unpacked(p.column("vector"), kind, dim).astype(np.float64)) @ unit(unpacked(r.column("vector"), kind, dim).astype(np.float64)).T >= least) & (pid[:, None] < rid)
         hp, hr = near.any(axis=1), near.any(axis=0)
         near = near[hp][:, hr]
         pid, rid = pid[hp], rid[hr]

@@ -194,3 +194,25 @@ def test_nearest_of_few(spark):
     assert onebit.nearest(vectors(spark, [(20, [1.0, 2.0]), (21, [2.0, 1.0])]), "vec_id % 20 = 0").collect() == [(20, 1, 21, 4.0)]
     assert onebit.nearest(vectors(spark, [(20, [1.0])]).where("false"), "vec_id % 20 = 0").count() == 0
     assert onebit.nearest(vectors(spark, [(20, [1.0, 2.0])]), "vec_id % 20 = 0").count() == 0
+
+
+def test_rare_pairs_of_near_vectors(spark):
+    """A few pairs just above the threshold among unlike vectors: most are in no probe's reach, and a good part lies beyond the nearest cells."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((12_000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal((60, 32))
+    away -= (away * x[:60]).sum(axis=1, keepdims=True) * x[:60]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    rows = [(n, v.tolist()) for n, v in enumerate(np.vstack([x, 0.91 * x[:60] + np.sqrt(1 - 0.91**2) * away]).astype(np.float32))]
+    got = {r.vec_id: r.component_id for r in multiindex.near_duplicates(vectors(spark, rows)).where("n_links > 0").collect()}
+    assert sum(got.get(12_000 + k) == got.get(k) == k for k in range(60)) >= 57
+
+
+def test_steps_hold_pairs_at_the_threshold():
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal((3_000, 16))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    books = (multiindex.codebook(u[:, :8], 12), multiindex.codebook(u[:, 8:], 12))
+    assert 4 < multiindex.threshold_steps(u, books, 0.9, 0.99) <= 144 and multiindex.threshold_steps(u, books, 1.0, 0.99) == 1
+    assert multiindex.share_steps(np.array([5, 0, 2]), np.array([1, 98, 1]), 0.99) == 3
