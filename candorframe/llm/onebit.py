@@ -47,7 +47,7 @@ def encode(x: np.ndarray, mean: np.ndarray, rotate: np.ndarray) -> tuple[np.ndar
 
 
 def index(vectors: DataFrame, dim: int, mean: np.ndarray) -> DataFrame:
-    """Codes of all usable vectors, with the vectors in double precision."""
+    """Codes of all usable vectors, with the vectors in double precision; rows that repeat id and vector are one before they take places in a tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotate = rotation(dim)
@@ -59,7 +59,7 @@ def index(vectors: DataFrame, dim: int, mean: np.ndarray) -> DataFrame:
                 names=["vec_id", "code", "length", "along", "centred", "vector"],
             )
 
-    return usable(vectors, dim).mapInArrow(run, CODED)
+    return usable(vectors, dim).distinct().mapInArrow(run, CODED)
 
 
 def nearest(vectors: DataFrame, queries: str, k: int = 20) -> DataFrame:
@@ -123,4 +123,4 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20) -> DataFrame:
 
     found = q.unionByName(v).groupBy("qb", "vb").applyInArrow(tile, "query_id bigint, vec_id bigint, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

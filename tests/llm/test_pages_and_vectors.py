@@ -216,3 +216,14 @@ def test_steps_hold_pairs_at_the_threshold():
     books = (multiindex.codebook(u[:, :8], 12), multiindex.codebook(u[:, 8:], 12))
     assert 4 < multiindex.threshold_steps(u, books, 0.9, 0.99) <= 144 and multiindex.threshold_steps(u, books, 1.0, 0.99) == 1
     assert multiindex.share_steps(np.array([5, 0, 2]), np.array([1, 98, 1]), 0.99) == 3
+
+
+def test_nearest_with_repeated_rows(spark):
+    """Repeated rows take no places: every row twice, and one row many times."""
+    rows = clusters(9, groups=4)
+    plain = onebit.nearest(vectors(spark, rows), "vec_id % 20 = 0", 20).orderBy("query_id", "rank").collect()
+    got = onebit.nearest(vectors(spark, rows * 2 + rows[1:2] * 40), "vec_id % 20 = 0", 20).orderBy("query_id", "rank").collect()
+    assert [r[:3] for r in got] == [r[:3] for r in plain] and len(got) == 6 * 20
+    # One id with two vectors of the same score: two candidates.
+    same = onebit.nearest(vectors(spark, [(20, [1.0, 0.0]), (21, [2.0, 1.0]), (21, [2.0, -1.0]), (21, [2.0, -1.0])]), "vec_id % 20 = 0", 20)
+    assert sorted(same.collect()) == [(20, 1, 21, 2.0), (20, 2, 21, 2.0)]
