@@ -26,8 +26,9 @@ from candorframe.llm.common import WordHash, mix64, signed, stage, texts, wide_r
 from candorframe.llm.graph import components
 
 SHINGLE = 5
-BANDS, ROWS = 30, 6
-BINS = BANDS * ROWS
+#: Bins, and the most of them in a band; the share of pairs just at the threshold that may meet in no band.
+BINS, ROWS = 180, 6
+MISSED = 1e-6
 #: Rounds of stars before what is still open is compared in blocks of this many texts.
 STARS, BLOCK = 2, 128
 #: A clump of buckets is compared as one while it has at most this many times the pairs of its buckets.
@@ -37,7 +38,7 @@ FILTER_BITS = 26
 
 _EDGES = np.array([-(-(b << 64) // BINS) for b in range(BINS)], dtype=np.uint64)
 _ORDERS = np.stack([np.random.default_rng(1_000 + b).permutation(BINS) for b in range(BINS)])
-_SEEDS = mix64(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix64(np.arange(1, BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,9 +67,14 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.where(filled, values, values[lender])
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    acc = _SEEDS.copy()
-    for col in sig.reshape(BANDS, ROWS).T:
+def banding(percent: int) -> int:
+    """Bins in a band: the most for which a pair at ``percent`` meets in no band at most in MISSED of all cases."""
+    return next((rows for rows in range(ROWS, 1, -1) if BINS % rows == 0 and (1 - (percent / 100) ** rows) ** (BINS // rows) <= MISSED), 1)
+
+
+def bands(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    acc = _SEEDS[: BINS // rows].copy()
+    for col in sig.reshape(BINS // rows, rows).T:
         acc = mix64(acc * _STEP + col)
     return acc
 
@@ -77,8 +83,9 @@ def _node(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, buckets): node names the shingle set, null if it is empty; buckets are the band keys."""
+def sketches(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, node, buckets): node names the shingle set, null if it is empty; buckets are the band keys for links from ``percent`` on."""
+    rows = banding(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash()
@@ -88,7 +95,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 s = shingle_set(text, memo)
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
-                keys.append(signed(bands(signature(s))) if len(s) else None)
+                keys.append(signed(bands(signature(s), rows)) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "node", "buckets"],
@@ -234,7 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     is null and it is kept. Rows that repeat a doc_id are judged by their own text and share the id. Long texts count whole. An empty table
     gives an empty result.
     """
-    sk = stage(sketches(docs), "sketches")
+    sk = stage(sketches(docs, percent), "sketches")
     named = sk.where("doc_id IS NOT NULL AND node IS NOT NULL")
     nodes = named.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"))
     # Equal sets have equal buckets: one row a set, whatever the number of copies, combined before the shuffle.

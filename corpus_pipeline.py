@@ -9,6 +9,9 @@ from candorframe.llm import minhash, mixing, packing, quality, secrets
 from candorframe.llm.common import read, stage
 from candorframe.llm.queries import MIX_ANCHOR, MIX_TARGETS, label_domains, tokenizer_path
 
+#: Similarity from which the pipeline takes texts for near copies.
+NEAR_PERCENT = 80
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
@@ -16,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return minhash.keep_first(docs)
+    """One document of each group of near copies stays; copies share 80 % of their word shingles."""
+    return minhash.keep_first(docs, NEAR_PERCENT)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
