@@ -47,7 +47,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: The classifier, the links and the tokens cannot be said in SQL; the tests hold run() against its stages and brute force.
+#: The classifier, the links and the tokens cannot be said in SQL; the tests check the ids and columns of each stage, not the rows of run().
 ORACLE_SQL = None
 
 
