@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from candorframe.llm import brown, minhash, mixing, multiindex, onebit, packing, quality, secrets, urltree, warc
+from candorframe.llm import ballcodes, brown, lines, minhash, mixing, multiindex, negatives, onebit, packing, quality, secrets, urltree, warc
 from candorframe.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,64 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_class_bigrams")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score(read(spark, sf_dir, "documents"))
+
+
+def op11_sql(rounds: int = ballcodes.ROUNDS) -> str:
+    """The rounds written out one after the other; ``d * 16 + entry`` orders by distance, then entry."""
+    finite = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    ctes = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE {finite})""",
+        "p AS MATERIALIZED (SELECT rid, g AS part, v[g * len(v) // 8 + 1 : (g + 1) * len(v) // 8] AS x FROM v, range(8) r(g))",
+        "b0 AS MATERIALIZED (SELECT part, n - 1 AS entry, x FROM p JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) AS n FROM v QUALIFY n <= 16) USING (rid))",
+    ]
+    for t in range(rounds + 1):
+        ctes.append(
+            f"""a{t} AS MATERIALIZED (SELECT rid, p.part, any_value(p.x) AS x,
+                min(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 16 + b.entry) AS m FROM p JOIN b{t} b ON p.part = b.part GROUP BY rid, p.part)"""
+        )
+        if t < rounds:
+            ctes.append(
+                f"""s{t} AS (SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+                    SELECT part, m % 16 AS entry, i, sum(x[i]) AS s, count(*) AS n FROM a{t}, range(1, len(x) + 1) r(i) GROUP BY ALL) GROUP BY part, entry)"""
+            )
+            ctes.append(f"b{t + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(s.x, b.x) AS x FROM b{t} b LEFT JOIN s{t} s ON s.part = b.part AND s.entry = b.entry)")
+    ctes += [
+        f"h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})",
+        f"""e AS (SELECT rid, string_agg(printf('%02x', CAST(m % 16 AS INTEGER)), '' ORDER BY part) AS code, CAST(sum((m - m % 16) // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)""",
+    ]
+    return f"""WITH {", ".join(ctes)}
+SELECT v.vec_id, e.code, e.error, CAST(sum(e.error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, h.codebooks_sha256 FROM v JOIN e ON v.rid = e.rid CROSS JOIN h"""
+
+
+@query("op11_ball_codes", op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballcodes.compress(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_line_crf")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_chars")
+
+
+OP13_SQL = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+       list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+     WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+       CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+     FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+     QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 3
+"""
+
+
+@query("op13_shared_list_negatives", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", moved), "vec_id % 50 = 0")

@@ -1,4 +1,4 @@
-"""What the two vector operators share: which vectors take part, and their arrays."""
+"""What the vector operators share: which vectors take part, and their arrays."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: SQL: no component is null or not finite.
+FINITE = "forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
+
 
 def dimension(vectors: DataFrame) -> int:
     """The most common length of a vector that is not empty; the smaller of equals. 0 without any."""
@@ -16,9 +19,8 @@ def dimension(vectors: DataFrame) -> int:
 
 def usable(vectors: DataFrame, dim: int) -> DataFrame:
     """(vec_id, embedding) of the vectors that take part: named, of ``dim`` finite components, not all zero."""
-    finite = "forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where(
-        f"vec_id IS NOT NULL AND size(embedding) = {dim} AND {finite} AND exists(embedding, x -> x <> 0)"
+        f"vec_id IS NOT NULL AND size(embedding) = {dim} AND {FINITE} AND exists(embedding, x -> x <> 0)"
     )
 
 
@@ -44,3 +46,13 @@ def unpacked(column, dtype, width: int) -> np.ndarray:
     """The reverse of ``packed``."""
     values = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(values.to_pylist()), dtype).reshape(-1, width)
+
+
+def common_length(vectors: DataFrame) -> int:
+    """As ``dimension``, of the vectors whose components are all finite."""
+    return dimension(vectors.where(FINITE))
+
+
+def finite_rows(vectors: DataFrame, dim: int) -> DataFrame:
+    """(vec_id, label, embedding) of the vectors of ``dim`` finite components; zero vectors and rows without vec_id stay."""
+    return vectors.where(f"size(embedding) = {dim} AND {FINITE}").select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", "embedding")
