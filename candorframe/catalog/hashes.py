@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from candorframe.catalog.registry import query
 from candorframe.operators import hamming as hm
+from candorframe.operators import reuse as ru
 from candorframe.operators.ordering import position
 from candorframe.operators.spectrum import fingerprint_bits
-from candorframe.tables import spark_sql, view
+from candorframe.tables import spark_sql, table, view
 
 C = F.col
 
@@ -91,35 +92,74 @@ def _(spark, sf):
     return hm.group_split(hash64(spark, sf).withColumn("sha256", F.sha2(C("item_id").cast("string"), 256)))
 
 
-@query(
-    "video_fingerprint_match",
-    f"""WITH {HASH_DUCK}, q AS (SELECT item_id % 40 AS clip_id, hi, lo FROM hash64 WHERE item_id < 1000000), r AS (SELECT CASE WHEN item_id % 3 = 0 THEN 999 ELSE item_id % 40 END AS ref_id, hi, lo FROM hash64 WHERE item_id >= 1000000),
-       n AS (SELECT clip_id, count(*) n FROM q GROUP BY 1), qq AS (SELECT *, row_number() OVER () AS f FROM q), m AS (SELECT q.clip_id, r.ref_id, count(DISTINCT q.f) AS hit FROM qq q JOIN r ON {DIST.format(a='q', b='r')} <= 8 GROUP BY 1, 2)
-       SELECT clip_id, ref_id, hit AS frames_matched FROM m JOIN n USING (clip_id) WHERE n >= 4 AND hit >= 4 AND hit/n >= 0.5""",
-)
-def _(spark, sf):
+VIDEO_DUCK = f"""{HASH_DUCK}, q AS (SELECT item_id % 40 AS clip_id, hi, lo FROM hash64 WHERE item_id < 1000000), r AS (SELECT CASE WHEN item_id % 3 = 0 THEN 999 ELSE item_id % 40 END AS ref_id, hi, lo FROM hash64 WHERE item_id >= 1000000),
+       n AS (SELECT clip_id, count(*) n FROM q GROUP BY 1), qq AS (SELECT *, row_number() OVER () AS f FROM q), m AS (SELECT q.clip_id, r.ref_id, count(DISTINCT q.f) AS hit FROM qq q JOIN r ON {DIST.format(a='q', b='r')} <= 8 GROUP BY 1, 2),
+       video AS (SELECT clip_id, ref_id, hit AS frames_matched FROM m JOIN n USING (clip_id) WHERE n >= 4 AND hit >= 4 AND hit/n >= 0.5)"""
+
+
+def clips(spark, sf):
     h = hash64(spark, sf)
     q = h.where("item_id < 1000000").select((C("item_id") % 40).alias("clip_id"), C("item_id").alias("frame_idx"), "hash")
-    r = h.where("item_id >= 1000000").select(F.when(C("item_id") % 3 == 0, 999).otherwise(C("item_id") % 40).alias("ref_id"), "hash")
-    return hm.video_fingerprint_match(q, r)
+    return q, h.where("item_id >= 1000000").select(F.when(C("item_id") % 3 == 0, 999).otherwise(C("item_id") % 40).alias("ref_id"), "hash")
+
+
+@query("video_fingerprint_match", f"WITH {VIDEO_DUCK} SELECT clip_id, ref_id, frames_matched FROM video")
+def _(spark, sf):
+    return ru.video_fingerprint_match(*clips(spark, sf))
 
 
+# Beside the clips, each order is a clip of none to seven frames: none match, and those of fewer than four are too short.
 @query(
-    "audio_fingerprint_match",
-    """WITH f AS (SELECT label::BIGINT AS rec, vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS e FROM embeddings), g AS (SELECT *, lag(e) OVER (PARTITION BY rec ORDER BY vec_id) AS p FROM f),
+    "video_findings",
+    f"""WITH {VIDEO_DUCK}, f AS (SELECT clip_id, count(*) matches, min(ref_id) first_ref, arg_min(frames_matched, ref_id) frames_matched FROM video GROUP BY 1)
+        SELECT n.clip_id, CASE WHEN matches > 0 THEN 'WARN' ELSE 'INFO' END AS status, CASE WHEN matches > 0 THEN 'MEDIUM' ELSE 'NONE' END AS severity, n AS frames,
+          coalesce(matches, 0) AS matches, first_ref, frames_matched, NULL::VARCHAR AS note FROM n LEFT JOIN f USING (clip_id)
+        UNION ALL SELECT 1000 + o_orderkey, CASE WHEN c < 4 THEN 'NOT_APPLICABLE' ELSE 'INFO' END, 'NONE', c, 0, NULL, NULL, CASE WHEN c < 4 THEN 'too short to fingerprint' END
+          FROM (SELECT o_orderkey, count(l_orderkey) c FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)""",
+)
+def _(spark, sf):
+    q, r = clips(spark, sf)
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    far = F.xxhash64("l_partkey", "l_suppkey", "l_linenumber")  # no reference is near
+    more = orders.join(lines, C("l_orderkey") == C("o_orderkey"), "left").select((C("o_orderkey") + 1000).alias("clip_id"), C("l_linenumber").alias("frame_idx"), F.when(C("l_orderkey").isNotNull(), far).alias("hash"))
+    return ru.video_findings(q.unionByName(more), r)
+
+
+AUDIO_DUCK = """f AS (SELECT label::BIGINT AS rec, vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS e FROM embeddings), g AS (SELECT *, lag(e) OVER (PARTITION BY rec ORDER BY vec_id) AS p FROM f),
        b AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY vec_id) - 1 AS idx, list_sum(list_transform(range(0,32), lambda b: CASE WHEN (e[b+1]-e[b+2])-(p[b+1]-p[b+2]) > 0 THEN (1::BIGINT << b) ELSE 0 END))::BIGINT AS bits FROM g WHERE p IS NOT NULL),
        r AS (SELECT rec + 100 AS rec, idx - 5 AS idx, CASE WHEN idx % 3 = 0 THEN xor(bits, 1049601) ELSE bits END AS bits FROM b WHERE idx >= 5), nq AS (SELECT rec, count(*) n FROM b GROUP BY 1), nr AS (SELECT rec, count(*) n FROM r GROUP BY 1),
        o AS (SELECT b.rec AS q, r.rec AS t, r.idx - b.idx AS off, sum(bit_count(xor(b.bits, r.bits))) AS e, count(*) AS f FROM b CROSS JOIN r GROUP BY 1, 2, 3),
-       k AS (SELECT q, t, e/(32.0*f)::DOUBLE AS ber FROM o JOIN nq ON nq.rec = q JOIN nr ON nr.rec = t WHERE nq.n >= 20 AND nr.n >= 20 AND f >= least(100, nq.n, nr.n))
-       SELECT q AS query_id, t AS ref_id, round(min(ber), 6) AS ber FROM k GROUP BY 1, 2 HAVING min(ber) <= 0.30""",
-)
-def _(spark, sf):
+       k AS (SELECT q, t, e/(32.0*f)::DOUBLE AS ber FROM o JOIN nq ON nq.rec = q JOIN nr ON nr.rec = t WHERE nq.n >= 20 AND nr.n >= 20 AND f >= least(100, nq.n, nr.n)),
+       audio AS (SELECT q AS query_id, t AS ref_id, round(min(ber), 6) AS ber FROM k GROUP BY 1, 2 HAVING min(ber) <= 0.30)"""
+
+
+def recordings(spark, sf):
     e = view(spark, sf, "vectors").select(
         C("label").cast("bigint").alias("recording_id"), C("vec_id").alias("frame"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("bands")
     )
     b = position(fingerprint_bits(e), ["recording_id"], ["frame"], "idx").select(C("recording_id").alias("query_id"), "idx", "bits")
-    r = b.where("idx >= 5").select((C("query_id") + 100).alias("ref_id"), (C("idx") - 5).alias("idx"), F.expr("IF(idx % 3 = 0, bits ^ 1049601L, bits)").alias("bits"))
-    return hm.audio_fingerprint_match(b, r).select("query_id", "ref_id", F.round("ber", 6).alias("ber"))
+    return b, b.where("idx >= 5").select((C("query_id") + 100).alias("ref_id"), (C("idx") - 5).alias("idx"), F.expr("IF(idx % 3 = 0, bits ^ 1049601L, bits)").alias("bits"))
+
+
+@query("audio_fingerprint_match", f"WITH {AUDIO_DUCK} SELECT query_id, ref_id, ber FROM audio")
+def _(spark, sf):
+    return ru.audio_fingerprint_match(*recordings(spark, sf)).select("query_id", "ref_id", F.round("ber", 6).alias("ber"))
+
+
+# Without recordings 7, 8 and 9 in the index, and with each order as a recording of none to seven frames.
+@query(
+    "audio_findings",
+    f"""WITH {AUDIO_DUCK}, m AS (SELECT query_id, count(*) matches, min(ref_id) first_ref, arg_min(ber, ref_id) ber FROM audio WHERE ref_id < 107 GROUP BY 1)
+        SELECT rec AS query_id, CASE WHEN n < 20 THEN 'NOT_APPLICABLE' WHEN matches > 0 THEN 'WARN' ELSE 'INFO' END AS status, CASE WHEN matches > 0 THEN 'MEDIUM' ELSE 'NONE' END AS severity, n AS frames,
+          coalesce(matches, 0) AS matches, first_ref, ber, CASE WHEN n < 20 THEN 'too short to fingerprint' END AS note FROM nq LEFT JOIN m ON query_id = rec
+        UNION ALL SELECT 1000 + o_orderkey, 'NOT_APPLICABLE', 'NONE', c, 0, NULL, NULL, 'too short to fingerprint'
+          FROM (SELECT o_orderkey, count(l_orderkey) c FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)""",
+)
+def _(spark, sf):
+    q, r = recordings(spark, sf)
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    short = orders.join(lines, C("l_orderkey") == C("o_orderkey"), "left").select((C("o_orderkey") + 1000).alias("query_id"), (C("l_linenumber") - 1).cast("bigint").alias("idx"), C("l_partkey").cast("bigint").alias("bits"))
+    return ru.audio_findings(q.unionByName(short), r.where("ref_id < 107")).withColumn("ber", F.round("ber", 6))
 
 
 @query(

@@ -237,14 +237,17 @@ def _(spark, sf):
     return idn.recent_corrections(view(spark, sf, "feedback"), [C("ts").desc(), C("event_id").desc()]).select("event_id", "modality", "user_label")
 
 
+# The nations' numbers say what some of the batches hold already.
 @query(
     "admit_batch",
-    """WITH RECURSIVE f AS (SELECT media_id % 16 AS batch, media_id AS pos, size_bytes, row_number() OVER (PARTITION BY media_id % 16 ORDER BY media_id) AS rn FROM media_files),
-       w AS (SELECT batch, pos, size_bytes, rn, size_bytes <= 20000 AND size_bytes <= 60000 AS ok, CASE WHEN size_bytes <= 20000 THEN size_bytes ELSE 0 END AS used FROM f WHERE rn = 1
+    """WITH RECURSIVE h AS (SELECT n_nationkey % 16 AS batch, sum(n_nationkey * 1500)::BIGINT AS held FROM nation WHERE n_nationkey % 16 < 12 GROUP BY 1),
+       f AS (SELECT media_id % 16 AS batch, media_id AS pos, size_bytes, row_number() OVER (PARTITION BY media_id % 16 ORDER BY media_id) AS rn FROM media_files),
+       w AS (SELECT f.batch, 0::BIGINT AS pos, 0::BIGINT AS size_bytes, 0::BIGINT AS rn, false AS ok, coalesce(any_value(held), 0) AS used FROM f LEFT JOIN h USING (batch) GROUP BY f.batch
         UNION ALL SELECT f.batch, f.pos, f.size_bytes, f.rn, f.size_bytes <= 20000 AND w.used + f.size_bytes <= 60000, w.used + CASE WHEN f.size_bytes <= 20000 AND w.used + f.size_bytes <= 60000 THEN f.size_bytes ELSE 0 END
-        FROM w JOIN f ON f.batch = w.batch AND f.rn = w.rn + 1) SELECT batch, pos, size_bytes, ok AS admitted FROM w""",
+        FROM w JOIN f ON f.batch = w.batch AND f.rn = w.rn + 1) SELECT batch, pos, size_bytes, ok AS admitted FROM w WHERE rn > 0""",
     ("media_files",),
 )
 def _(spark, sf):
     m = view(spark, sf, "media_files").select((C("media_id") % 16).alias("batch"), C("media_id").alias("pos"), "size_bytes")
-    return idn.admit_batch(m, 20000, 60000)
+    held = table(spark, sf, "nation").where("n_nationkey % 16 < 12").select((C("n_nationkey") % 16).alias("batch"), (C("n_nationkey") * 1500).alias("bytes"))
+    return idn.admit_batch(m, 20000, 60000, held)

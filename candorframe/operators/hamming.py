@@ -1,4 +1,4 @@
-"""Near matches of 64-bit and framed fingerprints, and what is built on them: pairs, reuse, components, leak-free group splits.
+"""Near matches of 64-bit fingerprints, and what is built on them: pairs, components, leak-free group splits.
 
 Two hashes within k bits agree on at least r of k + r bit blocks, so an equi-join on every choice of r blocks finds all of them (an exact
 banding, no recall loss). Copies are collapsed to one row per hash value first. A (choice, value) bucket that holds too many hashes is
@@ -10,7 +10,6 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +18,9 @@ from candorframe.session import durable
 
 C = F.col
 
-# Match distances and the video and audio reuse rules.
+# Match distances.
 IMAGE_MATCH_BITS = 6
 NEAR_DUPLICATE_BITS = 2
-VIDEO_MATCH_BITS, VIDEO_MIN_FRAMES, VIDEO_MIN_SHARE = 8, 4, 0.5
-AUDIO_MATCH_BER, AUDIO_MIN_OVERLAP, AUDIO_SHORTEST = 0.30, 100, 20
 
 HOT_BUCKET = 20_000
 
@@ -189,79 +186,6 @@ def group_split(items: DataFrame) -> DataFrame:
     return g.join(low, "group_id").select("item_id", "group_id", partition_split(C("_low")).alias("split"))
 
 
-def video_fingerprint_match(query: DataFrame, index: DataFrame) -> DataFrame:
-    """(clip_id, ref_id, frames_matched): at least four and at least half of the clip's frames have a reference hash within eight bits.
-
-    Input: clip_id, frame_idx, hash; ref_id, hash. Frames are counted per (clip, hash) before any join.
-    """
-    per_hash = query.groupBy("clip_id", "hash").agg(F.count(F.lit(1)).alias("c"))
-    sizes = query.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")).where(C("n") >= VIDEO_MIN_FRAMES)
-    pairs = hamming_pairs(query, index, VIDEO_MATCH_BITS)
-    refs = index.select("ref_id", C("hash").alias("hash_b")).distinct()
-    reached = pairs.join(refs, "hash_b").select(C("hash_a").alias("hash"), "ref_id").distinct()
-    hits = per_hash.join(reached, "hash").groupBy("clip_id", "ref_id").agg(F.sum("c").alias("frames_matched"))
-    return hits.join(sizes, "clip_id").where((C("frames_matched") >= VIDEO_MIN_FRAMES) & (C("frames_matched") >= VIDEO_MIN_SHARE * C("n"))).select(
-        "clip_id", "ref_id", "frames_matched"
-    )
-
-
-def audio_fingerprint_match(query: DataFrame, index: DataFrame, block: int = 256, per_cell: int = 32) -> DataFrame:
-    """(query_id, ref_id, ber): the lowest bit error rate over all frame offsets with enough overlap, where it is at most 0.30.
-
-    Input: query_id, idx, bits; ref_id, idx, bits with dense idx from 0 and 32-bit values. At a 30 % error rate no exact key exists, so every
-    recording meets every reference, as the rule says. Both sides are cut into blocks and the blocks dealt to the cells of a grid: a cell
-    holds at most about ``per_cell`` blocks of each side, and sends back one partial error count per (query, ref, offset).
-    """
-
-    def sized(df: DataFrame, key: str) -> DataFrame:
-        return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-
-    nq, nr = sized(query, "query_id").where(C("n") >= AUDIO_SHORTEST), sized(index, "ref_id").where(C("n") >= AUDIO_SHORTEST)
-
-    def blocks(df: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
-        cut = df.join(sizes.select(key), key).groupBy(key, F.expr(f"idx div {block}").alias("blk"))
-        return cut.agg(F.sort_array(F.collect_list(F.struct("idx", "bits"))).alias("f")).select(
-            C(key).alias("rec"), (C("blk") * block).alias("start"), C("f.bits").alias("bits")
-        )
-
-    qb, rb = blocks(query, nq, "query_id"), blocks(index, nr, "ref_id")
-
-    def groups(sizes: DataFrame) -> int:
-        total = sizes.agg(F.sum(F.ceil(C("n") / block))).first()[0] or 0
-        return max(1, -(-int(total) // per_cell))
-
-    gq, gr = groups(nq), groups(nr)
-    home = F.pmod(F.xxhash64("rec", "start"), F.lit(1 << 30))
-    ql = qb.withColumns({"h": home % gq, "g": F.explode(F.sequence(F.lit(0), F.lit(gr - 1)))}).withColumn("g", C("g").cast("bigint"))
-    rl = rb.withColumns({"g": home % gr, "h": F.explode(F.sequence(F.lit(0), F.lit(gq - 1)))}).withColumn("h", C("h").cast("bigint"))
-    count = np.array([bin(i).count("1") for i in range(65536)], dtype=np.uint8)
-
-    def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        refs = [(rec, s, np.asarray(b, dtype=np.uint64).astype(np.uint32)) for rec, s, b in zip(r["rec"], r["start"], r["bits"])]
-        for qrec, qs, qbits in zip(q["rec"], q["start"], q["bits"]):
-            a = np.asarray(qbits, dtype=np.uint64).astype(np.uint32)
-            for rrec, rs, b in refs:
-                x = a[:, None] ^ b[None, :]
-                errors = (count[x & 0xFFFF].astype(np.int64) + count[x >> 16]).ravel()
-                shift = (np.arange(len(b))[None, :] - np.arange(len(a))[:, None] + len(a) - 1).ravel()
-                total = np.bincount(shift, weights=errors)
-                frames = np.bincount(shift)
-                out.append(
-                    pd.DataFrame(
-                        {"query_id": qrec, "ref_id": rrec, "off": np.arange(len(total)) - (len(a) - 1) + rs - qs, "errors": total.astype(np.int64), "frames": frames}
-                    )
-                )
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("query_id", "ref_id", "off", "errors", "frames")})
-
-    partial = ql.groupBy("h", "g").cogroup(rl.groupBy("h", "g")).applyInPandas(meet, "query_id bigint, ref_id bigint, off bigint, errors bigint, frames bigint")
-    summed = partial.groupBy("query_id", "ref_id", "off").agg(F.sum("errors").alias("e"), F.sum("frames").alias("f"))
-    s = summed.join(nq.withColumnRenamed("n", "nq"), "query_id").join(nr.withColumnRenamed("n", "nr"), "ref_id")
-    enough = s.where(C("f") >= F.least(F.lit(AUDIO_MIN_OVERLAP), C("nq"), C("nr")))
-    best = enough.groupBy("query_id", "ref_id").agg(F.min(C("e") / (C("f") * 32.0)).alias("ber"))
-    return best.where(C("ber") <= AUDIO_MATCH_BER)
-
-
 def dhash_bits(gray: Column, rows: int = 8, cols: int = 9) -> Column:
     """16 hex digits of a row-major grey array: one bit per neighbour pair, first pair highest, set when the right pixel is brighter."""
     pairs = [(r * cols + c, r * cols + c + 1) for r in range(rows) for c in range(cols - 1)]

@@ -6,12 +6,14 @@ and joins put the hash-unique table on the other side so that skewed partitions
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.operators.ordering import CHUNK, chunked_fold, position, prefix_scan
+from candorframe.operators.ordering import CHUNK, position, prefix_scan
 from candorframe.operators.evaluation import first_by_hash
 from candorframe.functions.whitespace import strip
+from candorframe.session import durable
 
 C = F.col
 LABELS = ["ai_generated", "real"]
@@ -223,20 +225,72 @@ def recent_corrections(feedback: DataFrame, order: list[Column], limit: int = 15
     return feedback.orderBy(*order).limit(limit)
 
 
-def admit_batch(files: DataFrame, file_bytes: float, batch_bytes: float, chunk: int = CHUNK) -> DataFrame:
+def admit_batch(files: DataFrame, file_bytes: float, batch_bytes: float, already_used: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
     """(batch, pos, size_bytes, admitted) in order of pos: a file over the file limit, or one that would take the batch past its limit, is
-    turned away and does not count; so is a file of unknown size. ``pos`` is unique in its batch."""
-    import pandas as pd
-
-    src = files.select("batch", "pos", "size_bytes")
-    def fold(rows: pd.DataFrame, used):
-        used = 0 if used is None else used
-        kept = []
-        for size in rows["size_bytes"]:
-            ok = size <= file_bytes and used + size <= batch_bytes
-            used += int(size) if ok else 0
-            kept.append(ok)
-        return rows.assign(admitted=kept)[["batch", "pos", "size_bytes", "admitted"]], used
+    turned away and does not count; so is a file of unknown or negative size. ``pos`` is unique in its batch. ``already_used`` (batch, bytes) is what a batch
+    already holds; a batch without a row there is empty.
 
+    A chunk of files takes the room left on entry to the room left on exit. Only files that fit the room can count, and if all of those fit together
+    they are taken, whatever their order. Sums by power of two of the size tell that for nearly every room, so entries run through most chunks without
+    looking at files. A chunk in which the room ends is folded file by file, once, from its true entry; then the entries run on. The room left there
+    is less than a file of that chunk needed, so later chunks see it end more and more rarely.
+    """
+    src = files.select("batch", C("pos").cast("bigint").alias("pos"), C("size_bytes").cast("bigint").alias("size_bytes")).withColumn("_chunk", F.expr(f"pos div {chunk}"))
+    size = C("size_bytes")
+    fits = F.coalesce((size <= file_bytes) & (size >= 0), F.lit(False))
+    power = F.when(size > 0, F.length(F.bin(size))).otherwise(F.lit(0))
+    sums = src.groupBy("batch", "_chunk", F.when(fits, power).alias("power")).agg(F.sum("size_bytes").alias("total"), F.min("size_bytes").alias("least"), F.max("size_bytes").alias("most"))
+    if already_used is None:
+        sums = sums.withColumn("held", F.lit(0).cast("bigint"))
+    else:
+        held = already_used.groupBy("batch").agg(F.sum("bytes").cast("bigint").alias("held"))
+        sums = sums.join(held, "batch", "left").withColumn("held", F.coalesce("held", F.lit(0).cast("bigint")))
     kind = dict(src.dtypes)["batch"]
-    return chunked_fold(src, ["batch"], ["pos"], F.expr(f"pos div {chunk}"), fold, f"batch {kind}, pos bigint, size_bytes bigint, admitted boolean")
+
+    def run_on(classes: pd.DataFrame) -> pd.DataFrame:
+        """One row per chunk of a batch: the room on entry as far as it is known, and whether the files must be looked at there."""
+        classes = classes.sort_values(["_chunk", "power"])
+        room, out = batch_bytes - int(classes["held"].iloc[0]), []
+        for name, own in classes.groupby("_chunk", sort=True):
+            out.append([own["batch"].iloc[0], name, room, "later" if room is None else "plain"])
+            if room is None:
+                continue
+            own = own[own["power"].notna()]
+            whole, split = own[own["most"] <= room], own[(own["least"] <= room) & (own["most"] > room)]
+            taken = int(whole["total"].sum())
+            if not len(split) and (not len(whole) or taken <= room):
+                room -= taken
+            elif len(own) and pd.notna(own["leaves"].iloc[0]):
+                out[-1][3], room = "folded", int(own["leaves"].iloc[0])
+            else:
+                out[-1][3], room = "fold", None
+        got = pd.DataFrame(out, columns=["batch", "_chunk", "room", "way"])
+        return got.assign(room=got["room"].astype("Int64"), last=got["_chunk"] == got["_chunk"].max())
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("pos")
+        room, kept = int(rows["room"].iloc[0]), []
+        for size, ok in zip(rows["size_bytes"], rows["fits"]):
+            ok = bool(ok) and size <= room
+            room -= int(size) if ok else 0
+            kept.append(ok)
+        return rows[["batch", "_chunk", "pos", "size_bytes"]].assign(admitted=kept, leaves=room)
+
+    folded_schema = f"batch {kind}, _chunk bigint, pos bigint, size_bytes bigint, admitted boolean, leaves bigint"
+    folded = None
+    while True:
+        exits = sums.withColumn("leaves", F.lit(None).cast("bigint"))
+        if folded is not None:
+            exits = sums.join(folded.select("batch", "_chunk", "leaves").distinct(), ["batch", "_chunk"], "left")
+        entries = durable(exits.groupBy("batch").applyInPandas(run_on, f"batch {kind}, _chunk bigint, room bigint, way string, last boolean"))
+        # Chunks to fold now; those that end their batch can wait for the result itself.
+        waiting = entries.where("way = 'fold'")
+        due = src.withColumn("fits", fits).join(waiting, ["batch", "_chunk"]).groupBy("batch", "_chunk").applyInPandas(fold, folded_schema)
+        if not waiting.where("NOT last").take(1):
+            break
+        due = durable(due)
+        folded = due if folded is None else folded.unionByName(due)
+    done = due if folded is None else folded.unionByName(due)
+    plain = src.join(entries.where("way = 'plain'").select("batch", "_chunk", "room"), ["batch", "_chunk"])
+    plain = plain.select("batch", "pos", "size_bytes", (fits & (size <= C("room"))).alias("admitted"))
+    return plain.unionByName(done.select("batch", "pos", "size_bytes", "admitted"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from candorframe.operators.ordering import CHUNK, chunked_fold, exact_quantiles, position
 from candorframe.operators.sequence import cut
-from candorframe.session import durable
+from candorframe.session import shared_folder
 
 C = F.col
 
@@ -23,7 +23,8 @@ SAME_PERSON_COSINE = 0.363
 MIN_LABEL_CONFIDENCE = 0.30
 REUSE_DIFFERENCE = 0.012
 MOMENTS = {"grid_s": 1.0, "min_gap_s": 0.4, "second_look_s": 0.5, "priority_share": 0.6}
-MAX_VOCABULARY = 20_000
+#: Labels of a vocabulary that goes to the tasks whole, and of a block of a larger one; distinct vectors of a part that meets a block.
+MAP_SIDE_LABELS, ROWS_A_PART = 4_096, 65_536
 
 
 def _merge(a: tuple | None, b: tuple) -> tuple:
@@ -142,30 +143,69 @@ def video_vector(c: dict[str, Column]) -> Column:
     return F.when(~missing, F.array(*parts))
 
 
-def zero_shot_classify(df: DataFrame, vector: str, vocabulary: DataFrame, scale: float, top_k: int = 3) -> DataFrame:
-    """Adds labels: array<struct<label, probability>>, the best ``top_k`` of a closed vocabulary (label, embedding), by a map-side product.
+def zero_shot_classify(df: DataFrame, vector: str, vocabulary: DataFrame, scale: float, top_k: int = 3, block: int = MAP_SIDE_LABELS) -> DataFrame:
+    """Adds labels: array<struct<label, probability>>, the best ``top_k`` of a closed vocabulary (label, embedding), ties to the smaller label.
 
-    The vocabulary is a fixed list; its size is checked before it is sent to the tasks.
+    A vocabulary of at most ``block`` labels goes to the tasks, and rows stay where they are. A larger one is cut into blocks of that size; every
+    part of the distinct vectors meets every block, keeps a mergeable soft-max (greatest logit, sum of exponentials under it, best ``top_k``), and the
+    blocks' results are merged per vector. Rows without a vector get NULL; an empty vocabulary gives empty lists.
     """
-    rows = vocabulary.limit(MAX_VOCABULARY + 1).collect()
-    if len(rows) > MAX_VOCABULARY:
-        raise ValueError(f"a closed vocabulary has at most {MAX_VOCABULARY} labels")
-    rows.sort(key=lambda r: r["label"])
-    names = [r["label"] for r in rows]
-    matrix = np.array([r["embedding"] for r in rows], dtype=np.float64).T
-    k = min(top_k, len(names))
-
-    @F.pandas_udf("array<struct<label:string,probability:double>>")
-    def classify(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        logits = scale * (np.stack([np.asarray(x, dtype=np.float64) for x in v]) @ matrix)
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        order = np.argsort(-p, axis=1, kind="stable")[:, :k]
-        return pd.Series([[{"label": names[j], "probability": float(row[j])} for j in best] for row, best in zip(p, order)])
-
-    return df.withColumn("labels", classify(C(vector)))
+    words = vocabulary.where("label IS NOT NULL AND embedding IS NOT NULL").select("label", C("embedding").cast("array<double>").alias("embedding"))
+    total = words.count()
+    kind = "array<struct<label:string,probability:double>>"
+    if total <= block:
+        rows = sorted(words.collect(), key=lambda r: r["label"])  # at most ``block`` labels
+        names, matrix = np.array([r["label"] for r in rows], object), np.array([r["embedding"] for r in rows], np.float64)
+
+        @F.pandas_udf(kind)
+        def classify(v: pd.Series) -> pd.Series:
+            there = v.notna().to_numpy()
+            out: list = [None] * len(v)
+            if there.any():
+                high, mass, at, logit = soft_max_part(_stacked(v[there]), matrix, scale, top_k)
+                p = np.exp(logit - high[:, None]) / mass[:, None]
+                for i, row, best in zip(np.flatnonzero(there), p, at):
+                    out[i] = [{"label": names[j], "probability": float(q)} for j, q in zip(best, row)]
+            return pd.Series(out, dtype=object)
+
+        return df.withColumn("labels", classify(C(vector).cast("array<double>")))
+
+    sides = max(1, -(-df.count() // ROWS_A_PART))
+    blocks = -(-total // block)
+    v = df.where(C(vector).isNotNull()).select(C(vector).cast("array<double>").alias("v")).distinct()
+    v = v.select("v", F.pmod(F.xxhash64("v"), F.lit(sides)).cast("int").alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    w = words.select("label", "embedding", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"))
+
+    def part(rows: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+        names = ["v", "high", "mass", "best"]
+        if not len(rows) or not len(labels):
+            return pd.DataFrame(columns=names)
+        labels = labels.sort_values("label")
+        named, matrix, out = labels["label"].to_numpy(object), _stacked(labels["embedding"]), []
+        for at in range(0, len(rows), 4_096):
+            some = rows["v"].iloc[at : at + 4_096]
+            high, mass, which, logit = soft_max_part(_stacked(some), matrix, scale, top_k)
+            best = [[{"logit": -float(q), "label": named[j]} for j, q in zip(js, qs)] for js, qs in zip(which, logit)]
+            out.append(pd.DataFrame({"v": some.to_list(), "high": high, "mass": mass, "best": best}))
+        return pd.concat(out)
+
+    parts = v.groupBy("block", "side").cogroup(w.groupBy("block", "side")).applyInPandas(part, "v array<double>, high double, mass double, best array<struct<logit:double,label:string>>")
+    # One entry a block: a few numbers each.
+    merged = parts.groupBy("v").agg(F.max("high").alias("high"), F.collect_list(F.struct("high", "mass")).alias("m"), F.flatten(F.collect_list("best")).alias("best"))
+    mass = F.aggregate("m", F.lit(0.0), lambda a, x: a + x["mass"] * F.exp(x["high"] - C("high")))
+    top = F.transform(F.slice(F.array_sort("best"), 1, top_k), lambda b: F.struct(b["label"].alias("label"), (F.exp(-b["logit"] - C("high")) / C("mass")).alias("probability")))
+    merged = merged.withColumn("mass", mass).select(C("v").alias("_v"), top.cast(kind).alias("labels"))
+    return df.join(merged, C(vector).cast("array<double>") == C("_v"), "left").drop("_v")
+
+
+def soft_max_part(x: np.ndarray, matrix: np.ndarray, scale: float, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(greatest logit, sum of exponentials under it, columns of the best ``top_k``, their logits) of every row; ties to the earlier column."""
+    if not len(matrix):
+        return np.zeros(len(x)), np.ones(len(x)), np.empty((len(x), 0), int), np.empty((len(x), 0))
+    logits = scale * (x @ matrix.T)
+    high = logits.max(axis=1)
+    at = np.argsort(-logits, axis=1, kind="stable")[:, :top_k]
+    return high, np.exp(logits - high[:, None]).sum(axis=1), at, np.take_along_axis(logits, at, 1)
 
 
 def recognised_as(labels: Column) -> Column:
@@ -174,74 +214,110 @@ def recognised_as(labels: Column) -> Column:
     return F.when(best["probability"] >= MIN_LABEL_CONFIDENCE, best["label"])
 
 
-def group_same_person(faces: DataFrame, threshold: float = SAME_PERSON_COSINE, block: int = 512) -> DataFrame:
+def group_same_person(faces: DataFrame, threshold: float = SAME_PERSON_COSINE, block: int = 4_096, most: int = 16_384, piece: int = 32_768) -> DataFrame:
     """(album, pos, group_no): greedy, order-stable groups of unit embeddings; -1 without an embedding. Input: album, pos, embedding.
 
-    A face joins the earlier group whose first member is most similar, if at least ``threshold``, else it starts a group. First members are
-    elected block by block (see ``_elect``).
-    """
-    known = faces.where("embedding IS NOT NULL").select("album", "pos", "embedding")
-    bare = faces.where("embedding IS NULL").select("album", "pos", F.lit(-1).cast("bigint").alias("group_no"))
-    return _elect(known, threshold, block).unionByName(bare)
-
+    A face joins the earlier group whose first member is most similar, if at least ``threshold``, else it starts a group. ``pos`` is a unique whole
+    number in its album.
 
-def _elect(faces: DataFrame, threshold: float, block: int, piece: int = 4_096) -> DataFrame:
-    """Greedy groups. Each round takes the first ``block`` undecided faces of every album, finds the first members among them in one
-    small task per album, and lets every piece of the album compare its faces with the new first members; a face with an earlier similar first
-    member is no longer a candidate. Faces keep the best first member seen so far. ``pos`` is a unique integer in its album."""
+    A round takes the next ``block`` undecided faces of every album (twice as many in the next round, up to ``most``), finds the first members among
+    them, and lets the faces of the album, in pieces, look for their best new first member. First members and what faces found are appended to two
+    tables, (album, pos, leader, cosine); embeddings are written for first members only, so an album of unlike faces costs its own size.
+    """
+    spark = faces.sparkSession
     kind = dict(faces.dtypes)
-    schema = f"album {kind['album']}, pos {kind['pos']}, embedding {kind['embedding']}, undecided boolean, best double, leader bigint, piece bigint"
-    state = durable(
-        faces.withColumns(
-            {"undecided": F.lit(True), "best": F.lit(None).cast("double"), "leader": F.lit(None).cast("bigint"), "piece": F.expr(f"CAST(pos AS BIGINT) div {piece}")}
-        )
-    )
-    w = W.partitionBy("album").orderBy("pos")
-    leaders = None
-
-    def first_members(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("pos")
-        kept: list[int] = []
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in p["embedding"]])
-        for i in range(len(x)):
-            if not kept or (x[kept] @ x[i]).max() < threshold:
-                kept.append(i)
-        return p.iloc[kept][["album", "pos", "embedding"]].assign(upto=p["pos"].max())
-
-    def compare(rows: pd.DataFrame, panel: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows) or not len(panel):
-            return rows
-        panel = panel.sort_values("pos")
-        lead = panel["pos"].to_numpy()
-        pos = rows["pos"].to_numpy()
-        sims = np.stack([np.asarray(v, dtype=np.float64) for v in rows["embedding"]]) @ np.stack([np.asarray(v, dtype=np.float64) for v in panel["embedding"]]).T
-        sims[lead[None, :] >= pos[:, None]] = -np.inf
-        at = sims.argmax(axis=1)
-        top = sims[np.arange(len(rows)), at]
-        similar = top >= threshold
-        best = rows["best"].to_numpy(dtype=float)
-        better = similar & (np.isnan(best) | (top > best))
-        return rows.assign(
-            undecided=rows["undecided"].to_numpy() & ~similar & (pos > panel["upto"].iloc[0]), best=np.where(better, top, best),
-            leader=rows["leader"].astype("Int64").where(~better, pd.Series(lead[at], index=rows.index).astype("Int64")),
-        )
-
+    known = faces.where("embedding IS NOT NULL").select("album", C("pos").cast("bigint").alias("pos"), C("embedding").cast("array<double>").alias("embedding"))
+    first_schema = f"album {kind['album']}, pos bigint, embedding array<double>, upto bigint, round int"
+    found_schema = f"album {kind['album']}, pos bigint, leader bigint, cosine double"
+    firsts, found = shared_folder(spark, "firsts"), shared_folder(spark, "found")
+    stored = lambda path, schema: spark.read.schema(schema).parquet(path)
+    order, turn = W.partitionBy("album").orderBy("pos"), 0
+    undecided = known
     while True:
-        head = state.where("undecided").withColumn("_n", F.row_number().over(w)).where(C("_n") <= block).select("album", "pos", "embedding")
-        if not head.take(1):
+        head = undecided.withColumn("_n", F.row_number().over(order)).where(C("_n") <= min(most, block << turn)).drop("_n")
+        elected = head.groupBy("album").applyInPandas(lambda p: first_members(p, threshold), first_schema.rsplit(",", 1)[0])
+        elected.withColumn("round", F.lit(turn)).write.mode("append").parquet(firsts)
+        leaders = stored(firsts, first_schema)
+        fresh = leaders.where(C("round") == turn)
+        if not fresh.take(1):
             break
-        fresh = durable(
-            head.groupBy("album").applyInPandas(first_members, f"album {kind['album']}, pos {kind['pos']}, embedding {kind['embedding']}, upto {kind['pos']}")
-        )
-        found = fresh.select("album", "pos")
-        leaders = found if leaders is None else leaders.unionByName(found)
-        panel = state.select("album", "piece").distinct().join(fresh, "album")
+        # The faces of finished albums stay where they are.
+        rows = known.join(fresh.select("album").distinct(), "album", "left_semi").withColumn("piece", F.expr(f"pos div {piece}"))
+        panel = rows.select("album", "piece").distinct().join(fresh, "album")
         panel = panel.select(*[C(c).alias(c) for c in panel.columns])
-        state = durable(state.groupBy("album", "piece").cogroup(panel.groupBy("album", "piece")).applyInPandas(compare, schema))
-    if leaders is None:
-        return faces.select("album", "pos", F.lit(0).cast("bigint").alias("group_no"))
-    numbered = position(leaders, ["album"], ["pos"], "group_no").withColumnRenamed("pos", "leader")
-    return state.select("album", "pos", F.coalesce("leader", "pos").alias("leader")).join(numbered, ["album", "leader"]).select("album", "pos", "group_no")
+        similar = rows.groupBy("album", "piece").cogroup(panel.groupBy("album", "piece"))
+        similar.applyInPandas(lambda r, l: nearest_first(r, l, threshold), found_schema).write.mode("append").parquet(found)
+        after = known.join(leaders.groupBy("album").agg(F.max("upto").alias("upto")), "album").where("pos > upto").drop("upto")
+        undecided = after.join(stored(found, found_schema).select("album", "pos"), ["album", "pos"], "left_anti")
+        turn += 1
+    alone = faces.where("embedding IS NULL").select("album", "pos", F.lit(-1).cast("bigint").alias("group_no"))
+    if turn == 0:
+        return alone
+    numbered = position(leaders.select("album", C("pos").alias("leader")), ["album"], ["leader"], "group_no")
+    best = stored(found, found_schema).groupBy("album", "pos").agg(F.min(F.struct((-C("cosine")).alias("c"), "leader"))["leader"].alias("leader"))
+    own = leaders.select("album", "pos", C("pos").alias("leader"))
+    named = best.unionByName(own).join(numbered, ["album", "leader"]).select("album", C("pos").cast(kind["pos"]).alias("pos"), "group_no")
+    return named.unionByName(alone)
+
+
+def _stacked(vectors: pd.Series) -> np.ndarray:
+    return np.concatenate(vectors.to_list()).reshape(len(vectors), -1)
+
+
+def first_members(faces: pd.DataFrame, threshold: float, step: int = 256) -> pd.DataFrame:
+    """Faces, in order, that no earlier one of those kept is similar to; and the last place looked at. A step of faces meets those kept at once."""
+    p = faces.sort_values("pos")
+    x = _stacked(p["embedding"])
+    kept = np.empty(0, np.int64)
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        open_ = (part @ x[kept].T < threshold).all(axis=1)
+        near = part @ part.T >= threshold
+        for i in range(len(part)):
+            if open_[i]:
+                open_[i + 1 :] &= ~near[i, i + 1 :]
+        kept = np.append(kept, at + np.flatnonzero(open_))
+    return p.iloc[kept][["album", "pos", "embedding"]].assign(upto=p["pos"].max())
+
+
+def nearest_first(faces: pd.DataFrame, firsts: pd.DataFrame, threshold: float, pivots: int = 16, rows: int = 4_096) -> pd.DataFrame:
+    """(album, pos, leader, cosine): for each face its most similar earlier first member among ``firsts``, the earliest of equals, if similar enough.
+
+    First members are grouped around a few of them (pivots). A face whose angle to a pivot exceeds the group's radius by more than the threshold's
+    angle can be similar to none of the group, so the group is skipped for it.
+    """
+    out = [[], [], []]
+    if len(faces) and len(firsts):
+        firsts = firsts.sort_values("pos")
+        lead, y = firsts["pos"].to_numpy(), _stacked(firsts["embedding"])
+        angle = lambda c: np.arccos(np.clip(c, -1, 1))
+        heads = y[:: max(1, -(-len(y) // pivots))]
+        to_heads = angle(y @ heads.T)
+        of = to_heads.argmin(axis=1)
+        groups = [np.flatnonzero(of == g) for g in range(len(heads))]
+        reach = np.array([to_heads[m, g].max(initial=0) for g, m in enumerate(groups)]) + np.arccos(min(1.0, threshold)) + 1e-6
+        faces = faces[faces["pos"] > lead[0]]
+        for at in range(0, len(faces), rows):
+            part = faces.iloc[at : at + rows]
+            pos, x = part["pos"].to_numpy(), _stacked(part["embedding"])
+            top, who = np.full(len(x), -np.inf), np.full(len(x), np.iinfo(np.int64).max)
+            may = angle(x @ heads.T) <= reach
+            for g, m in enumerate(groups):
+                some = np.flatnonzero(may[:, g])
+                if not len(some) or not len(m):
+                    continue
+                sims = x[some] @ y[m].T
+                sims[lead[m][None, :] >= pos[some][:, None]] = -np.inf
+                best = sims.argmax(axis=1)  # the earliest of equals
+                value, name = sims[np.arange(len(some)), best], lead[m][best]
+                better = (value > top[some]) | (value == top[some]) & (name < who[some])
+                top[some[better]], who[some[better]] = value[better], name[better]
+            hit = np.flatnonzero(top >= threshold)
+            for c, v in zip(out, (pos[hit], who[hit], top[hit])):
+                c.append(v)
+    pos, leader, cosine = (np.concatenate(c) if c else np.empty(0) for c in out)
+    album = faces["album"].iloc[0] if len(pos) else None
+    return pd.DataFrame({"album": pd.Series([album] * len(pos), dtype=faces["album"].dtype if len(faces) else None), "pos": pos.astype(np.int64), "leader": leader.astype(np.int64), "cosine": cosine})
 
 
 def reuse_static_frames(frames: DataFrame, height: int, width: int, limit: float = REUSE_DIFFERENCE, chunk: int = CHUNK) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,11 @@ def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there, so that lost executors cost no recomputation."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder name below the shared checkpoint folder, for tables that grow by appending; removed when the application ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path

@@ -1,5 +1,6 @@
 """One key holding most of the rows, and small chunk sizes: the split paths must give what the plain ones give."""
 
+import pathlib
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from candorframe.operators import boxes as bx
 from candorframe.operators import feedback as fb
 from candorframe.operators import hamming as hm
+from candorframe.operators import reuse as ru
 from candorframe.operators import identity as idn
 from candorframe.operators import sequence as sq
 from candorframe.operators import vectors as vc
@@ -94,16 +96,22 @@ def test_covered_seconds(spark):
     assert got == [(1, "a", 4.0), (1, "b", 1.0)]
 
 
-def test_admit_batch_in_chunks(spark):
+@pytest.mark.parametrize("chunk", [3, 17, 65_536])
+@pytest.mark.parametrize("limit", [900, 100_000])
+def test_admit_batch_in_chunks(spark, chunk, limit):
+    """Sizes that leave ever less room, batches that hold something already, and chunks in which all or none are taken."""
     rng = random.Random(3)
-    files = spark.createDataFrame([(i % 2 if i < 20 else 0, i, rng.randint(1, 60)) for i in range(200)], "batch int, pos long, size_bytes long")
-    whole, pieces = idn.admit_batch(files, 50, 900), idn.admit_batch(files, 50, 900, chunk=17)
-    used, want = {0: 0, 1: 0}, []
-    for r in sorted(files.collect(), key=lambda r: r.pos):
-        ok = r.size_bytes <= 50 and used[r.batch] + r.size_bytes <= 900
-        used[r.batch] += r.size_bytes if ok else 0
-        want.append((r.batch, r.pos, r.size_bytes, ok))
-    assert rows_of(whole) == rows_of(pieces) == sorted(want, key=repr)
+    rows = [(i % 3 if i < 60 else 0, i, rng.choice([rng.randint(1, 60), rng.randint(1, 60), 1, 0, None, -5])) for i in range(400)]
+    held = {1: 850, 2: 5_000}
+    files = spark.createDataFrame(rows, "batch int, pos long, size_bytes long")
+    before = spark.createDataFrame([(1, 800), (1, 50), (2, 5_000), (9, 1)], "batch int, bytes long")
+    used, want = {0: 0, **held}, []
+    for b, p, s in rows:
+        ok = s is not None and 0 <= s <= 50 and used[b] + s <= limit
+        used[b] += s if ok else 0
+        want.append((b, p, s, ok))
+    assert rows_of(idn.admit_batch(files, 50, limit, before, chunk=chunk)) == sorted(want, key=repr)
+    assert idn.admit_batch(files.where("false"), 50, limit, chunk=chunk).count() == 0
 
 
 def test_reuse_in_chunks(spark):
@@ -197,7 +205,53 @@ def test_same_person_in_blocks(spark):
             firsts[album].append(v)
             want.append((album, pos, len(firsts[album]) - 1))
     assert rows_of(vc.group_same_person(df, 0.7)) == sorted(want, key=repr)
-    assert rows_of(vc.group_same_person(df, 0.7, block=4)) == sorted(want, key=repr)
+    assert rows_of(vc.group_same_person(df, 0.7, block=4, most=8, piece=16)) == sorted(want, key=repr)
+    assert vc.group_same_person(df.where("false"), 0.7).count() == 0
+
+
+def test_same_person_on_ties_and_at_the_threshold(spark):
+    """Cosines of exactly the threshold, equal faces, and a face as near to two first members: the earlier one."""
+    e = lambda *v: [float(x) for x in v]
+    rows = [(0, 1, e(1, 0, 0)), (0, 2, e(0, 1, 0)), (0, 3, e(0.6, 0.8, 0)), (0, 4, e(1, 0, 0)), (0, 5, e(0, 0, 1)), (0, 6, e(0.5, 0.5, 0.7071)), (0, 7, e(0.8, 0.6, 0)), (0, 9, None)]
+    df = spark.createDataFrame(rows, "album int, pos long, embedding array<double>")
+    for block in (1, 2, 100):
+        got = {r.pos: r.group_no for r in vc.group_same_person(df, 0.8, block=block, most=block, piece=2).collect()}
+        assert got == {1: 0, 2: 1, 3: 1, 4: 0, 5: 2, 6: 3, 7: 0, 9: -1}
+    got = {r.pos: r.group_no for r in vc.group_same_person(df.where("pos <> 3"), 0.5, block=2).collect()}
+    assert got[6] == 2 and vc.nearest_first(pd.DataFrame({"album": [0], "pos": [9], "embedding": [np.array([0.6, 0.6])]}), pd.DataFrame({"pos": [3, 2], "embedding": [np.array([1.0, 0]), np.array([0, 1.0])]}), 0.5).leader.tolist() == [2]
+
+
+def test_an_album_of_unlike_faces(spark, tmp_path, monkeypatch):
+    """20,000 faces, each its own group: what is written stays in proportion to the faces."""
+    folders = []
+    monkeypatch.setattr(vc, "shared_folder", lambda s, tag: folders.append(str(tmp_path / tag)) or folders[-1])
+    n, d = 20_000, 32
+    rows = spark.range(n).select(F.lit(0).alias("album"), C("id").alias("pos"), F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.hash("id", i) / 2147483648.0).alias("x"))
+    df = rows.select("album", "pos", F.transform("x", lambda v: v / F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, y: a + y * y))).alias("embedding"))
+    got = vc.group_same_person(df, 0.999)
+    assert got.where("group_no <> pos").count() == 0 and got.count() == n
+    size = sum(p.stat().st_size for f in folders for p in pathlib.Path(f).rglob("*.parquet"))
+    assert size < 1.5 * n * d * 8
+
+
+def test_vocabulary_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    words = rng.normal(size=(23, 6))
+    words[5] = words[4]  # a tie
+    vocabulary = spark.createDataFrame([(f"w{k:02d}", [float(c) for c in w]) for k, w in enumerate(words)] + [(None, [0.0] * 6), ("x", None)], "label string, embedding array<double>")
+    x = rng.normal(size=(40, 6))
+    x[7], x[8] = x[6], words[4] * 2
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(99, None)], "id long, v array<double>")
+    logits = 3.0 * x @ words.T
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    for block in (5, 1, 23, 4_096):
+        got = {r.id: r.labels for r in vc.zero_shot_classify(df, "v", vocabulary, 3.0, block=block).collect()}
+        assert len(got) == 41 and got[99] is None
+        for i, row in enumerate(p):
+            best = np.sort(row)[::-1][:3].tolist()
+            assert [w.probability for w in got[i]] == pytest.approx(best) == [row[int(w.label[1:])] for w in got[i]] and len({w.label for w in got[i]}) == 3
+    assert {len(r.labels) for r in vc.zero_shot_classify(df.where("id < 99"), "v", vocabulary.where("false"), 3.0).collect()} == {0}
 
 
 def signed(h):
@@ -228,20 +282,81 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}}
 
 
-def test_audio_match_in_small_blocks(spark):
-    rng = np.random.default_rng(9)
-    q = rng.integers(0, 1 << 32, 150)
-    r = np.concatenate([rng.integers(0, 1 << 32, 20), q[10:140] ^ 5])
-    noise = rng.integers(0, 1 << 32, 130)
-    qs = spark.createDataFrame([(1, i, int(v)) for i, v in enumerate(q)] + [(2, i, int(v)) for i, v in enumerate(q[:10])], "query_id long, idx long, bits long")
-    rs = spark.createDataFrame([(7, i, int(v)) for i, v in enumerate(r)] + [(8, i, int(v)) for i, v in enumerate(noise)], "ref_id long, idx long, bits long")
-    best = 1.0
-    for off in range(-50, 51):
+def plain_ber(q, r):
+    """Lowest error rate over all offsets with enough overlap; None above 0.30."""
+    need, best = min(100, len(q), len(r)), 1.0
+    for off in range(-len(q), len(r) + 1) if need >= 20 else []:
         a, b = q[max(0, -off) :], r[max(0, off) :]
         n = min(len(a), len(b))
-        best = min(best, sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(a[:n], b[:n])) / (32 * n))
-    assert best < 0.1
-    assert rows_of(hm.audio_fingerprint_match(qs, rs)) == [(1, 7, best)] == rows_of(hm.audio_fingerprint_match(qs, rs, block=16, per_cell=2))
+        if n >= need:
+            best = min(best, sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(a[:n], b[:n])) / (32 * n))
+    return best if best <= 0.30 else None
+
+
+def recording_table(spark, recordings, key):
+    return spark.createDataFrame([(k, i, int(v)) for k, x in recordings.items() for i, v in enumerate(x)], f"{key} long, idx long, bits long")
+
+
+@pytest.mark.parametrize("piece,tile", [(1_024, (512, 2_048)), (32, (2, 3)), (64, (512, 4))])
+def test_audio_matches_at_all_offsets(spark, piece, tile):
+    rng = np.random.default_rng(9)
+    noise = lambda n: rng.integers(0, 1 << 32, n)
+    base, flat = noise(150), np.zeros(140, int)
+    queries = {1: base, 2: base[:10], 3: noise(70), 4: flat, 5: base, 6: noise(25), 8: noise(19)}
+    refs = {7: np.concatenate([noise(20), base[10:140] ^ 5]), 8: noise(130), 9: queries[3][5:60] ^ 0x00FF0000, 10: flat[:60], 11: queries[6], 12: base[90:], 13: noise(19), 14: refs_far(base)}
+    want = sorted((i, j, plain_ber(q, r)) for i, q in queries.items() for j, r in refs.items() if plain_ber(q, r) is not None)
+    got = rows_of(ru.audio_fingerprint_match(recording_table(spark, queries, "query_id"), recording_table(spark, refs, "ref_id"), piece, tile))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=1e-12)
+    assert {(1, 7), (5, 7), (3, 9), (4, 10), (6, 11)} <= {g[:2] for g in got}
+
+
+def refs_far(base):
+    """``base`` with about 28 % of the bits turned, evenly."""
+    return base ^ 0x01249249
+
+
+def test_unlike_recordings_cost_no_rows(spark):
+    """1,000 references that match nothing add nothing to what leaves the tiles, also where the query has several pieces."""
+    rng = np.random.default_rng(4)
+    queries = {1: rng.integers(0, 1 << 32, 90), 2: rng.integers(0, 1 << 32, 40)}
+    refs = {9: queries[1][10:80]} | {100 + k: rng.integers(0, 1 << 32, 40) for k in range(1_000)}
+    q = recording_table(spark, queries, "query_id")
+    for piece in (1_024, 64):
+        got = ru.audio_fingerprint_match(q, recording_table(spark, refs, "ref_id"), piece)
+        assert rows_of(got) == [(1, 9, 0.0)]
+    left = ru.bit_planes([queries[1][:64]], np.zeros(1, int), 128)
+    windows = [x[:64] for x in list(refs.values())[1:]]
+    first, last = np.zeros(1_000, int), np.array([len(w) for w in windows])
+    frames = ru.overlaps(np.array([64]), first, last, 64)
+    errors = ru.offset_errors(left, ru.bit_planes(windows, first, 128), frames, 64)
+    assert errors[0, 3, 0] == sum(bin(int(a) ^ int(b)).count("1") for a, b in zip(queries[1], windows[3])) and (errors >= 0).all() and (errors <= 32 * frames).all()
+
+
+def test_video_match_by_rare_frames(spark):
+    """Black frames in every clip and reference, close hashes, and sizes at the borders of the rule."""
+    rng = random.Random(8)
+    far = lambda: rng.getrandbits(63)
+    near = lambda h: h ^ (1 << rng.randrange(62)) ^ (1 << rng.randrange(62))
+    black = 0
+    clips = {k: [black] * (k % 5) + [far() for _ in range(1 + k % 7)] for k in range(60)}
+    refs = {k: [black, black ^ 3] + [near(h) for h in clips[k % 60] if h][: 1 + k % 6] + [far()] for k in range(90)}
+    clips[99] = [black] * 12
+    bits = lambda a, b: bin(a ^ b).count("1")
+    want = []
+    for c, frames in clips.items():
+        for r, hashes in refs.items():
+            hit = sum(any(bits(f, h) <= 8 for h in hashes) for f in frames)
+            if len(frames) >= 4 and hit >= 4 and hit * 2 >= len(frames):
+                want.append((c, r, hit))
+    q = spark.createDataFrame([(c, i, h) for c, fs in clips.items() for i, h in enumerate(fs)], "clip_id long, frame_idx long, hash long")
+    ix = spark.createDataFrame([(r, h) for r, hs in refs.items() for h in hs], "ref_id long, hash long")
+    assert rows_of(ru.video_fingerprint_match(q, ix)) == sorted(want) and any(c != 99 for c, _, _ in want)
+    got = {r.clip_id: r for r in ru.video_findings(q.unionByName(spark.createDataFrame([(200, 0, None)], q.schema)), ix).collect()}
+    firsts = {c: (sum(w[0] == c for w in want), min((w[1:] for w in want if w[0] == c), default=(None, None))) for c in clips}
+    assert {c: (r.matches, (r.first_ref, r.frames_matched)) for c, r in got.items() if c != 200} == firsts
+    assert {c for c, r in got.items() if r.status == "NOT_APPLICABLE"} == {200, *(c for c, f in clips.items() if len(f) < 4)}
+    none = ru.video_findings(q, ix.where("false")).collect()
+    assert {(r.status, r.note) for r in none} == {("INFO", "no reference index"), ("NOT_APPLICABLE", "too short to fingerprint")}
 
 
 def test_calibration_in_chunks_equals_step_by_step(spark):
