@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from candorframe.operators.hamming import hamming_pairs
 from candorframe.operators.ordering import prefix_scan
+from candorframe.session import durable
 
 C = F.col
 
@@ -91,7 +92,7 @@ def audio_fingerprint_match(query: DataFrame, index: DataFrame, piece: int = PIE
     of a query meets every window of the references, in tiles of bounded size; copies of a recording meet once. What leaves a tile grows with the
     matches, not with the pairs.
     """
-    q_of, r_of = _copies(query, "query_id"), _copies(index, "ref_id")
+    q_of, r_of = durable(_copies(query, "query_id")), durable(_copies(index, "ref_id"))  # one row a recording
     one = lambda of, key: of.where(C(key) == C("rep")).select(key, "n")
     long_blocks = F.expr(f"idx div {piece}")
     q_rows = query.join(one(q_of, "query_id"), "query_id").withColumn("start", long_blocks * piece)
@@ -180,7 +181,7 @@ def video_fingerprint_match(query: DataFrame, index: DataFrame) -> DataFrame:
     sizes = query.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")).where(C("n") >= VIDEO_MIN_FRAMES)
     sizes = sizes.withColumn("need", F.greatest(F.lit(VIDEO_MIN_FRAMES).cast("bigint"), F.ceil(VIDEO_MIN_SHARE * C("n"))))
     refs = index.where("hash IS NOT NULL").select("ref_id", C("hash").alias("hash_b")).distinct()
-    pairs = hamming_pairs(query, index, VIDEO_MATCH_BITS).select(C("hash_a").alias("hash"), "hash_b")
+    pairs = durable(hamming_pairs(query, index, VIDEO_MATCH_BITS).select(C("hash_a").alias("hash"), "hash_b"))
     held = pairs.join(refs.groupBy("hash_b").agg(F.count(F.lit(1)).alias("d")), "hash_b").groupBy("hash").agg(F.sum("d").alias("d"))
     # A match leaves at most n - need frames unmatched, so one of the n - need + 1 rarest frames must match; frames without any reference are rarest.
     ranked = per_hash.join(held, "hash", "left").withColumn("d", F.coalesce("d", F.lit(0)))

@@ -233,14 +233,12 @@ def group_same_person(faces: DataFrame, threshold: float = SAME_PERSON_COSINE, b
     stored = lambda path, schema: spark.read.schema(schema).parquet(path)
     order, turn = W.partitionBy("album").orderBy("pos"), 0
     undecided = known
-    while True:
+    while undecided.take(1):
         head = undecided.withColumn("_n", F.row_number().over(order)).where(C("_n") <= min(most, block << turn)).drop("_n")
         elected = head.groupBy("album").applyInPandas(lambda p: first_members(p, threshold), first_schema.rsplit(",", 1)[0])
         elected.withColumn("round", F.lit(turn)).write.mode("append").parquet(firsts)
         leaders = stored(firsts, first_schema)
         fresh = leaders.where(C("round") == turn)
-        if not fresh.take(1):
-            break
         # The faces of finished albums stay where they are.
         rows = known.join(fresh.select("album").distinct(), "album", "left_semi").withColumn("piece", F.expr(f"pos div {piece}"))
         panel = rows.select("album", "piece").distinct().join(fresh, "album")
