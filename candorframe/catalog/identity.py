@@ -15,10 +15,13 @@ BASE = """SELECT d.doc_id AS media_id, {SHA} AS sha256, CAST({BYTES} AS BIGINT)
  CASE WHEN l.quality = 1 THEN 'real' WHEN l.quality = 0 THEN 'ai_generated' WHEN d.doc_id % 2 = 0 THEN 'real' ELSE 'ai_generated' END AS label,
  concat('/media/', d.source, '/', CAST(d.doc_id AS {STR})) AS path, CASE d.doc_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' ELSE 'video' END AS modality
  FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id"""
+# A quarter of the registry's entries are of other content than the file that is there now; a third of the files were edited and stored elsewhere.
 REGISTRY = f"""SELECT sha256, {{MINBY}}(label, media_id) AS label, {{MINBY}}(path, media_id) AS path_hint, {{MINBY}}(modality, media_id) AS modality, min(size_bytes) AS size_bytes,
- CASE WHEN min(media_id) % 2 = 0 THEN 'seen' ELSE 'new' END AS status FROM ({BASE}) b WHERE media_id % 4 <> 0 GROUP BY sha256"""
-SCAN = f"""SELECT media_id AS pos, sha256, size_bytes, CASE WHEN media_id % 5 = 0 THEN concat(path, '.moved') ELSE path END AS path,
- CASE WHEN media_id % 7 = 0 THEN CASE label WHEN 'real' THEN 'ai_generated' ELSE 'real' END ELSE label END AS label FROM ({BASE}) b WHERE media_id % 3 <> 0"""
+ CASE WHEN min(media_id) % 2 = 0 THEN 'seen' ELSE 'new' END AS status 
+ FROM (SELECT media_id, CASE WHEN media_id % 4 = 0 THEN concat(substr(sha256, 9), substr(sha256, 1, 8)) ELSE sha256 END AS sha256, label, path, modality, size_bytes FROM ({BASE}) b) c GROUP BY sha256"""
+SCAN = f"""SELECT media_id AS pos, CASE WHEN media_id % 3 = 0 THEN concat(substr(sha256, 17), substr(sha256, 1, 16)) ELSE sha256 END AS sha256,
+ CASE WHEN media_id % 3 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, CASE WHEN media_id % 3 = 0 THEN concat(path, '.v2') WHEN media_id % 5 = 0 THEN concat(path, '.moved') ELSE path END AS path,
+ CASE WHEN media_id % 7 = 0 THEN CASE label WHEN 'real' THEN 'ai_generated' ELSE 'real' END ELSE label END AS label FROM ({BASE}) b"""
 
 
 def registry(spark, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candorframe.catalog.registry import query
@@ -9,6 +12,7 @@ from candorframe.functions import textscan as tx
 from candorframe.operators import feedback as fb
 from candorframe.operators.checks import CheckRegistry, score_files
 from candorframe.sources import media as md
+from candorframe.session import shared_folder
 from candorframe.sources import sinks as sk
 from candorframe.streaming import work as st
 from candorframe.tables import round6, spark_sql, table, view
@@ -141,18 +145,30 @@ def _checks() -> CheckRegistry:
     def _(df):
         return df.select("media_id", F.lit("INFO").alias("status"))
 
+    @reg.register("audio", "short")
+    def _(df):
+        return df.where("size_bytes < 1000").select("media_id", F.lit("WARN").alias("status"))
+
+    @reg.register("video", "named", phase="post")
+    def _(df):
+        return df.select("media_id", F.when(C("path").endswith(".mp4"), "PASS").otherwise("FAIL").alias("status"))
+
     return reg
 
 
 @query(
     "run_checks",
-    """WITH i AS (SELECT * FROM media_files WHERE modality = 'image'), u AS (SELECT 'large_file' c, 'WARN' s FROM i WHERE size_bytes > 5000 UNION ALL SELECT 'bad_plan', 'ERROR' FROM i
-        UNION ALL SELECT 'label', CASE WHEN label IS NULL THEN 'ERROR' ELSE 'PASS' END FROM i) SELECT c AS check_id, s AS status, count(*) AS n FROM u GROUP BY ALL""",
+    """WITH u AS (SELECT modality m, 'pre' p, 'large_file' c, 'WARN' s FROM media_files WHERE modality = 'image' AND size_bytes > 5000 UNION ALL SELECT modality, 'pre', 'bad_plan', 'ERROR' FROM media_files WHERE modality = 'image'
+        UNION ALL SELECT modality, 'pre', 'label', CASE WHEN label IS NULL THEN 'ERROR' ELSE 'PASS' END FROM media_files WHERE modality = 'image' UNION ALL SELECT modality, 'post', 'later', 'INFO' FROM media_files WHERE modality = 'image'
+        UNION ALL SELECT modality, 'pre', 'short', 'WARN' FROM media_files WHERE modality = 'audio' AND size_bytes < 1000 UNION ALL SELECT modality, 'post', 'named', CASE WHEN path LIKE '%.mp4' THEN 'PASS' ELSE 'FAIL' END FROM media_files WHERE modality = 'video')
+       SELECT m AS modality, p AS phase, c AS check_id, s AS status, count(*) AS n FROM u GROUP BY ALL""",
     ("media_files",),
 )
 def _(spark, sf):
-    m = view(spark, sf, "media_files").where("modality = 'image'")
-    return _checks().run(m, "image").groupBy("check_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    m, reg = view(spark, sf, "media_files"), _checks()
+    runs = [(kind, phase, reg.run(m.where(C("modality") == kind), kind, phase)) for kind in ("image", "audio", "video") for phase in ("pre", "post")]
+    found = reduce(DataFrame.unionByName, [f.select(F.lit(kind).alias("modality"), F.lit(phase).alias("phase"), "check_id", "status") for kind, phase, f in runs])
+    return found.groupBy("modality", "phase", "check_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _scorer(row: dict) -> dict:
@@ -216,15 +232,24 @@ def _(spark, sf):
     return t.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "size_bytes", F.sha2("content", 256).alias("sha256"))
 
 
+# Files of the documents' numbers in the two label folders and one more; a folder without files says so.
 @query(
     "scan_labelled_folders",
-    """SELECT media_id, CASE WHEN media_id % 3 = 0 THEN 1 WHEN media_id % 3 = 1 THEN 0 END AS truth FROM media_files""",
+    """SELECT CASE label WHEN 'ai_generated' THEN 1 ELSE 0 END AS truth, sum(strlen(media_id::VARCHAR) + 1)::BIGINT AS bytes, NULL::VARCHAR AS error FROM media_files WHERE label IS NOT NULL GROUP BY 1
+       UNION ALL SELECT NULL, 0, 'no supported file'""",
     ("media_files",),
 )
 def _(spark, sf):
-    folder = F.expr("CASE media_id % 3 WHEN 0 THEN '/data/ai_generated/a/' WHEN 1 THEN '/data/real/' ELSE '/data/unreal/' END")
+    root = shared_folder(spark, "labelled")
     m = view(spark, sf, "media_files")
-    return m.select("media_id", md.truth_from_folder(F.concat(folder, C("media_id").cast("string"), F.lit(".jpg"))).alias("truth"))
+    for folder, rows in (("ai_generated", "label = 'ai_generated'"), ("real", "label = 'real'"), ("unsorted", "label IS NULL")):
+        m.where(rows).select(C("media_id").cast("string")).write.text(f"{root}/{folder}")
+    found = md.scan_labelled_folders(spark, root, [".TXT"]).groupBy("truth").agg(F.sum("size_bytes").alias("bytes")).withColumn("error", F.lit(None).cast("string"))
+    try:
+        md.scan_labelled_folders(spark, root, [".jpg"])
+    except ValueError as exc:
+        return found.unionByName(spark.createDataFrame([(None, 0, str(exc)[:17])], found.schema))
+    return found
 
 
 @query(

@@ -249,18 +249,32 @@ def _(spark, sf):
     return view(spark, sf, "media_tags").select("media_id", md.ai_signature(everywhere, F.coalesce("software", F.lit(""))).alias("signature"))
 
 
+EXTRA = """CASE doc_id % 8 WHEN 1 THEN 'made by Runway' WHEN 2 THEN 'voice: Eleven Labs v2' WHEN 3 THEN 'OBS Studio Lavf60.3' WHEN 4 THEN 'Adobe Premiere, Final Cut Pro' WHEN 5 THEN 'OpenAI gpt tts; Sora'
+           WHEN 6 THEN 'FFmpeg Lavc61' WHEN 7 THEN 'ScreenRecording' ELSE 'lumascope resemble airplane' END"""
+
+
+def duck_match(rx: str) -> str:
+    return "regexp_matches(t, '(?i)" + rx.replace("'", "''") + "')"
+
+
+def first_match(patterns: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {duck_match(rx)} THEN '{name}'" for name, rx in patterns.items()) + " END"
+
+
+def all_matches(patterns: dict[str, str]) -> str:
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {duck_match(rx)} THEN '{name}' END" for name, rx in patterns.items()) + ")"
+
+
+# Whole texts of documents, each followed by a tag line.
 @query(
     "tools_named",
-    """SELECT doc_id, CASE doc_id % 8 WHEN 1 THEN 'runway' WHEN 5 THEN 'sora' END AS video_generator, CASE doc_id % 8 WHEN 2 THEN 'elevenlabs' WHEN 5 THEN 'openai-voice' END AS audio_generator,
-        CASE doc_id % 8 WHEN 3 THEN 'obs' WHEN 7 THEN 'quicktime-screen-recording' ELSE '' END AS capture_tools, CASE doc_id % 8 WHEN 4 THEN 'premiere|final-cut' ELSE '' END AS editors,
-        CASE doc_id % 8 WHEN 3 THEN 'libavformat' WHEN 6 THEN 'libavcodec|ffmpeg' ELSE '' END AS libraries FROM documents""",
+    f"""WITH d AS (SELECT doc_id, concat_ws(chr(10), text, {EXTRA}) AS t FROM documents)
+        SELECT doc_id, {first_match({n: chr(92) + 'b' + n.replace('.', chr(92) + '.') + chr(92) + 'b' for n in md.VIDEO_SIGNATURES})} AS video_generator, {first_match(md.AUDIO_GENERATORS)} AS audio_generator,
+        {all_matches(md.CAPTURE_TOOLS)} AS capture_tools, {all_matches(md.EDITORS)} AS editors, {all_matches(md.LIBRARIES)} AS libraries FROM d""",
 )
 def _(spark, sf):
-    extra = F.expr(
-        """CASE doc_id % 8 WHEN 1 THEN 'made by Runway' WHEN 2 THEN 'voice: Eleven Labs v2' WHEN 3 THEN 'OBS Studio Lavf60.3' WHEN 4 THEN 'Adobe Premiere, Final Cut Pro' WHEN 5 THEN 'OpenAI gpt tts; Sora'
-           WHEN 6 THEN 'FFmpeg Lavc61' WHEN 7 THEN 'ScreenRecording' ELSE 'lumascope resemble airplane' END"""
-    )
-    t = table(spark, sf, "documents").select("doc_id", md.tools_named(extra).alias("t"))
+    d = table(spark, sf, "documents")
+    t = d.select("doc_id", md.tools_named(F.concat_ws("\n", "text", F.expr(EXTRA))).alias("t"))
     return t.select("doc_id", "t.video_generator", "t.audio_generator", *[joined(f"t.{c}").alias(c) for c in ("capture_tools", "editors", "libraries")])
 
 
@@ -393,17 +407,23 @@ def _(spark, sf):
     return t.select("media_id", p.alias("p")).select("media_id", "p.status", joined("p.paradoxes").alias("paradoxes"), "p.llr")
 
 
+# Text chunks of images: the whole text of a document as parameters, prompt or workflow, some with what a generator adds; and the software tags.
+CHUNKS = """CASE doc_id % 8 WHEN 0 THEN map('parameters', concat(text, ' Steps: 20, CFG scale: 7')) WHEN 1 THEN map('parameters', concat(text, ' Steps: 20')) WHEN 2 THEN map('prompt', concat('{"3": {"class_type": "KSampler", "inputs": ', to_json(named_struct('text', text)), '}, "4": {}}'))
+  WHEN 3 THEN map('workflow', concat('{"nodes": [', to_json(named_struct('text', text)), ']}')) WHEN 4 THEN map('prompt', text, 'workflow', concat('[', to_json(named_struct('text', text)), ']')) WHEN 5 THEN map('Software', IF(contains(text, 'e'), ' NovelAI ', text)) WHEN 6 THEN map('sd-metadata', text) ELSE map('Comment', text) END"""
+
+
 @query(
     "generator_from_text",
-    """SELECT media_id, CASE media_id % 8 WHEN 0 THEN 'Stable Diffusion (A1111/Forge)' WHEN 2 THEN 'ComfyUI' WHEN 3 THEN 'ComfyUI' WHEN 5 THEN 'NovelAI' WHEN 6 THEN 'InvokeAI' END AS generator FROM media_tags""",
+    """SELECT 'text' AS kind, doc_id AS media_id, CASE WHEN doc_id % 8 <= 1 AND (contains(t, 'Steps:')::INT + contains(t, 'Sampler:')::INT + contains(t, 'CFG scale:')::INT) >= 2 THEN 'Stable Diffusion (A1111/Forge)'
+         WHEN doc_id % 8 IN (2, 3) THEN 'ComfyUI' WHEN doc_id % 8 = 5 AND contains(text, 'e') THEN 'NovelAI' WHEN doc_id % 8 = 6 THEN 'InvokeAI' END AS generator
+         FROM (SELECT *, concat(text, CASE doc_id % 8 WHEN 0 THEN ' Steps: 20, CFG scale: 7' WHEN 1 THEN ' Steps: 20' END) AS t FROM documents)
+       UNION ALL SELECT 'tag', media_id, CASE WHEN lower(trim(software)) = 'novelai' THEN 'NovelAI' END FROM (SELECT media_id, CASE WHEN media_id % 6 = 4 THEN ' NovelAI ' ELSE software END AS software FROM media_tags)""",
     ("media_tags",),
 )
 def _(spark, sf):
-    fields = F.expr(
-        """CASE media_id % 8 WHEN 0 THEN map('parameters', 'a cat Steps: 20, CFG scale: 7') WHEN 1 THEN map('parameters', 'a cat Steps: 20') WHEN 2 THEN map('prompt', '{"3": {"class_type": "KSampler"}, "4": {}}')
-           WHEN 3 THEN map('workflow', '{"nodes": []}') WHEN 4 THEN map('prompt', 'a plain prompt', 'workflow', '[1]') WHEN 5 THEN map('Software', ' NovelAI ') WHEN 6 THEN map('sd-metadata', '{}') ELSE map('Comment', coalesce(software, '')) END"""
-    )
-    return view(spark, sf, "media_tags").select("media_id", md.generator_from_text(fields).alias("generator"))
+    d = table(spark, sf, "documents").select(F.lit("text").alias("kind"), C("doc_id").alias("media_id"), F.expr(CHUNKS).alias("fields"))
+    tags = view(spark, sf, "media_tags").select(F.lit("tag").alias("kind"), "media_id", F.create_map(F.lit("Software"), F.when(C("media_id") % 6 == 4, " NovelAI ").otherwise(C("software"))).alias("fields"))
+    return d.unionByName(tags).select("kind", "media_id", md.generator_from_text(C("fields")).alias("generator"))
 
 
 RE = """is_jpeg: media_id % 5 <> 0

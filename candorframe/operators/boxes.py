@@ -1,8 +1,7 @@
 """Detection boxes: overlaps, best matches, suppression, face-person pairs, screening summaries.
 
-Boxes of one image meet only where they share a grid cell, so an image is never compared all against all. Order-dependent choices fold
-over one image's sorted boxes while the image is small; an image with more than ``limit`` boxes takes rounds of joins that give the same
-answer.
+Boxes of one image meet only where they share a grid cell, so an image is never compared all against all. Order-dependent choices are rounds of
+joins over all images at once.
 """
 
 from __future__ import annotations
@@ -188,16 +187,18 @@ def face_texture_score(texture: Column, noise: Column) -> Column:
 
 def face_texture_risk(faces: DataFrame) -> DataFrame:
     """Per clip: frames with faces, most faces in a frame, mean score and risk. Input: clip_id, frame_idx, texture, noise; a frame without
-    a face has a NULL texture. A frame's score is that of its most suspicious face."""
-    per = faces.groupBy("clip_id", "frame_idx").agg(F.count("texture").alias("n"), F.max(face_texture_score(C("texture"), C("noise"))).alias("s"))
-    agg = per.groupBy("clip_id").agg(
-        F.count(F.lit(1)).alias("frames"), F.max("n").alias("faces_max"), F.coalesce(F.avg(F.when(C("n") > 0, C("s"))), F.lit(0.0)).alias("mean_score")
-    )
+    a face has a NULL texture. A frame's score is that of its most suspicious face, in whole hundredths, so that the mean meets its limits exactly
+    and in any order of rows."""
+    hundredths = F.round(face_texture_score(C("texture"), C("noise")) * 100).cast("bigint")
+    per = faces.groupBy("clip_id", "frame_idx").agg(F.count("texture").alias("n"), F.max(F.when(C("texture").isNotNull(), hundredths)).alias("s"))
+    agg = per.groupBy("clip_id").agg(F.count(F.lit(1)).alias("frames"), F.max("n").alias("faces_max"), F.count("s").alias("k"), F.sum("s").alias("total"))
+    at_least = lambda limit: C("total") >= F.round(F.lit(limit * 100)).cast("bigint") * C("k")
     risk = (
-        F.when(C("faces_max") == 0, "NO_FACES_DETECTED").when(C("mean_score") >= TEXTURE["high"], "HIGH_SYNTHETIC_RISK")
-        .when(C("mean_score") >= TEXTURE["suspicious"], "SUSPICIOUS_ARTIFACTS").otherwise("LOW_RISK_NATURAL_TEXTURE")
+        F.when(C("faces_max") == 0, "NO_FACES_DETECTED").when(at_least(TEXTURE["high"]), "HIGH_SYNTHETIC_RISK")
+        .when(at_least(TEXTURE["suspicious"]), "SUSPICIOUS_ARTIFACTS").otherwise("LOW_RISK_NATURAL_TEXTURE")
     )
-    return agg.select("clip_id", "frames", "faces_max", "mean_score", risk.alias("risk"))
+    mean = F.coalesce(C("total") / (C("k") * 100.0), F.lit(0.0))
+    return agg.select("clip_id", "frames", "faces_max", mean.alias("mean_score"), risk.alias("risk"))
 
 
 def tile_noise_inconsistency(tiles: DataFrame, ela: DataFrame | None = None) -> DataFrame:
