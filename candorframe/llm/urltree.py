@@ -6,7 +6,7 @@ follows it (ends, wildcards) differs, it is merged with them into ``*``. A templ
 share of good labels, smoothed towards the share of all, is below ``least``. Given rules go first.
 
 Everything is Spark SQL. Comparing a branch with its pooled siblings takes one sum per parent, so no pairs of branches are made, and all
-statistics are sums that combine before the shuffle. The statements are written so that DuckDB reads them as well.
+statistics are sums that combine before the shuffle. Levels go on as long as two paths share a template and one of them goes on. The statements are written so that DuckDB reads them as well.
 """
 
 from __future__ import annotations
@@ -16,19 +16,19 @@ from pyspark.sql import functions as F
 
 from candorframe.llm.common import stage
 
-#: Deeper paths keep this many segments; what follows counts as one segment ``**``.
-DEPTH = 6
 Z, SHAPE = 1.96, 0.25
 WEIGHT, LEAST = 10.0, 0.5
 
 #: Functions that the two engines spell differently.
 SPARK = {
     "rest": "substring(url, instr(url, '://') + 3)", "has": "instr(url, '://') > 0", "m": "regexp_like({0}, '{1}')", "x": "regexp_extract({0}, '{1}', {2})",
-    "at": "get(split(path, '/', -1), {0})", "size": "size(split(path, '/', -1))", "bs": "\\\\",
+    "each": "transform(slice(split(path, '/', -1), 2, size(split(path, '/', -1))), s -> {0})", "at": "get(segments, {0} - 1)", "size": "size(segments)", "bs": "\\\\",
+    "join": "array_join(segments, '/')", "rest_of": "array_join(slice(segments, {0}, size(segments)), '/')", "str": "STRING",
 }
 DUCK = {
     "rest": "substr(url, instr(url, '://') + 3)", "has": "instr(url, '://') > 0", "m": "regexp_matches({0}, '{1}')", "x": "regexp_extract({0}, '{1}', {2})",
-    "at": "string_split(path, '/')[{0} + 1]", "size": "len(string_split(path, '/'))", "bs": "\\",
+    "each": "list_transform(string_split(path, '/')[2:], lambda s: {0})", "at": "segments[{0}]", "size": "len(segments)", "bs": "\\",
+    "join": "array_to_string(segments, '/')", "rest_of": "array_to_string(segments[{0}:], '/')", "str": "VARCHAR",
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,33 +41,27 @@ def split_sql(e: dict, source: str, key: str) -> str:
 
 
 def typed_sql(e: dict, source: str, columns: str) -> str:
-    """Adds s1.., the typed segments (null beyond the last), and ``typed``, all of them as one text."""
+    """Adds ``segments``, the typed segments of the whole path, and ``typed``, all of them as one text. A literal segment that could be taken for a
+    wildcard, or begins with ``~``, gets ``~`` before it."""
     b = e["bs"]
-
-    def one(k: int) -> str:
-        s = e["at"].format(k)
-        kind = f"""CASE WHEN {s} IS NULL THEN NULL WHEN {e["m"].format(s, f"^[0-9]+{b}z")} THEN '<n>'
-            WHEN {e["m"].format(s, f"^[0-9]+{b}.[A-Za-z]+{b}z")} THEN concat('<n>', {e["x"].format(s, f"({b}.[A-Za-z]+){b}z", 1)})
-            WHEN length({s}) >= 16 AND {e["m"].format(s, f"^[0-9a-fA-F-]+{b}z")} THEN '<h>' WHEN length({s}) > 60 THEN '<long>' ELSE {s} END"""
-        return f"CASE WHEN {e['size']} > {DEPTH + 1} THEN '**' ELSE {kind} END AS s{k}" if k == DEPTH else f"{kind} AS s{k}"
-
-    names = ", ".join(f"s{k}" for k in range(1, DEPTH + 1))
-    return f"""SELECT q.*, concat_ws('/', {names}) || '#' || CAST({" + ".join(f"CASE WHEN s{k} IS NULL THEN 0 ELSE 1 END" for k in range(1, DEPTH + 1))} AS {e.get("str", "STRING")}) AS typed
-        FROM (SELECT {columns}, {", ".join(one(k) for k in range(1, DEPTH + 1))} FROM {source}) q"""
+    kind = f"""CASE WHEN {e["m"].format("s", f"^[0-9]+{b}z")} THEN '<n>'
+            WHEN {e["m"].format("s", f"^[0-9]+{b}.[A-Za-z]+{b}z")} THEN concat('<n>', {e["x"].format("s", f"({b}.[A-Za-z]+){b}z", 1)})
+            WHEN length(s) >= 16 AND {e["m"].format("s", f"^[0-9a-fA-F-]+{b}z")} THEN '<h>' WHEN length(s) > 60 THEN '<long>'
+            WHEN substr(s, 1, 1) IN ('<', '*', '~') THEN concat('~', s) ELSE s END"""
+    return f"""SELECT q.*, concat({e["join"]}, '#', CAST({e["size"]} AS {e["str"]})) AS typed FROM (SELECT {columns}, {e["each"].format(kind)} AS segments FROM {source}) q"""
 
 
 def branches_sql(source: str) -> str:
     """One row per (host, typed path): number of pages, good and bad labels, and the template so far."""
-    names = ", ".join(f"s{k}" for k in range(1, DEPTH + 1))
-    return f"""SELECT host, typed, {names}, CAST('' AS VARCHAR(4000)) AS template, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN good THEN 1 ELSE 0 END) AS BIGINT) AS good,
-        CAST(sum(CASE WHEN NOT good THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM {source} GROUP BY host, typed, {names}"""
+    return f"""SELECT host, typed, segments, CAST('' AS VARCHAR(65535)) AS template, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN good THEN 1 ELSE 0 END) AS BIGINT) AS good,
+        CAST(sum(CASE WHEN NOT good THEN 1 ELSE 0 END) AS BIGINT) AS bad FROM {source} GROUP BY host, typed, segments"""
 
 
-def level_sql(source: str, k: int) -> str:
+def level_sql(e: dict, source: str, k: int) -> str:
     """``source`` with segment k put to the template, merged with its siblings where it is like them."""
-    after = f"s{k + 1}" if k < DEPTH else "CAST(NULL AS VARCHAR(10))"
-    node = f"""SELECT host, template, s{k} AS s, sum(n) AS n, sum(good) AS g, sum(bad) AS b, sum(CASE WHEN {after} IS NULL THEN n ELSE 0 END) AS e,
-        sum(CASE WHEN substr({after}, 1, 1) = '<' THEN n ELSE 0 END) AS v FROM {source} WHERE s{k} IS NOT NULL GROUP BY host, template, s{k}"""
+    own, after = (e["at"].format(i) for i in (k, k + 1))
+    node = f"""SELECT host, template, {own} AS s, sum(n) AS n, sum(good) AS g, sum(bad) AS b, sum(CASE WHEN {e["size"]} = {k} THEN n ELSE 0 END) AS e,
+        sum(CASE WHEN {e["size"]} > {k} AND substr({after}, 1, 1) = '<' THEN n ELSE 0 END) AS v FROM {source} WHERE {e["size"]} >= {k} GROUP BY host, template, {own}"""
     parent = "SELECT host, template, count(*) AS kids, sum(n) AS pn, sum(g) AS pg, sum(b) AS pb, sum(e) AS pe, sum(v) AS pv FROM node GROUP BY host, template"
     p1, p2 = "(b + 1e0) / (g + b + 2e0)", "(pb - b + 1e0) / (pg - g + pb - b + 2e0)"
     p = "(pb + 2e0) / (pg + pb + 4e0)"
@@ -75,10 +69,15 @@ def level_sql(source: str, k: int) -> str:
     shape = " AND ".join(f"abs({c} * 1e0 / n - (p{c} - {c}) * 1e0 / (pn - n)) <= {SHAPE}e0" for c in "ev")
     like = f"CASE WHEN kids > 1 AND substr(s, 1, 1) <> '<' AND s <> '' THEN {z} AND {shape} ELSE false END"
     judged = f"SELECT node.host, node.template, node.s, {like} AS merged FROM node JOIN parent ON node.host = parent.host AND node.template = parent.template"
-    rest = ", ".join(f"t.s{i}" for i in range(1, DEPTH + 1))
     return f"""WITH node AS ({node}), parent AS ({parent}), judged AS ({judged})
-        SELECT t.host, t.typed, {rest}, CASE WHEN t.s{k} IS NULL THEN t.template ELSE concat(t.template, '/', CASE WHEN j.merged THEN '*' ELSE t.s{k} END) END AS template,
-        t.n, t.good, t.bad FROM {source} t LEFT JOIN judged j ON t.host = j.host AND t.template = j.template AND t.s{k} = j.s"""
+        SELECT t.host, t.typed, t.segments, CASE WHEN {e["size"]} < {k} THEN t.template ELSE concat(t.template, '/', CASE WHEN j.merged THEN '*' ELSE {own} END) END AS template,
+        t.n, t.good, t.bad FROM {source} t LEFT JOIN judged j ON t.host = j.host AND t.template = j.template AND {own} = j.s"""
+
+
+def rest_sql(e: dict, source: str, k: int) -> str:
+    """``source`` with the segments after k put to the template as they are: for paths without siblings from there on."""
+    rest = f"CASE WHEN {e['size']} > {k} THEN concat(template, '/', {e['rest_of'].format(k + 1)}) ELSE template END"
+    return f"SELECT host, typed, {rest} AS template, n, good, bad FROM {source}"
 
 
 def templates_sql(source: str) -> str:
@@ -113,9 +112,19 @@ def judge_pages(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, st
     )
     parts = spark.sql(split_sql(SPARK, "{src}", "page_id, good, page"), src=both)
     typed = spark.sql(typed_sql(SPARK, "{src}", "page_id, good, page, host, path"), src=parts)
-    state = stage(spark.sql(branches_sql("{src}"), src=typed), "branches")
-    for k in range(1, DEPTH + 1):
-        state = stage(spark.sql(level_sql("{src}", k), src=state), "branches")
+    state, done, k = stage(spark.sql(branches_sql("{src}"), src=typed), "branches"), None, 0
+    while True:
+        # A path that has ended, or shares its template with no other, meets no sibling further down.
+        shared = spark.sql(f"SELECT host, template FROM {{src}} WHERE {SPARK['size']} > {k} GROUP BY host, template HAVING count(*) > 1", src=state)
+        on = f"size(segments) > {k}"
+        going = state.where(on).join(shared, ["host", "template"], "left_semi")
+        ended = spark.sql(rest_sql(SPARK, "{src}", k), src=state.where(f"NOT ({on})").unionByName(state.where(on).join(shared, ["host", "template"], "left_anti").select(state.columns)))
+        done = ended if done is None else done.unionByName(ended)
+        if going.isEmpty():
+            break
+        k += 1
+        state = stage(spark.sql(level_sql(SPARK, "{src}", k), src=going.select(state.columns)), "branches")
+    state = stage(done, "branches")
     judged = spark.sql(templates_sql("{src}"), src=state)
     known = spark.sql("SELECT t.host, t.typed, t.template, j.purity, j.method FROM {t} t JOIN {j} j ON t.host = j.host AND t.template = j.template", t=state, j=judged)
     return typed.where("page").drop("good").join(known, ["host", "typed"]).select(
@@ -124,13 +133,13 @@ def judge_pages(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, st
     )
 
 
-def oracle(rules: list[tuple[str, str, str]], labelled: str) -> str:
-    """The same for DuckDB; ``labelled`` selects (url, good)."""
-    e = DUCK | {"str": "VARCHAR"}
-    steps = [f"t{k} AS MATERIALIZED ({level_sql(f't{k - 1}', k)})" for k in range(1, DEPTH + 1)]
+def oracle(rules: list[tuple[str, str, str]], labelled: str, levels: int = 12) -> str:
+    """The same for DuckDB, whose text holds ``levels`` levels written out: for tables in which no two paths of a host share more segments.
+    ``labelled`` selects (url, good)."""
+    steps = [f"t{k} AS MATERIALIZED ({level_sql(DUCK, f't{k - 1}', k)})" for k in range(1, levels + 1)]
     return f"""WITH both_ AS (SELECT page_id, url, CAST(NULL AS BOOLEAN) AS good, true AS page FROM pages UNION ALL SELECT NULL, url, good, false FROM ({labelled}) l),
-        parts AS ({split_sql(e, "both_", "page_id, good, page")}), typed_ AS ({typed_sql(e, "parts", "page_id, good, page, host, path")}),
-        t0 AS MATERIALIZED ({branches_sql("typed_")}), {", ".join(steps)}, verdicts AS ({templates_sql(f"t{DEPTH}")}),
-        known AS (SELECT t.host, t.typed, t.template, v.purity, v.method FROM t{DEPTH} t JOIN verdicts v ON t.host = v.host AND t.template = v.template)
+        parts AS ({split_sql(DUCK, "both_", "page_id, good, page")}), typed_ AS ({typed_sql(DUCK, "parts", "page_id, good, page, host, path")}),
+        t0 AS MATERIALIZED ({branches_sql("typed_")}), {", ".join(steps)}, last AS ({rest_sql(DUCK, f"t{levels}", levels)}), verdicts AS ({templates_sql("last")}),
+        known AS (SELECT t.host, t.typed, t.template, v.purity, v.method FROM last t JOIN verdicts v ON t.host = v.host AND t.template = v.template)
         SELECT page_id, host, path, {rule_sql(rules, "rule")} AS rule, coalesce({rule_sql(rules, "verdict")}, method) AS verdict, template, purity
         FROM (SELECT p.page_id, p.host, p.path, k.template, k.purity, k.method FROM typed_ p JOIN known k ON p.host = k.host AND p.typed = k.typed WHERE p.page) q"""
