@@ -120,7 +120,10 @@ def _id_filter(ids: DataFrame) -> np.ndarray:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of the sets named in ``nodes`` (node, doc_id), worked out again from the whole texts."""
+    """(node, shingles) of the sets named in ``nodes`` (node, doc_id), once each, worked out again from the whole texts.
+
+    The filter of ids keeps most texts from being worked out; the join is exact.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(_id_filter(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,16 +132,20 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             h = batch.column("h").to_numpy().astype(np.uint64)
             hit = np.flatnonzero((bits[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1))
             for at in range(0, len(hit), 128):
-                part = [s for s in (shingle_set(t, memo) for t in texts(batch.column("text").take(pa.array(hit[at : at + 128])))) if len(s)]
+                some = pa.array(hit[at : at + 128])
+                sets = [shingle_set(t, memo) for t in texts(batch.column("text").take(some))]
+                part = [(d, s) for d, s in zip(batch.column("doc_id").take(some).to_pylist(), sets) if len(s)]
                 if part:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([_node(s) for s in part], pa.int64()), pa.array([signed(s) for s in part], pa.list_(pa.int64()))], names=["node", "shingles"]
+                        [pa.array([d for d, _ in part], pa.int64()), pa.array([_node(s) for _, s in part], pa.int64()), pa.array([signed(s) for _, s in part], pa.list_(pa.int64()))],
+                        names=["of", "node", "shingles"],
                     )
 
     src = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << FILTER_BITS)).alias("h"), F.col("text").cast("string").alias("text")
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << FILTER_BITS)).alias("h"), F.col("text").cast("string").alias("text")
     )
-    return src.mapInArrow(run, "node bigint, shingles array<bigint>")
+    named = src.mapInArrow(run, "of bigint, node bigint, shingles array<bigint>").join(nodes.select("node", "doc_id"), "node").where("of = doc_id")
+    return named.select("node", "shingles").dropDuplicates(["node"])
 
 
 def _star(open_: DataFrame) -> DataFrame:
@@ -190,11 +197,11 @@ def _tiles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     low = open_.groupBy("bucket").agg(F.min("node").alias("b"))
     clump = components(open_.join(low, "bucket").select(F.col("node").alias("a"), "b")).withColumnRenamed("root", "clump")
-    placed = open_.join(clump, "node")
+    placed = stage(open_.join(clump, "node"), "placed")
     per_bucket = placed.groupBy("clump", "bucket").agg(F.count(F.lit(1)).alias("m")).groupBy("clump").agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
     per_clump = placed.select("clump", "node").distinct().groupBy("clump").agg(F.count(F.lit(1)).alias("m"))
-    dense = per_bucket.join(per_clump, "clump").select("clump", (F.col("m") * F.col("m") <= SPARSE * F.col("pairs")).alias("dense"))
-    member = placed.join(dense, "clump").select(F.when(F.col("dense"), F.col("clump")).otherwise(F.col("bucket")).alias("group"), "dense", "node", "comp").distinct()
+    dense = stage(per_bucket.join(per_clump, "clump").select("clump", "m", (F.col("m") * F.col("m") <= SPARSE * F.col("pairs")).alias("dense")), "clumps")
+    member = _with_density(placed, dense).select(F.when(F.col("dense"), F.col("clump")).otherwise(F.col("bucket")).alias("group"), "dense", "node", "comp").distinct()
     size = member.groupBy("group", "dense").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     block = member.join(size, ["group", "dense"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tile = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -224,6 +231,16 @@ def _tiles(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.groupBy("group", "dense", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _with_density(placed: DataFrame, dense: DataFrame) -> DataFrame:
+    """``placed`` with the column dense of its clump. Clumps that hold over a thousandth of the texts are fewer than a thousand: they are broadcast, so
+    that the rows of a large one stay where they are; the rows of the others are joined."""
+    total = dense.agg(F.sum("m")).first()[0] or 0
+    large = dense.where(F.col("m") * 1_000 > total).select("clump", "dense")
+    met = placed.join(F.broadcast(large), "clump", "left")
+    others = met.where("dense IS NULL").drop("dense").join(dense.where(F.col("m") * 1_000 <= total).select("clump", "dense"), "clump")
+    return met.where("dense IS NOT NULL").unionByName(others)
+
+
 def _still_open(open_: DataFrame, comps: DataFrame) -> DataFrame:
     """The rows of buckets whose texts lie in several components, with those components."""
     now = open_.drop("comp").join(comps.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -275,12 +292,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs``, one document of each group of near copies, with the columns of ``docs``. Rows with a null doc_id stay."""
+    """The rows of ``docs``, one document of each group of near copies, with the columns of ``docs``.
+
+    Rows with a null doc_id stay, and so do blank and null texts: they link with nothing. Rows that share a kept doc_id are one when their texts are equal;
+    rows of other texts stay each for themselves. An empty table gives an empty result.
+    """
     kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     # Rows travel whole in a struct, so no name of theirs can clash.
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").alias("_text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     mine = rows.join(kept, "doc_id")
     # Only ids that come in several rows need their rows compared.
     once = mine.where("_rows = 1").select("row.*")
-    more = mine.where("_rows > 1").dropDuplicates(["doc_id"]).select("row.*")
+    more = mine.where("_rows > 1").dropDuplicates(["doc_id", "_text"]).select("row.*")
     return once.unionByName(more).unionByName(docs.where("doc_id IS NULL"))
