@@ -1,7 +1,7 @@
 """Packing of tokenised documents into sequences by non-negative least squares over length patterns.
 
-Everything that decides is a function of the histogram of piece lengths, which has at most ``capacity`` entries whatever the corpus: patterns of
-up to three length classes that fill a sequence are enumerated, non-negative least squares fits how often each is used, the counts are rounded
+Everything that decides is a function of the histogram of piece lengths, which has at most ``capacity`` entries whatever the corpus: among all patterns
+of up to six length classes that fill a sequence, non-negative least squares finds those to use and how often, the counts are rounded
 down and given real lengths, and what is left over goes best-fit first into the gaps and into new sequences. The plan says, for every length,
 which run of its pieces goes to which slot, so that a piece finds its place from its rank among pieces of its length. That rank is a count
 per input chunk plus the total of the chunks before it: no sort of the corpus, and no group is gathered.
@@ -25,7 +25,9 @@ from candorframe.llm.common import MEMO_WORDS, stage, texts, wide_rows
 
 CAPACITY = 4096
 #: Lengths are put into this many classes for the fit.
-CLASSES = 128
+CLASSES = 192
+#: Most documents of a pattern.
+PARTS = 6
 SLICE = 500
 
 
@@ -93,59 +95,93 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return src.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, chunk bigint, nth bigint")
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Non-negative x with the least |a x - b|, by the active-set method: a column enters by its gradient, a negative one leaves."""
-    x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
-    gram, right = a.T @ a, a.T @ b
-    ridge = 1e-10 * max(np.trace(gram), 1e-300) / len(gram)
+def best_pattern(worth: np.ndarray, full: int, parts: int) -> tuple[np.ndarray, float]:
+    """(how often each class is in it, worth for its length as a column) of the most worthy pattern of at most ``parts`` classes that add up to ``full``.
+
+    ``worth[c]`` is that of class c. One table per number of parts: the most worth that fills each size exactly.
+    """
+    sizes = np.arange(full + 1)
+    table, last = [np.where(sizes == 0, 0.0, -np.inf)], []
+    spread = np.full((full + 1, full + 1), -np.inf)  # [size, class]
+    for _ in range(parts):
+        spread[:] = -np.inf
+        for c in range(1, full + 1):
+            spread[c:, c] = table[-1][: full + 1 - c] + worth[c]
+        last.append(spread.argmax(axis=1))
+        table.append(spread[sizes, last[-1]])
+    best, found = -np.inf, np.zeros(full + 1)
+    for k in range(1, parts + 1):
+        if np.isfinite(table[k][full]):
+            column, size = np.zeros(full + 1), full
+            for step in range(k, 0, -1):
+                c = last[step - 1][size]
+                column[c] += 1
+                size -= c
+            value = table[k][full] / np.sqrt((column**2).sum())
+            if value > best:
+                best, found = value, column
+    return found, best
+
+
+def fit_patterns(target: np.ndarray, weight: np.ndarray, parts: int = PARTS, rounds: int = 160) -> tuple[np.ndarray, np.ndarray]:
+    """(patterns, repeats): non-negative least squares of ``target`` (pieces per class) over all patterns of at most ``parts`` classes that fill a sequence.
+
+    The active-set method needs the column of steepest gradient only: it is found among all patterns by dynamic programming, so they are never
+    written out. A pattern whose repeats turn negative leaves.
+    """
+    full = len(target) - 1
+    goal = target * weight
+    columns, x = np.zeros((0, full + 1)), np.zeros(0)
+    floor = 1e-6 * max(np.abs(goal).max(), 1e-300)
+    before = np.inf
     for _ in range(rounds):
-        slope = right - gram @ x
-        slope[active] = -np.inf
-        j = int(slope.argmax())
-        if slope[j] <= 1e-9 * (1 + abs(right).max()):
+        rest = goal - (x @ columns) * weight
+        column, slope = best_pattern(np.append([-np.inf], (rest * weight)[1:]), full, parts)
+        size = float(rest @ rest)
+        if slope <= floor or (len(columns) and (columns == column).all(axis=1).any()) or size > before * (1 - 1e-6):
             break
-        active[j] = True
+        before = size
+        columns, x = np.vstack([columns, column]), np.append(x, 0.0)
         while True:
-            on = np.flatnonzero(active)
-            best = np.linalg.solve(gram[np.ix_(on, on)] + ridge * np.eye(len(on)), right[on])
+            a = columns * weight
+            gram = a @ a.T
+            best = np.linalg.solve(gram + 1e-10 * np.trace(gram) / len(gram) * np.eye(len(gram)), a @ goal)
             if (best > 0).all():
-                x[:] = 0
-                x[on] = best
+                x = best
                 break
             low = best <= 0
-            step = (x[on][low] / np.maximum(x[on][low] - best[low], 1e-300)).min()
-            x[on] += step * (best - x[on])
-            gone = on[x[on] <= 1e-12]
-            x[gone], active[gone] = 0, False
-            if not active.any():
+            step = (x[low] / np.maximum(x[low] - best[low], 1e-300)).min()
+            x = x + step * (best - x)
+            stay = x > 1e-12 * max(x.max(), 1.0)
+            if stay.all():
+                stay[int(best.argmin())] = False
+            columns, x = columns[stay], x[stay]
+            if not len(x):
                 break
-    return x
-
-
-def class_patterns(classes: int) -> np.ndarray:
-    """All sorted triples of classes (0: none) that add up to ``classes``."""
-    return np.array([(i, j, classes - i - j) for i in range(classes // 3 + 1) for j in range(i, (classes - i) // 2 + 1)])
+    return columns, x
 
 
 def plan(histogram: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of the pieces in a sequence, number of such sequences), for ``histogram[length]`` pieces of each length up to ``capacity``.
 
-    Works on counts: its cost depends on the number of lengths, not on the number of pieces.
+    Works on counts: its cost depends on the number of lengths, not on the number of pieces. If best fit alone needs fewer sequences, it is taken.
     """
+    fitted, alone = _packed(histogram, capacity, classes, PARTS), _packed(histogram, capacity, classes, 0)
+    return min(fitted, alone, key=lambda made: sum(times for _, times in made))
+
+
+def _packed(histogram: np.ndarray, capacity: int, classes: int, parts_: int) -> list[tuple[tuple[int, ...], int]]:
     left = histogram.astype(np.int64).copy()
     classes = min(classes, capacity)
     width = -(-capacity // classes)
     classes = -(-capacity // width)
     of = -(-np.arange(capacity + 1) // width)  # the class of a length: its own, rounded up
-    triples = class_patterns(classes)
-    matrix = np.zeros((classes + 1, len(triples)))
-    for col in triples.T:
-        np.add.at(matrix, (col, np.arange(len(triples))), 1)
     target = np.bincount(of, weights=left, minlength=classes + 1)[: classes + 1]
+    target[0] = 0
     # Short pieces fill gaps later, so missing one of them costs little.
     weight = np.where(np.arange(classes + 1) * 8 < classes, 0.1, 1.0)
-    scale = max(target.max(), 1.0)
-    repeats = np.floor(nnls(matrix[1:] * weight[1:, None], target[1:] / scale * weight[1:]) * scale + 1e-6).astype(np.int64)
+    patterns, repeats = fit_patterns(target, weight, parts_) if parts_ and target.any() else (np.zeros((0, classes + 1)), np.zeros(0))
+    repeats = np.floor(repeats + 1e-6).astype(np.int64)
 
     # The larger parts of a pattern take the longest pieces of their classes; the smallest takes the piece that fills the rest best, which
     # makes up for the rounding to classes.
@@ -156,8 +192,8 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY, classes: int = CLASSES
         return 0
 
     open_: dict[int, list[list]] = defaultdict(list)  # free ids: [lengths, number of sequences]
-    for triple, count in zip(triples[repeats > 0], repeats[repeats > 0]):
-        parts = sorted((int(c) for c in triple if c), reverse=True)
+    for pattern, count in zip(patterns[repeats > 0], repeats[repeats > 0]):
+        parts = [c for c in range(classes, 0, -1) for _ in range(int(pattern[c]))]
         while count > 0:
             chosen: list[int] = []
             for k, c in enumerate(parts):
@@ -228,6 +264,18 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     per_chunk = cut.groupBy("length", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1))
     base = stage(per_chunk.select("length", "chunk", "n", F.coalesce(before, F.lit(0)).alias("base")), "bases")
+
+    def by_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for b in batch.column("b").to_pylist():
+                row = np.zeros(capacity + 1, np.int64)
+                row[[x["length"] for x in b]] = [x["base"] for x in b]
+                out.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(out, pa.list_(pa.int64()))], names=["chunk", "bases"])
+
+    # One row per chunk: pieces of each length in the chunks before.
+    bases = stage(base.groupBy("chunk").agg(F.collect_list(F.struct("length", "base")).alias("b")).mapInArrow(by_length, "chunk bigint, bases array<bigint>"), "bases")
     counts = base.groupBy("length").agg(F.sum("n").alias("n")).toPandas()  # at most ``capacity`` rows
     histogram = np.zeros(capacity + 1, np.int64)
     histogram[counts["length"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
@@ -244,6 +292,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             out += [pa.array(t["sequence"][key] + rank - t["first"][key]), pa.array(t["offset"][key])]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut.join(base.drop("n"), ["length", "chunk"]).withColumn("rank", F.col("base") + F.col("nth")).drop("base", "nth", "chunk")
+    ranked = cut.join(bases, "chunk").withColumn("rank", F.get("bases", F.col("length").cast("int")) + F.col("nth")).drop("bases", "nth", "chunk")
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     return ranked.mapInArrow(place, schema)

@@ -3,6 +3,7 @@
 import binascii
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -157,11 +158,38 @@ def test_plan_uses_each_piece_once():
         assert sum(t for _, t in made) <= 1.015 * least + 3
 
 
-def test_nnls_on_a_known_answer():
-    a = np.random.default_rng(1).random((30, 8))
-    x = np.array([0, 2, 0, 1, 0, 0, 3, 0.5])
-    assert np.allclose(packing.nnls(a, a @ x), x, atol=1e-5)
-    assert (packing.nnls(a, -np.ones(30)) == 0).all()
+@pytest.mark.parametrize("low,high,each", [(900, 1_100, 4), (700, 900, 5), (1_300, 1_420, 2), (640, 680, 6)])
+def test_plan_of_short_documents(low, high, each):
+    """Pieces of like sizes: within 1 % of dealing them out ``each`` to a sequence, and no worse than best fit."""
+    h = np.bincount(np.random.default_rng(each).integers(low, high + 1, 9_000), minlength=4_097)
+    made = packing.plan(h)
+    used = collections.Counter(n for lengths, times in made for n in lengths for _ in range(times))
+    assert used == {n: int(c) for n, c in enumerate(h) if c}
+    alone = sum(t for _, t in packing._packed(h, 4_096, packing.CLASSES, 0))
+    assert sum(t for _, t in made) <= min(alone, 1.01 * 9_000 / each)
+
+
+def test_best_pattern_of_all():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        worth = np.append([-np.inf], rng.standard_normal(12))
+        every = [np.bincount(c, minlength=13) for k in range(1, 5) for c in itertools.combinations_with_replacement(range(1, 13), k) if sum(c) == 12]
+        by_parts = {}
+        for column in every:  # the most worth for each number of parts, then the most for its length
+            k, w = int(column.sum()), worth[1:] @ column[1:]
+            if k not in by_parts or w > by_parts[k][0]:
+                by_parts[k] = (w, w / np.sqrt((column**2).sum()))
+        found, value = packing.best_pattern(worth, 12, 4)
+        assert value == pytest.approx(max(v for _, v in by_parts.values())) and found @ np.arange(13) == 12
+
+
+def test_fit_on_a_known_answer():
+    """Counts made of a few patterns are met exactly."""
+    target = np.zeros(13)
+    for pattern, times in (((4, 4, 4), 30), ((7, 5), 11), ((12,), 5), ((3, 3, 3, 3), 8)):
+        np.add.at(target, list(pattern), times)
+    columns, repeats = packing.fit_patterns(target, np.ones(13))
+    assert (repeats >= 0).all() and np.abs(repeats @ columns - target).max() < 1e-3 * target.max()
 
 
 # --- secrets ---------------------------------------------------------------------------------------------------------------------------------
