@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import json
 import os
+import re
 
 import numpy as np
 import pytest
@@ -114,6 +115,84 @@ def test_templates_merge_alike_and_part_unlike(spark):
     assert {r.template for r in got} == {"/*/<n>"}
 
 
+def plain_segments(path):
+    def kind(s):
+        ext = re.fullmatch(r"[0-9]+(\.[A-Za-z]+)", s)
+        if re.fullmatch(r"[0-9]+", s):
+            return "<n>"
+        if ext:
+            return "<n>" + ext[1]
+        if len(s) >= 16 and re.fullmatch(r"[0-9a-fA-F-]+", s):
+            return "<h>"
+        return "<long>" if len(s) > 60 else "~" + s if s[:1] in ("<", "*", "~") and s else s
+
+    return tuple(kind(s) for s in path.split("/")[1:])
+
+
+def plain_tree(pages, labelled):
+    """page_id to (template, purity, verdict): one dictionary a level, every branch against its pooled siblings."""
+
+    def parts(url):
+        m = re.match(r"[^:]*?://([^/?#]*)([^?#]*)", url or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    rows = collections.defaultdict(lambda: [0, 0, 0])
+    for _, url in pages:
+        host, path = parts(url)
+        rows[host, plain_segments(path)][0] += 1
+    for url, good in labelled:
+        host, path = parts(url)
+        at = rows[host, plain_segments(path)]
+        at[0], at[1], at[2] = at[0] + 1, at[1] + good, at[2] + (not good)
+    template = {key: "" for key in rows}
+    for k in range(1, max(len(s) for _, s in rows) + 1):
+        node = collections.defaultdict(lambda: np.zeros(5))
+        for (host, segs), (n, g, b) in rows.items():
+            if len(segs) >= k:
+                node[host, template[host, segs], segs[k - 1]] += [n, g, b, n * (len(segs) == k), n * (len(segs) > k and segs[k].startswith("<"))]
+        pool = collections.defaultdict(lambda: np.zeros(6))
+        for (host, t, _), x in node.items():
+            pool[host, t] += [*x, 1]
+        merged = {}
+        for (host, t, s), (n, g, b, e, v) in node.items():
+            pn, pg, pb, pe, pv, kids = pool[host, t]
+            like = kids > 1 and not s.startswith("<") and s != ""
+            if like:
+                p1, p2, p = (b + 1) / (g + b + 2), (pb - b + 1) / (pg - g + pb - b + 2), (pb + 2) / (pg + pb + 4)
+                like = abs(p1 - p2) <= 1.96 * np.sqrt(p * (1 - p) * (1 / (g + b + 2) + 1 / (pg - g + pb - b + 2)))
+                like = like and abs(e / n - (pe - e) / (pn - n)) <= 0.25 and abs(v / n - (pv - v) / (pn - n)) <= 0.25
+            merged[host, t, s] = like
+        template = {(h, s): t if len(s) < k else t + "/" + ("*" if merged[h, t, s[k - 1]] else s[k - 1]) for (h, s), t in template.items()}
+    labels = collections.defaultdict(lambda: np.zeros(2))
+    for key, (_, g, b) in rows.items():
+        labels[key[0], template[key]] += [g, b]
+    prior = (sum(g for _, g, _ in rows.values()) + 1) / (sum(g + b for _, g, b in rows.values()) + 2)
+    out = {}
+    for i, url in pages:
+        host, path = parts(url)
+        t = template[host, plain_segments(path)]
+        g, b = labels[host, t]
+        purity = (g + 10 * prior) / (g + b + 10)
+        out[i] = (t, round(purity, 9), "block" if purity < 0.5 else "allow")
+    return out
+
+
+def test_tree_against_a_plain_one(spark):
+    """Deep paths that part at the ninth segment, literal wildcards, keys, lone long paths and branches that merge."""
+    rng = np.random.default_rng(12)
+    deep = "/".join("acdefghi")
+    urls = [f"http://h.org/{deep}/{'good' if n % 2 else 'spam'}/{n}" for n in range(160)]
+    urls += [f"http://h.org/x/{rng.choice(['*', '<n>', '~', 'p', 'q'])}/{n}" for n in range(120)]
+    urls += [f"http://w{n % 3}.org/{rng.choice(['a', 'b', 'c', 'd'])}/{rng.choice(['', 'e', '0a1b2c3d4e5f60718', 'f.html'])}{'/' + str(n) if n % 4 else ''}" for n in range(400)]
+    urls += ["http://lone.org/" + "/".join(f"s{k}" for k in range(300)), "http://lone.org/s0/" + "z" * 70, "no url", None, "http://lone.org//"]
+    pages = list(enumerate(urls))
+    labelled = [(u, "spam" not in u and "/b/" not in u and "/*/" not in u) for u in urls[:600] for _ in range(1 + len(u) % 2)]
+    got = urltree.judge_pages(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labelled, "url string, good boolean"), queries.URL_RULES)
+    got = {r.page_id: (r.template, round(r.purity, 9), r.verdict) for r in got.collect()}
+    assert got == plain_tree(pages, labelled)
+    assert {got[n][2] for n in range(0, 160, 2)} == {"block"} and {got[n][2] for n in range(1, 160, 2)} == {"allow"}
+
+
 def clusters(seed, groups=12, each=30, dim=16, spread=0.08):
     rng = np.random.default_rng(seed)
     x = np.repeat(rng.standard_normal((groups, dim)), each, axis=0) + spread * rng.standard_normal((groups * each, dim)) * rng.integers(1, 6, (groups * each, 1))
