@@ -79,16 +79,24 @@ def _(spark, sf):
     return fb.calibrate(stored, "video", ORDER).select("section", "key", F.round("value", 9).alias("value"), "samples")
 
 
-@query("stream_scoring", "SELECT doc_id, sha256(text) AS sha256, CASE WHEN strlen(text) > 3000 THEN 'large' ELSE 'small' END AS verdict FROM documents")
+# A document whose number ends in 5 cannot be scored: its row says why, and the others are scored.
+@query(
+    "stream_scoring",
+    """SELECT doc_id, CASE WHEN doc_id % 10 <> 5 THEN CASE WHEN strlen(text) > 3000 THEN 'large' ELSE 'small' END END AS label, CASE WHEN doc_id % 10 <> 5 THEN (strlen(text) % 101)::DOUBLE END AS ai_pct,
+       doc_id % 10 <> 5 AS success, CASE WHEN doc_id % 10 = 5 THEN 'ValueError: cannot score ' || doc_id::VARCHAR END AS error FROM documents""",
+)
 def _(spark, sf):
-    landing = stream_table(spark, sf, "documents")
+    landing = stream_table(spark, sf, "documents").select("doc_id", "text")
     base = st.workspace(spark, "scoring")
 
-    def score(d):
-        return d.select("doc_id", F.sha2("text", 256).alias("sha256"), F.when(F.octet_length("text") > 3000, "large").otherwise("small").alias("verdict"))
+    def scorer(row):
+        if row["doc_id"] % 10 == 5:
+            raise ValueError(f"cannot score {row['doc_id']}")
+        size = len(row["text"].encode())
+        return {"label": "large" if size > 3000 else "small", "ai_percentage": float(size % 101)}
 
-    st.stream_scoring(landing, score, f"{base}/results", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/results")
+    st.stream_scoring(landing, lambda rows: score_files(rows, scorer, key="doc_id"), f"{base}/results", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/results").drop("latency_s")
 
 
 LOADED = """SELECT user_id AS calib_id, e.section, e.key, max_by(e.value, event_id) AS value FROM (SELECT user_id, event_id, CASE event_id % 5

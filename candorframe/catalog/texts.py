@@ -187,14 +187,25 @@ IP_RANGES = """(a = 0 OR a = 10 OR a = 127 OR (a = 100 AND b BETWEEN 64 AND 127)
  OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 192 AND b = 88 AND c = 99) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR a >= 224)"""
 
 
+# Every event as an IPv4 address, some twice, and as an IPv6 address: mapped, unique local, link local or global.
 @query(
     "restricted_ip_join",
-    f"WITH q AS (SELECT event_id, event_id*7%256 AS a, event_id*13%256 AS b, user_id AS c FROM events), r AS (SELECT event_id FROM q WHERE {IP_RANGES}) SELECT event_id FROM r UNION ALL SELECT event_id FROM r WHERE event_id % 3 = 0",
+    f"""WITH q AS (SELECT event_id, event_id*7%256 AS a, event_id*13%256 AS b, user_id AS c FROM events), r AS (SELECT event_id FROM q WHERE {IP_RANGES})
+        SELECT event_id FROM r UNION ALL SELECT event_id FROM r WHERE event_id % 3 = 0
+        UNION ALL SELECT event_id + 10000000 FROM q WHERE CASE event_id % 4 WHEN 0 THEN {IP_RANGES} WHEN 1 THEN a < 128 WHEN 2 THEN b < 128 ELSE a = 0 END""",
 )
 def _(spark, sf):
-    cidrs = spark.createDataFrame([tuple(c.split("/")) for c in ln.RESTRICTED_CIDRS], "base string, bits string")
+    more = [("fc00::", "7"), ("fe80::", "10"), ("2001:db8:0:0:1::", "80"), ("2001:db8::", "119")]
+    cidrs = spark.createDataFrame([tuple(c.split("/")) for c in ln.RESTRICTED_CIDRS] + more, "base string, bits string")
     hosts = spark_sql(spark, sf, IPS)
-    return ln.restricted_ip_join(hosts.unionByName(hosts.where("event_id % 3 = 0")), cidrs).select("event_id")
+    six = hosts.select(
+        (C("event_id") + 10000000).alias("event_id"),
+        F.expr(
+            """CASE event_id % 4 WHEN 0 THEN concat('::ffff:', host) WHEN 1 THEN concat(IF(event_id * 7 % 256 < 128, 'fd', 'ff'), lpad(hex(event_id * 13 % 256), 2, '0'), '::1')
+               WHEN 2 THEN concat('fe', IF(event_id * 13 % 256 < 128, '8', 'c'), '0::', hex(event_id % 65536)) ELSE concat('2001:db8:0:0:', IF(event_id * 7 % 256 = 0, '1', '2'), '::', hex(event_id % 65536)) END"""
+        ).alias("host"),
+    )
+    return ln.restricted_ip_join(hosts.unionByName(hosts.where("event_id % 3 = 0")).unionByName(six), cidrs).select("event_id")
 
 
 @query(

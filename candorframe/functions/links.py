@@ -123,42 +123,44 @@ def restricted_range(host: Column) -> Column:
     return F.when(host.contains(":"), _let(ipv6_groups(host), of_groups)).otherwise(_let(ipv4_number(host), _restricted_ipv4))
 
 
-def restricted_ip_join(ips: DataFrame, cidrs: DataFrame) -> DataFrame:
-    """``ips`` (host) that lie in any range of a CIDR table (base, bits), by equality on (length, leading bits).
+def _address(host: Column) -> Column:
+    """struct(family, hi, lo) of an IPv4 or IPv6 literal, leading bits first; NULL for anything else. A mapped IPv4 address is that address."""
+    fields = "struct<family:int,hi:bigint,lo:bigint>"
 
-    An address is repeated once per prefix length that exists, at most 33 times, so there is no range or nested-loop join.
-    """
-    ranges = cidrs.select(F.col("bits").cast("int").alias("bits"), F.shiftright(ipv4_number(F.col("base")), 0).alias("n"))
-    ranges = ranges.select("bits", F.expr("shiftright(n, 32 - bits)").alias("lead")).distinct()
-    lengths = ranges.agg(F.collect_set("bits")).scalar()
-    a = ips.withColumn("_n", ipv4_number(F.col("host"))).where("_n IS NOT NULL").withColumn("bits", F.explode(lengths))
-    a = a.withColumn("lead", F.expr("shiftright(_n, 32 - bits)"))
-    # A range inside a wider one adds nothing; without it an address meets one range at most, and equal rows stay apart.
-    wider = ranges.withColumn("_b", F.explode(lengths)).where("_b < bits").withColumn("_l", F.expr("shiftright(lead, bits - _b)"))
-    inside = wider.join(ranges.withColumnsRenamed({"bits": "_b", "lead": "_l"}), ["_b", "_l"], "left_semi").select("bits", "lead")
-    return a.join(ranges.join(inside, ["bits", "lead"], "left_anti"), ["bits", "lead"]).select(*ips.columns)
+    def of(family: int, hi: Column, lo: Column) -> Column:
+        return F.struct(F.lit(family).alias("family"), hi.alias("hi"), lo.alias("lo")).cast(fields)
 
+    def of_groups(g: Column) -> Column:
+        at = lambda i: F.get(g, F.lit(i)).cast("bigint")
+        half = lambda i: F.shiftleft(at(i), 48).bitwiseOR(F.shiftleft(at(i + 1), 32)).bitwiseOR(F.shiftleft(at(i + 2), 16)).bitwiseOR(at(i + 3))
+        mapped = (half(0) == 0) & (at(4) == 0) & (at(5) == 65535)
+        return F.when(g.isNotNull(), F.when(mapped, of(4, F.shiftleft(at(6) * 65536 + at(7), 32), F.lit(0).cast("bigint"))).otherwise(of(6, half(0), half(4))))
 
-def url_reason(url: Column) -> Column:
-    """The first rule a link breaks, NULL when it may be fetched."""
+    def of_number(n: Column) -> Column:
+        return F.when(n.isNotNull(), of(4, F.shiftleft(n, 32), F.lit(0).cast("bigint")))
+
+    return F.when(host.contains(":"), _let(ipv6_groups(host), of_groups)).otherwise(_let(ipv4_number(host), of_number))
 
-    def of_parts(x: Column) -> Column:
-        u, server, host, port = x["u"], x["server"], x["host"], x["port"]
-        scheme = F.lower(F.regexp_extract(u, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1))
-        return (
-            F.when(u.isNull() | (u == ""), "empty")
-            .when(u.rlike(r"[\\\x00-\x20\x7f]"), "forbidden_character")
-            .when(F.regexp_replace(server, r"^.*@", "").startswith("[") & ipv6_groups(host).isNull(), "malformed")
-            .when(~scheme.isin("http", "https"), "protocol")
-            .when(server.contains("@"), "credentials")
-            .when(host == "", "missing_host")
-            .when(host.isin(INTERNAL_HOSTS) | host.endswith(".localhost") | host.endswith(".internal"), "internal_host")
-            .when((port != "") & ~port.rlike(r"^\d{1,5}$"), "invalid_port")
-            .when((port != "") & (port.try_cast("int") > 65535), "invalid_port")
-            .when((port != "") & ~port.try_cast("int").isin(80, 443), "port")
-            .when(restricted_range(host).isNotNull(), "restricted_address")
-        )
 
-    u = strip(url)
-    port = F.regexp_extract(F.regexp_replace(authority(u), r"^.*@", ""), r":([^:\]]*)$", 1)
-    return _let(F.struct(u.alias("u"), authority(u).alias("server"), host_of(u).alias("host"), port.alias("port")), of_parts)
+def _lead(address: str, bits: str) -> Column:
+    """The first ``bits`` of an address as struct(hi, lo); the others are zero."""
+    hi = f"IF({bits} = 0, 0L, IF({bits} >= 64, {address}.hi, shiftleft(shiftrightunsigned({address}.hi, 64 - {bits}), 64 - {bits})))"
+    lo = f"IF({bits} <= 64, 0L, IF({bits} >= 128, {address}.lo, shiftleft(shiftrightunsigned({address}.lo, 128 - {bits}), 128 - {bits})))"
+    return F.expr(f"named_struct('hi', {hi}, 'lo', {lo})")
+
+
+def restricted_ip_join(ips: DataFrame, cidrs: DataFrame) -> DataFrame:
+    """``ips`` (host) that lie in any range of a CIDR table (base, bits) of IPv4 and IPv6 ranges, by equality on (family, length, leading bits).
+
+    An address is repeated once per prefix length of its family, at most 129 times, so there is no range or nested-loop join.
+    """
+    ranges = cidrs.select(F.col("bits").cast("int").alias("bits"), _address(F.col("base")).alias("_r")).where("_r IS NOT NULL")
+    ranges = ranges.select(F.col("_r.family").alias("family"), "bits", _lead("_r", "bits").alias("lead")).distinct()
+    lengths = ranges.groupBy("family").agg(F.collect_set("bits").alias("_bits"))  # two rows
+    a = ips.withColumn("_a", _address(F.col("host"))).where("_a IS NOT NULL").withColumn("family", F.col("_a.family"))
+    a = a.join(F.broadcast(lengths), "family").withColumn("bits", F.explode("_bits")).withColumn("lead", _lead("_a", "bits"))
+    # A range inside a wider one adds nothing; without it an address meets one range at most, and equal rows stay apart.
+    wider = ranges.join(F.broadcast(lengths), "family").withColumn("_b", F.explode("_bits")).where("_b < bits").withColumn("_l", _lead("lead", "_b"))
+    inside = wider.join(ranges.withColumnsRenamed({"bits": "_b", "lead": "_l"}), ["family", "_b", "_l"], "left_semi").select("family", "bits", "lead")
+    key = ["family", "bits", "lead"]
+    return a.join(ranges.join(inside, key, "left_anti"), key).select(*ips.columns)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candorframe.functions.textscan import formula_safe
+from candorframe.session import durable
 from candorframe.sources.stored import need_columns, read_if_there
 
 C = F.col
@@ -42,31 +45,56 @@ def append_results(inputs: DataFrame, log_path: str, score, limit: int = 0) -> D
     return mine.where(C("batch") == batch).drop("batch")
 
 
+BANK = "sample_id bigint, label int, sha256 string, embedding array<float>, measured array<double>, version bigint, fingerprint string"
+BANK_FILE_ROWS = 200_000
+
+
+def read_bank(spark: SparkSession, bank_path: str) -> DataFrame:
+    """The bank's rows: of the rows written for one content and backbone fingerprint the newest; a sample with an empty hash is told by its id."""
+    stored = read_if_there(spark, bank_path, "parquet")
+    names = [c.split()[0] for c in BANK.split(", ")]
+    stored = spark.createDataFrame([], BANK) if stored is None else need_columns(stored, names, bank_path)
+    key = F.when(C("sha256") != "", C("sha256")).otherwise(F.concat(F.lit("#"), C("sample_id").cast("string")))
+    newest = stored.groupBy("fingerprint", key.alias("_k")).agg(F.max_by(F.struct("sample_id", "label", "sha256", "embedding", "measured", "version"), F.struct("version", "sample_id")).alias("r"))
+    return newest.select("r.*", C("fingerprint").cast("string").alias("fingerprint")).select(names)
+
+
 def bank_merge(samples: DataFrame, bank: DataFrame, fingerprint: str) -> DataFrame:
-    """``samples`` (sample_id, label, sha256) with the stored embedding where hash and backbone fingerprint match, and ``reused``.
+    """``samples`` (sample_id, label, sha256) with the stored embedding and measurements where hash and backbone fingerprint match, ``reused``, and
+    ``relabelled`` where the stored label is another.
 
-    A sample with an empty hash is never reused. The bank side is reduced to one row per hash, so repeated content cannot multiply rows.
+    A sample with an empty hash is never reused. ``bank`` has one row per hash, so repeated content cannot multiply rows.
     """
-    known = bank.where((C("fingerprint") == fingerprint) & (C("sha256") != "")).groupBy("sha256").agg(F.first("embedding").alias("embedding"))
-    return samples.join(known, "sha256", "left").withColumn("reused", C("embedding").isNotNull())
+    known = bank.where((C("fingerprint") == fingerprint) & (C("sha256") != "")).groupBy("sha256").agg(F.first(F.struct("embedding", "measured", "label")).alias("_b"))
+    out = samples.join(known, "sha256", "left").withColumn("reused", C("_b").isNotNull())
+    return out.select("*", "_b.embedding", "_b.measured", (C("reused") & ~C("_b.label").eqNullSafe(C("label"))).alias("relabelled")).drop("_b")
 
 
 def feature_bank_upsert(samples: DataFrame, bank_path: str, fingerprint: str, extract) -> DataFrame:
-    """Rewrite the bank partition of one fingerprint: stored rows are reused, ``extract`` computes the embedding of the others (a row it
-    cannot compute has a NULL embedding and is left out). Returns one row with processed and reused."""
+    """Append to the bank of one fingerprint what it does not hold yet: stored rows are reused, ``extract`` computes embedding (and, if it likes, an
+    array ``measured``) of the others; a row it cannot compute has a NULL embedding and is left out. Returns one row with processed and reused.
+
+    A call writes new and relabelled rows only, in files of their own; the newest row of a content wins when the bank is read. ``compact_bank``
+    drops what is superseded.
+    """
     spark = samples.sparkSession
-    schema = "sample_id bigint, label int, sha256 string, embedding array<float>, fingerprint string"
-    bank = read_if_there(spark, bank_path, "parquet")
-    bank = spark.createDataFrame([], schema) if bank is None else need_columns(bank, [c.split()[0] for c in schema.split(", ")], bank_path)
-    from candorframe.session import durable
-
-    merged = bank_merge(samples, bank, fingerprint)
-    computed = extract(merged.where("NOT reused").drop("embedding")).where("embedding IS NOT NULL")
-    rows = merged.where("reused").unionByName(computed.withColumn("reused", F.lit(False)), allowMissingColumns=True)
-    rows = durable(rows.select("sample_id", "label", "sha256", C("embedding").cast("array<float>").alias("embedding"), "reused"))
-    out = rows.drop("reused").withColumn("fingerprint", F.lit(fingerprint))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").parquet(bank_path)
-    return rows.agg(F.count(F.lit(1)).alias("processed"), F.count_if("reused").alias("reused"))
+    merged = bank_merge(samples, read_bank(spark, bank_path), fingerprint)
+    fresh = extract(merged.where("NOT reused").drop("embedding", "measured")).where("embedding IS NOT NULL")
+    fresh = fresh if "measured" in fresh.columns else fresh.withColumn("measured", F.lit(None).cast("array<double>"))
+    rows = ["sample_id", "label", "sha256", C("embedding").cast("array<float>").alias("embedding"), C("measured").cast("array<double>").alias("measured")]
+    delta = durable(fresh.select(*rows, F.lit(True).alias("_new")).unionByName(merged.where("relabelled").select(*rows, F.lit(False).alias("_new"))))
+    counts = delta.agg(F.count(F.lit(1)).alias("n"), F.count_if("_new").alias("fresh")).first()
+    if counts["n"]:
+        out = delta.drop("_new").withColumns({"version": F.lit(time.time_ns()), "fingerprint": F.lit(fingerprint)})
+        out.repartition(-(-counts["n"] // BANK_FILE_ROWS), "sha256").write.mode("append").partitionBy("fingerprint").parquet(bank_path)
+    return merged.agg((F.count_if("reused") + counts["fresh"]).alias("processed"), F.count_if("reused").alias("reused"))
+
+
+def compact_bank(spark: SparkSession, bank_path: str) -> None:
+    """Rewrite every fingerprint's files as one set of its newest rows. Reading the bank gives the same before and after."""
+    rows = durable(read_bank(spark, bank_path))
+    files = -(-rows.count() // BANK_FILE_ROWS) or 1
+    rows.repartition(files, "fingerprint", "sha256").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("fingerprint").parquet(bank_path)
 
 
 def export_batch_csv(table: DataFrame, path: str) -> None:

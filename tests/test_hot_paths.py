@@ -14,6 +14,7 @@ from candorframe.operators import hamming as hm
 from candorframe.operators import reuse as ru
 from candorframe.operators import identity as idn
 from candorframe.operators import sequence as sq
+from candorframe.operators import truth as tr
 from candorframe.operators import vectors as vc
 from candorframe.operators.ordering import exact_quantiles, position, prefix_scan
 
@@ -411,3 +412,23 @@ def test_moments_budget(spark):
     got = vc.choose_moments(df, 60).collect()
     one, two = sorted(r.t for r in got if r.clip_id == 1), sorted(r.t for r in got if r.clip_id == 2)
     assert len(one) <= 60 and all(b - a >= 0.4 - 1e-9 for a, b in zip(one, one[1:])) and two == [0.0, 0.5, 1.5, 2.0]
+
+
+def test_truth_from_many_fragments(spark):
+    """10,000 fragments, short and empty ones, both slashes, and two that fit: the first by position."""
+    paths = [(i, f"C:\\media\\set{i % 13}\\file{i}.jpg" if i % 2 else f"/media/set{i % 13}/file{i}.png") for i in range(300)] + [(900, None), (901, "")]
+    fragments = [(k, f"/file{k}.", "ai" if k % 2 else "real") for k in range(0, 10_000, 3)] + [(20_000, "set7/", "ai"), (20_001, "\\set1", "real"), (20_002, "png", "ai"), (20_003, "zzzz", "real"), (20_004, None, "ai")]
+    media = spark.createDataFrame(paths, "id long, path string")
+    truth = spark.createDataFrame(fragments, "position long, fragment string, label string")
+
+    def plain(rows, path):
+        path = path and path.replace("\\", "/")
+        return None if path is None else next((v for _, f, v in sorted(rows, key=lambda r: r[0]) if f is not None and f.replace("\\", "/") in path), None)
+
+    out = tr.label_by_fragment(media, "path", truth)
+    assert {r.id: r.truth for r in out.collect()} == {i: plain(fragments, p) for i, p in paths} and out.columns == ["id", "path", "truth"]
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+    every = fragments + [(30_000, "", "any")]
+    got = tr.label_by_fragment(media, "path", spark.createDataFrame(every, truth.schema)).collect()
+    assert {r.id: r.truth for r in got} == {i: plain(every, p) for i, p in paths}
+    assert tr.label_by_fragment(media, "path", truth.where("false")).where("truth IS NOT NULL").count() == 0

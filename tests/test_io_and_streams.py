@@ -68,6 +68,31 @@ def test_bank_reuse_depends_on_hash_and_fingerprint(spark, tmp_path):
     assert {r.fingerprint for r in spark.read.parquet(bank).select("fingerprint").collect()} == {"v1", "v2"}
 
 
+def test_bank_grows_by_what_is_new(spark, tmp_path):
+    """A call writes new and relabelled rows only; the newest row of a content is read; compaction changes no row."""
+    bank = str(tmp_path / "bank")
+    samples = lambda *rows: spark.createDataFrame(list(rows), "sample_id long, label int, sha256 string")
+    calls = []
+
+    def extract(rows):
+        calls.append(rows.count())
+        return rows.withColumns({"embedding": F.array(C("sample_id").cast("float")), "measured": F.array([F.lit(float(k)) for k in range(12)])})
+
+    files = lambda: {str(p) for p in (tmp_path / "bank").rglob("*.parquet")}
+    sk.feature_bank_upsert(samples(*[(i, i % 2, f"h{i}") for i in range(500)]), bank, "v1", extract)
+    before = files()
+    got = sk.feature_bank_upsert(samples(*[(i, i % 2, f"h{i}") for i in range(501)]), bank, "v1", extract).first().asDict()
+    assert got == {"processed": 501, "reused": 500} and calls == [500, 1] and len(files() - before) == 1 and before <= files()
+    got = sk.feature_bank_upsert(samples((7, 0, "h7"), (8, 0, "h8")), bank, "v1", extract).first().asDict()
+    assert got == {"processed": 2, "reused": 2} and calls[-1] == 0
+    held = {r.sha256: (r.sample_id, r.label, r.embedding[0], len(r.measured)) for r in sk.read_bank(spark, bank).collect()}
+    assert len(held) == 501 and held["h7"] == (7, 0, 7.0, 12) and held["h9"] == (9, 1, 9.0, 12)
+    old = files()
+    sk.compact_bank(spark, bank)
+    assert {r.sha256: (r.sample_id, r.label, r.embedding[0], len(r.measured)) for r in sk.read_bank(spark, bank).collect()} == held
+    assert not old & files() and spark.read.parquet(bank).count() == 501
+
+
 def test_failing_check_is_isolated(spark):
     reg = CheckRegistry()
     media = spark.createDataFrame([(1,), (2,)], "media_id long")
@@ -113,6 +138,23 @@ def test_stream_scoring_resumes(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(10))
 
 
+def test_stream_scoring_keeps_error_rows(spark, tmp_path):
+    from candorframe.operators.checks import score_files
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(20).coalesce(1).write.parquet(src)
+
+    def scorer(row):
+        if row["id"] % 7 == 3:
+            raise OSError("gone")
+        return {"label": "AI", "ai_percentage": float(row["id"])}
+
+    stream = spark.readStream.schema("id long").parquet(src)
+    st.stream_scoring(stream, lambda d: score_files(d, scorer, key="id"), out, str(tmp_path / "state")).awaitTermination()
+    got = {r.id: (r.success, r.error) for r in spark.read.parquet(out).collect()}
+    assert got == {i: (False, "OSError: gone") if i % 7 == 3 else (True, None) for i in range(20)}
+
+
 def test_fresh_checkpoint_neither_overwrites_nor_recounts(spark, tmp_path):
     src, store = str(tmp_path / "in"), str(tmp_path / "store")
     feedback(spark, [(1, "a", "AI\t", "image", 1.0, 1.0, None, 1.0), (2, "b", "real", "image", 1.0, 1.0, None, 1.0)]).coalesce(1).write.parquet(src)
