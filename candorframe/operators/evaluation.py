@@ -57,12 +57,11 @@ def benchmark(df: DataFrame) -> DataFrame:
         F.count_if(~ok).alias("failed"),
         F.round(F.avg(F.when(ok, F.col("latency_s"))), 3).alias("mean_latency_s"),
     )
-    late = exact_quantiles(scored, [], "latency_s", {"p95": 0.95}).select(F.round("p95", 3).alias("p95_latency_s"))
-    auc = roc_auc(scored, "p_ai_pct", "truth").select(F.round("auc", 4).alias("roc_auc"))
+    ranked = _ranked_values(scored).select(F.round("p95", 3).alias("p95_latency_s"), F.round("auc", 4).alias("roc_auc"))
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     decided = tp + fp + tn + fn
     one = F.lit(1).alias("_one")
-    joined = base.withColumn("_one", one).join(late.withColumn("_one", one), "_one", "left").join(auc.withColumn("_one", one), "_one", "left")
+    joined = base.withColumn("_one", one).join(ranked.withColumn("_one", one), "_one", "left")
     return joined.select(
         "files", "scored", decided.alias("decided"), "abstained", "failed", "tp", "fp", "tn", "fn",
         ratio(decided, F.col("files")).alias("coverage"),
@@ -74,6 +73,29 @@ def benchmark(df: DataFrame) -> DataFrame:
     )
 
 
+def _ranked_values(scored: DataFrame, quantile: float = 0.95) -> DataFrame:
+    """One row (auc, p95): scores and latencies are counted by value in one pass and ranked in one sort, as two kinds of values."""
+    pos, neg = F.col("truth") == 1, F.col("truth") == 0
+    kinds = F.array(
+        F.struct(F.lit("score").alias("kind"), F.when(pos | neg, F.col("p_ai_pct").cast("double")).alias("v"), pos.cast("bigint").alias("p"), neg.cast("bigint").alias("q")),
+        F.struct(F.lit("late").alias("kind"), F.nanvl(F.col("latency_s").cast("double"), F.lit(None)).alias("v"), F.lit(1).cast("bigint").alias("p"), F.lit(0).cast("bigint").alias("q")),
+    )
+    counts = scored.select(F.explode(kinds).alias("k")).select("k.*").where("v IS NOT NULL").groupBy("kind", "v").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    below = prefix_scan(counts, ["kind"], ["v"], sums={"p_below": F.col("p"), "q_below": F.col("q")}, totals=True)
+    score, late = F.col("kind") == "score", F.col("kind") == "late"
+    rank = F.lit(quantile) * (F.col("total_p_below") - 1)
+    low, end = F.floor(rank), F.col("p_below") + F.col("p")
+    high = F.least(low + 1, F.col("total_p_below") - 1)
+    holds = lambda at: late & (F.col("p_below") <= at) & (at < end)
+    got = below.agg(
+        F.sum(F.when(score, F.col("p"))).alias("n_pos"), F.sum(F.when(score, F.col("q"))).alias("n_neg"),
+        F.sum(F.when(score, F.col("p") * (F.col("q_below").cast("double") + F.col("q") / 2))).alias("won"),
+        F.max(F.when(holds(low), F.col("v"))).alias("a"), F.max(F.when(holds(high), F.col("v"))).alias("b"), F.max(F.when(late, rank - low)).alias("share"),
+    )
+    auc = F.col("won") / F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0))
+    return got.select(auc.alias("auc"), (F.col("a") + (F.col("b") - F.col("a")) * F.col("share")).alias("p95"))
+
+
 def _pairs(df: DataFrame, label: str, pct: str) -> DataFrame:
     p = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col(pct))) / 100
     return df.select(
