@@ -1,11 +1,13 @@
 """Nearest neighbours by inner product from randomly rotated one-bit codes.
 
-A vector, less the mean of all, is put into a space of more dimensions and rotated at random; the signs of the result are its code. With three
-scalars (length, how well the signs point along the vector, product with the mean) the code gives an estimate of every inner product and an
-error bound that holds with high probability. A query reranks exactly those vectors whose upper bound reaches its k-th lower bound.
-
-Queries and vectors meet in tiles of bounded size: a block of queries against a block of vectors. A tile returns its k best per query, so what
-is merged is k rows per query and block.
+A vector, less the mean of all, is put into a space of more dimensions and rotated at random; the signs of the result are its code, packed into
+64-bit words. With three scalars (length, how well the signs point along the vector, product with the mean) the code gives an estimate of every
+inner product and an error bound that holds with high probability. A query is rotated as well and rounded to a few bit planes, so the product of
+its plane with a code is a count of common bits.
+
+Queries and codes meet in tiles of bounded size: a block of queries against a block of codes. A tile returns, per query, the codes whose upper
+bound reaches the k-th lower bound there; what still reaches the k-th lower bound of all tiles is reranked, and only then are vectors fetched.
+Equal vectors are one code with their k + 1 smallest ids, which is all that a query can need of them.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from candorframe.llm.vectors import dimension, matrix, packed, unpacked, usable
 EXPANSION = 4
 #: Width of the error bound in standard deviations of the estimate.
 SIGMAS = 3.0
+#: Bit planes that a rotated query is rounded to.
+PLANES = 6
 QUERY_BLOCK, VECTOR_BLOCK = 2_048, 32_768
-CODED = "vec_id bigint, code binary, length double, along double, centred double, vector binary"
+CODED = "first bigint, mark bigint, ids array<bigint>, n int, code binary, length double, along double, centred double, vector binary"
 
 
 def rotation(dim: int) -> np.ndarray:
@@ -46,20 +50,43 @@ def encode(x: np.ndarray, mean: np.ndarray, rotate: np.ndarray) -> tuple[np.ndar
     return np.packbits(turned > 0, axis=1), length, np.where(length > 0, along, 1.0), x @ mean
 
 
-def index(vectors: DataFrame, dim: int, mean: np.ndarray) -> DataFrame:
-    """Codes of all usable vectors, with the vectors in double precision; rows that repeat id and vector are one before they take places in a tile."""
+def planes(turned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(planes, low, step): rows rounded to ``PLANES`` bits, as packed words (rows, planes, words); a component is about low + step * its number."""
+    low = turned.min(axis=1)
+    step = np.maximum(turned.max(axis=1) - low, 1e-300) / ((1 << PLANES) - 1)
+    number = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    bits = np.stack([np.packbits((number >> k) & 1, axis=1) for k in range(PLANES)], axis=1)
+    return np.ascontiguousarray(bits).view(np.uint64), low, step
+
+
+def bit_products(query: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """(queries, codes): sum of a query's numbers over the set bits of a code, by counting common bits plane by plane."""
+    out = np.zeros((len(query), len(codes)), np.int32)
+    for k in range(query.shape[1]):
+        common = np.zeros(out.shape, np.int32)
+        for w in range(codes.shape[1]):
+            common += np.bitwise_count(query[:, k, w, None] & codes[None, :, w])
+        out += common << k
+    return out
 
+
+def index(vectors: DataFrame, dim: int, mean: np.ndarray, k: int) -> DataFrame:
+    """One row per distinct usable vector: its smallest id and a hash of it (together its name), its k + 1 smallest ids, its code, and the vector."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotate = rotation(dim)
         for batch in batches:
             x = matrix(batch.column("embedding"), dim)
             codes, length, along, centred = encode(x, mean, rotate)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), packed(codes), pa.array(length), pa.array(along), pa.array(centred), packed(x)],
-                names=["vec_id", "code", "length", "along", "centred", "vector"],
+                [*(batch.column(c) for c in ("first", "mark", "ids", "n")), packed(codes), pa.array(length), pa.array(along), pa.array(centred), packed(x)],
+                names=["first", "mark", "ids", "n", "code", "length", "along", "centred", "vector"],
             )
 
-    return usable(vectors, dim).distinct().mapInArrow(run, CODED)
+    place = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
+    few = usable(vectors, dim).distinct().withColumn("_n", place).where(F.col("_n") <= k + 1)
+    one = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
+    named = one.select(F.get("ids", F.lit(0)).alias("first"), F.xxhash64("embedding").alias("mark"), "ids", F.size("ids").alias("n"), "embedding")
+    return named.mapInArrow(run, CODED)
 
 
 def nearest(vectors: DataFrame, queries: str, k: int = 20) -> DataFrame:
@@ -80,47 +107,57 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20) -> DataFrame:
         return nothing
     stats = use.select(Summarizer.metrics("mean").summary(array_to_vector(F.col("embedding").cast("array<double>"))).alias("s")).select("s.mean").first()
     mean = np.array(stats["mean"].toArray())
-    coded = stage(index(vectors, dim, mean), "codes")
-    asked = coded.where(queries)
+    coded = stage(index(vectors, dim, mean, k), "codes")
+    asked = stage(use.where(queries).distinct().select(F.col("vec_id").alias("query_id"), F.xxhash64("embedding").alias("of"), F.col("embedding").cast("array<double>").alias("question")), "asked")
     n_blocks = max(1, -(-coded.count() // VECTOR_BLOCK))
     q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    of = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    # Each block of queries goes to every block of vectors and back: a stated query set against all rows, in tiles.
-    q = asked.select("*", F.lit(True).alias("asked"), of(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("vb"))
-    v = coded.select("*", F.lit(False).alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"), of(n_blocks).alias("vb"))
-
-    def tile(table: pa.Table) -> pa.Table:
-        asked_rows = table.column("asked").to_numpy(zero_copy_only=False)
-        mine, theirs = table.filter(pa.array(asked_rows)), table.filter(pa.array(~asked_rows))
-        out: list[list] = [[], [], []]
+    # Each block of queries goes to every block of codes and back: a stated query set against all rows, in tiles.
+    q = asked.withColumns({"qb": F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"), "vb": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))})
+    v = coded.select("first", "mark", "n", "code", "length", "along", "centred").withColumns({"vb": F.pmod(F.xxhash64("first", "mark"), F.lit(n_blocks)).cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))})
+
+    def tile(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(6)]
         if mine.num_rows and theirs.num_rows:
             rotate = rotation(dim)
-            qid, q_vec = mine.column("vec_id").to_numpy(), unpacked(mine.column("vector"), np.float64, dim)
-            vid, v_vec = theirs.column("vec_id").to_numpy(), unpacked(theirs.column("vector"), np.float64, dim)
-            length, along, centred = (theirs.column(c).to_numpy() for c in ("length", "along", "centred"))
             bits = rotate.shape[0]
-            signs = np.unpackbits(unpacked(theirs.column("code"), np.uint8, bits // 8), axis=1).astype(np.float32) * 2 - 1
+            qid, of, question = mine.column("query_id").to_numpy(), mine.column("of").to_numpy(), matrix(mine.column("question").combine_chunks(), dim)
+            first, mark, n, length, along, centred = (theirs.column(c).to_numpy() for c in ("first", "mark", "n", "length", "along", "centred"))
+            codes = unpacked(theirs.column("code"), np.uint64, bits // 64)
+            ones = np.bitwise_count(codes).sum(axis=1).astype(float)
             scale = length / np.maximum(along, 1e-9) / math.sqrt(bits)
             slack = length * np.sqrt(np.maximum(1 - along**2, 0) / (bits - 1)) / np.maximum(along, 1e-9) * SIGMAS
-            for at in range(0, len(qid), 128):
-                part = q_vec[at : at + 128]
+            for at in range(0, len(qid), 64):
+                part = question[at : at + 64]
                 d = part - mean
-                guess = ((d @ rotate.T).astype(np.float32) @ signs.T) * scale + centred + (part @ mean - mean @ mean)[:, None]
-                wide = np.sqrt((d * d).sum(axis=1))[:, None] * slack + 1e-5 * (1 + np.abs(guess))
-                own = qid[at : at + 128, None] == vid[None, :]
-                low = np.where(own, -np.inf, guess - wide)
-                reach = np.partition(low, -k, axis=1)[:, -k] if len(vid) >= k else np.full(len(part), -np.inf)
-                hit = ~own & (guess + wide >= reach[:, None])
-                for i, row in enumerate(hit):
-                    near = np.flatnonzero(row)
-                    score = v_vec[near] @ part[i]
-                    best = np.lexsort((vid[near], -score))[:k]
-                    out[0].append(np.full(len(best), qid[at + i]))
-                    out[1].append(vid[near][best])
-                    out[2].append(score[best])
-        kinds = (np.int64, np.int64, np.float64)
-        return pa.table([pa.array(np.concatenate(c).astype(t) if c else np.empty(0, t)) for c, t in zip(out, kinds)], names=["query_id", "vec_id", "score"])
-
-    found = q.unionByName(v).groupBy("qb", "vb").applyInArrow(tile, "query_id bigint, vec_id bigint, score double")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                turned = d @ rotate.T
+                words, low, step = planes(turned)
+                # The product with the signs: twice that with the set bits, less the sum of all.
+                signed = 2 * (step[:, None] * bit_products(words, codes) + low[:, None] * ones) - turned.sum(axis=1)[:, None]
+                guess = signed * scale + centred + (part @ mean - mean @ mean)[:, None]
+                rounded = SIGMAS * step * math.sqrt(bits / 12)
+                wide = np.sqrt((d * d).sum(axis=1))[:, None] * slack + rounded[:, None] * scale + 1e-5 * (1 + np.abs(guess))
+                own = (qid[at : at + 64, None] == first[None, :]) & (n == 1)
+                least = np.where(own, -np.inf, guess - wide)
+                reach = np.partition(least, -k, axis=1)[:, -k] if len(first) >= k else np.full(len(part), -np.inf)
+                i, j = np.nonzero(~own & (guess + wide >= reach[:, None]))
+                for c, x in zip(out, (qid[at + i], of[at + i], first[j], mark[j], least[i, j], (guess + wide)[i, j])):
+                    c.append(x)
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
+        return pa.table([pa.array(np.concatenate(c).astype(t) if c else np.empty(0, t)) for c, t in zip(out, kinds)], names=["query_id", "of", "first", "mark", "low", "high"])
+
+    met = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(tile, "query_id bigint, of bigint, first bigint, mark bigint, low double, high double")
+    query = W.partitionBy("query_id", "of")
+    place = F.row_number().over(query.orderBy(F.desc("low"), "first", "mark"))
+    reach = F.coalesce(F.max(F.when(F.col("_n") == k, F.col("low"))).over(query), F.lit(float("-inf")))
+    left = stage(met.withColumn("_n", place).withColumn("_reach", reach).where("high >= _reach").select("query_id", "of", "first", "mark"), "candidates")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.einsum("ij,ij->i", matrix(batch.column("question"), dim), unpacked(batch.column("vector"), np.float64, dim))
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("of"), batch.column("ids"), pa.array(score)], names=["query_id", "of", "ids", "score"])
+
+    full = left.join(coded.select("first", "mark", "ids", "vector"), ["first", "mark"]).join(asked, ["query_id", "of"])
+    scored = full.select("query_id", "of", "ids", "question", "vector").mapInArrow(rerank, "query_id bigint, of bigint, ids array<bigint>, score double")
+    found = scored.select("query_id", "of", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    best = F.row_number().over(query.orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
