@@ -72,30 +72,26 @@ BRANDS = {
     "gopro": ["gopro"],
 }
 
-# Generator canvas sizes.
+# Generator canvas sizes, width and height.
 CANVAS_SIZES = [
-    "512x512", "768x768", "1024x1024", "1024x1792", "1792x1024", "896x1152", "1152x896", "896x1200", "1200x896", "1344x768", "768x1344", "1536x1024",
-    "1024x1536", "1216x832", "832x1216", "1408x704", "704x1408", "1280x720", "720x1280", "1440x960", "960x1440", "1920x1080", "1080x1920",
-]
-
-# Screen sizes by device.
-SCREEN_SIZES = {
-    "Mobile Phone": [
-        "1080x2400", "1080x2340", "1080x1920", "1170x2532", "1179x2556", "1290x2796", "1284x2778", "1242x2688", "828x1792", "750x1334", "1440x3120",
-        "1440x3088", "1440x3200", "720x1600", "720x1560",
-    ],
-    "Tablet": ["2048x1536", "2732x2048", "2388x1668", "2360x1640"],
-    "Tablet / Laptop": ["2560x1600", "1920x1200", "2880x1920"],
-    "Laptop / Desktop": ["1920x1080", "1600x900"],
-    "Desktop / Laptop": ["2560x1440"],
-    "Desktop": ["3840x2160", "2560x1080", "3440x1440"],
-    "Laptop": ["1366x768", "2880x1800", "3024x1964", "3456x2234"],
-    "Laptop / Monitor": ["1280x720"],
-}
+    (512, 512), (768, 768), (1024, 1024), (1024, 1792), (1792, 1024), (896, 1152), (1152, 896), (896, 1200), (1200, 896), (1344, 768), (768, 1344), (1536, 1024), (1024, 1536),
+    (1216, 832), (832, 1216), (1408, 704), (704, 1408), (1280, 720), (720, 1280), (1440, 960), (960, 1440), (1920, 1080), (1080, 1920),
+]
+
+# Screen sizes, width and height, and the device that has them.
+SCREEN_SIZES = [
+    (1080, 2400, "Mobile Phone"), (1080, 2340, "Mobile Phone"), (1080, 1920, "Mobile Phone"), (1170, 2532, "Mobile Phone"), (1179, 2556, "Mobile Phone"),
+    (1290, 2796, "Mobile Phone"), (1284, 2778, "Mobile Phone"), (1242, 2688, "Mobile Phone"), (828, 1792, "Mobile Phone"), (750, 1334, "Mobile Phone"),
+    (1440, 3120, "Mobile Phone"), (1440, 3088, "Mobile Phone"), (1440, 3200, "Mobile Phone"), (720, 1600, "Mobile Phone"), (720, 1560, "Mobile Phone"),
+    (2048, 1536, "Tablet"), (2732, 2048, "Tablet"), (2388, 1668, "Tablet"), (2360, 1640, "Tablet"), (2560, 1600, "Tablet / Laptop"), (1920, 1200, "Tablet / Laptop"),
+    (2880, 1920, "Tablet / Laptop"), (1920, 1080, "Laptop / Desktop"), (2560, 1440, "Desktop / Laptop"), (3840, 2160, "Desktop"), (1366, 768, "Laptop"),
+    (1600, 900, "Laptop / Desktop"), (1280, 720, "Laptop / Monitor"), (2880, 1800, "Laptop"), (3024, 1964, "Laptop"), (3456, 2234, "Laptop"), (2560, 1080, "Desktop"),
+    (3440, 1440, "Desktop"),
+]
 
 # Re-encoding and reliability limits.
 PLATFORM_EDGES = [720, 960, 1080, 1280, 1440, 1600, 2048]
-PLATFORM_VIDEO_SIZES = ["1080x1920", "720x1280", "1920x1080", "1280x720", "640x360", "854x480", "480x854", "360x640"]
+PLATFORM_VIDEO_SIZES = [(1080, 1920), (720, 1280), (1920, 1080), (1280, 720), (640, 360), (854, 480), (480, 854), (360, 640)]
 LOSSY_AUDIO = ["mp3", "aac", "ogg", "m4a"]
 
 
@@ -135,13 +131,18 @@ def tools_named(text: Column) -> Column:
     )
 
 
-def _size(w: Column, h: Column) -> Column:
-    return F.concat(w.cast("string"), F.lit("x"), h.cast("string"))
+def _pair(w: Column, h: Column) -> Column:
+    return F.when(w.isNotNull() & h.isNotNull(), F.struct(w.cast("bigint").alias("w"), h.cast("bigint").alias("h")))
+
+
+def _is_size(w: Column, h: Column, sizes: list[tuple[int, int]]) -> Column:
+    """Width and height together are one of ``sizes``."""
+    return _pair(w, h).isin([_pair(F.lit(a), F.lit(b)) for a, b in sizes])
 
 
 def canonical_canvas(w: Column, h: Column, has_camera: Column, is_scanned: Column) -> Column:
     """struct(is_canonical, is_square, term): a generator canvas adds 0.45 when there is no camera and no scan."""
-    canonical = _size(w, h).isin(CANVAS_SIZES)
+    canonical = _is_size(w, h, CANVAS_SIZES)
     square = (w == h) & w.isin(512, 768, 1024, 1536, 2048)
     return F.struct(
         canonical.alias("is_canonical"), square.alias("is_square"), F.when((canonical | square) & ~has_camera & ~is_scanned, 0.45).alias("term")
@@ -150,9 +151,8 @@ def canonical_canvas(w: Column, h: Column, has_camera: Column, is_scanned: Colum
 
 def screen_device(w: Column, h: Column) -> Column:
     """Device named by the exact size in either orientation, else by aspect band and orientation, else 'None'."""
-    pairs = [F.lit(x) for device, sizes in SCREEN_SIZES.items() for size in sizes for x in (size, device)]
-    table = F.create_map(*pairs)
-    exact = F.coalesce(F.element_at(table, _size(w, h)), F.element_at(table, _size(h, w)))
+    table = F.create_map(*[x for a, b, device in SCREEN_SIZES for x in (_pair(F.lit(a), F.lit(b)), F.lit(device))])
+    exact = F.coalesce(F.try_element_at(table, _pair(w, h)), F.try_element_at(table, _pair(h, w)))
     ratio = F.greatest(w, h) / F.greatest(F.lit(1.0), F.least(w, h).cast("double"))
     guess = (
         F.when(ratio.between(1.75, 2.35) & (h > w), "Mobile Phone")
@@ -269,8 +269,7 @@ def bits_per_pixel(c: dict[str, Column]) -> Column:
 def reencode_video(c: dict[str, Column]) -> Column:
     """``c``: w, h, fps, duration_s, size_bytes, is_isobmff, faststart, software_encoder, metadata_stripped."""
     bpp = bits_per_pixel(c)
-    size = _size(c["w"], c["h"])
-    platform = size.isin(PLATFORM_VIDEO_SIZES) & ((c["h"] > c["w"]) | size.isin("640x360", "854x480"))
+    platform = _is_size(c["w"], c["h"], PLATFORM_VIDEO_SIZES) & ((c["h"] > c["w"]) | _is_size(c["w"], c["h"], [(640, 360), (854, 480)]))
     return _scored(
         [
             ((bpp > 0) & (bpp < 0.05), 0.30, "very_low_bitrate"),
