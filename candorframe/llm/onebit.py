@@ -5,9 +5,10 @@ A vector, less the mean of all, is put into a space of more dimensions and rotat
 inner product and an error bound that holds with high probability. A query is rotated as well and rounded to a few bit planes, so the product of
 its plane with a code is a count of common bits.
 
-Queries and codes meet in tiles of bounded size: a block of queries against a block of codes. A tile returns, per query, the codes whose upper
-bound reaches the k-th lower bound there; what still reaches the k-th lower bound of all tiles is reranked, and only then are vectors fetched.
-Equal vectors are one code with their k + 1 smallest ids, which is all that a query can need of them.
+Queries and codes meet in tiles of bounded size: a block of queries against a block of codes with their vectors. In a tile the vectors whose upper
+bound reaches the query's k-th lower bound are reranked, and the k best per query leave it. (Fetching the vectors of what is left afterwards costs
+more than it saves: with honest bounds a query reranks a tenth or more of a small table.) Equal vectors are one code with their k + 1 smallest ids,
+which is all that a query can need of them.
 """
 
 from __future__ import annotations
@@ -113,15 +114,17 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20) -> DataFrame:
     q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     # Each block of queries goes to every block of codes and back: a stated query set against all rows, in tiles.
     q = asked.withColumns({"qb": F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"), "vb": F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))})
-    v = coded.select("first", "mark", "n", "code", "length", "along", "centred").withColumns({"vb": F.pmod(F.xxhash64("first", "mark"), F.lit(n_blocks)).cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))})
+    v = coded.withColumns({"vb": F.pmod(F.xxhash64("first", "mark"), F.lit(n_blocks)).cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))})
 
     def tile(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(4)]
         if mine.num_rows and theirs.num_rows:
             rotate = rotation(dim)
             bits = rotate.shape[0]
             qid, of, question = mine.column("query_id").to_numpy(), mine.column("of").to_numpy(), matrix(mine.column("question").combine_chunks(), dim)
-            first, mark, n, length, along, centred = (theirs.column(c).to_numpy() for c in ("first", "mark", "n", "length", "along", "centred"))
+            first, n, length, along, centred = (theirs.column(c).to_numpy() for c in ("first", "n", "length", "along", "centred"))
+            ids, x = theirs.column("ids").combine_chunks().flatten().to_numpy(), unpacked(theirs.column("vector"), np.float64, dim)
+            start = np.concatenate([[0], np.cumsum(n)])
             codes = unpacked(theirs.column("code"), np.uint64, bits // 64)
             ones = np.bitwise_count(codes).sum(axis=1).astype(float)
             scale = length / np.maximum(along, 1e-9) / math.sqrt(bits)
@@ -139,25 +142,23 @@ def nearest(vectors: DataFrame, queries: str, k: int = 20) -> DataFrame:
                 own = (qid[at : at + 64, None] == first[None, :]) & (n == 1)
                 least = np.where(own, -np.inf, guess - wide)
                 reach = np.partition(least, -k, axis=1)[:, -k] if len(first) >= k else np.full(len(part), -np.inf)
-                i, j = np.nonzero(~own & (guess + wide >= reach[:, None]))
-                for c, x in zip(out, (qid[at + i], of[at + i], first[j], mark[j], least[i, j], (guess + wide)[i, j])):
-                    c.append(x)
-        kinds = (np.int64, np.int64, np.int64, np.int64, np.float64, np.float64)
-        return pa.table([pa.array(np.concatenate(c).astype(t) if c else np.empty(0, t)) for c, t in zip(out, kinds)], names=["query_id", "of", "first", "mark", "low", "high"])
-
-    met = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(tile, "query_id bigint, of bigint, first bigint, mark bigint, low double, high double")
-    query = W.partitionBy("query_id", "of")
-    place = F.row_number().over(query.orderBy(F.desc("low"), "first", "mark"))
-    reach = F.coalesce(F.max(F.when(F.col("_n") == k, F.col("low"))).over(query), F.lit(float("-inf")))
-    left = stage(met.withColumn("_n", place).withColumn("_reach", reach).where("high >= _reach").select("query_id", "of", "first", "mark"), "candidates")
-
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = np.einsum("ij,ij->i", matrix(batch.column("question"), dim), unpacked(batch.column("vector"), np.float64, dim))
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("of"), batch.column("ids"), pa.array(score)], names=["query_id", "of", "ids", "score"])
-
-    full = left.join(coded.select("first", "mark", "ids", "vector"), ["first", "mark"]).join(asked, ["query_id", "of"])
-    scored = full.select("query_id", "of", "ids", "question", "vector").mapInArrow(rerank, "query_id bigint, of bigint, ids array<bigint>, score double")
-    found = scored.select("query_id", "of", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
-    best = F.row_number().over(query.orderBy(F.desc("score"), "vec_id"))
+                hit = ~own & (guess + wide >= reach[:, None])
+                for i, row in enumerate(hit):
+                    near = np.flatnonzero(row)
+                    score = x[near] @ part[i]
+                    if len(near) > k:  # with every vector that is as near as the k-th
+                        best = score >= np.partition(score, -k)[-k]
+                        near, score = near[best], score[best]
+                    who = np.concatenate([ids[start[j] : start[j + 1]] for j in near]) if len(near) else np.empty(0, np.int64)
+                    score = np.repeat(score, n[near])
+                    other = who != qid[at + i]
+                    who, score = who[other], score[other]
+                    best = np.lexsort((who, -score))[:k]
+                    for c, y in zip(out, (np.full(len(best), qid[at + i]), np.full(len(best), of[at + i]), who[best], score[best])):
+                        c.append(y)
+        kinds = (np.int64, np.int64, np.int64, np.float64)
+        return pa.table([pa.array(np.concatenate(c).astype(t) if c else np.empty(0, t)) for c, t in zip(out, kinds)], names=["query_id", "of", "vec_id", "score"])
+
+    found = q.groupBy("qb", "vb").cogroup(v.groupBy("qb", "vb")).applyInArrow(tile, "query_id bigint, of bigint, vec_id bigint, score double")
+    best = F.row_number().over(W.partitionBy("query_id", "of").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
