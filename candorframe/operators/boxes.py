@@ -70,7 +70,8 @@ def match_annotations(subjects: DataFrame, truth: DataFrame) -> DataFrame:
     """``truth`` (image_id, ann_id, fx0..fy1, px0..py1 NULL without a person) with the matched subject_id, NULL when there is none.
 
     ``subjects``: image_id, subject_id, face x/y/w/h as fx, fy, fw, fh (NULL without a face), person as px, py, pw, ph. The nearest face
-    centre inside the grown annotated face wins; else the best person overlap of at least one half.
+    centre inside the grown annotated face wins; else the best person overlap of at least one half. Costs that agree on nine decimals are equal
+    and go to the lowest subject_id.
     """
     gw, gh = (C("fx1") - C("fx0")) * FACE_GROW, (C("fy1") - C("fy0")) * FACE_GROW
     grown = truth.select(
@@ -87,7 +88,7 @@ def match_annotations(subjects: DataFrame, truth: DataFrame) -> DataFrame:
     by_person = overlap_pairs(told, people, ["subject_id"]).where(C("iou") >= MATCH_IOU).select(
         "image_id", C("a_subject_id").alias("ann_id"), F.lit(1).alias("tier"), (-C("iou")).alias("cost"), C("b_subject_id").alias("subject_id")
     )
-    best = by_face.unionByName(by_person).groupBy("image_id", "ann_id").agg(F.min(F.struct("tier", "cost", "subject_id")).alias("m"))
+    best = by_face.unionByName(by_person).groupBy("image_id", "ann_id").agg(F.min(F.struct("tier", F.round("cost", 9).alias("cost"), "subject_id")).alias("m"))
     return truth.select("image_id", "ann_id").join(best, ["image_id", "ann_id"], "left").select(
         "image_id", "ann_id", C("m.subject_id").alias("subject_id"), F.when(C("m.tier") == 0, "face").when(C("m.tier") == 1, "person").alias("matched_by")
     )
