@@ -6,7 +6,8 @@ it meets a window, and only matches leave the task. A longer one can only match
 the sum is above it), so all other pairs of recordings end there too; partial counts per offset are written for what is left.
 
 Video: a clip of n frames that needs t matches must meet a reference on the n - t + 1 of its frames that the fewest references have. Candidates
-come from those frames only; frames that everything shares (black, titles) never pair clips with references by themselves.
+come from those frames only; frames that everything shares (black, titles) never pair clips with references by themselves. Before that, clips of
+few frames of which n - t + 1, whichever they are, have no near reference hash at all are put aside: most clips match nothing.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candorframe.operators.hamming import hamming_pairs
+from candorframe.operators.hamming import hamming_pairs, may_have_near
 from candorframe.operators.ordering import prefix_scan
 from candorframe.session import durable
 
@@ -28,6 +29,9 @@ C = F.col
 VIDEO_MATCH_BITS, VIDEO_MIN_FRAMES, VIDEO_MIN_SHARE = 8, 4, 0.5
 AUDIO_MATCH_BER, AUDIO_MIN_OVERLAP, AUDIO_SHORTEST = 0.30, 100, 20
 
+#: Clips of at most so many frames are first asked for any near reference hash.
+SHORT_CLIP = 64
+
 #: Frames of a query piece; a reference window has twice as many.
 PIECE = 1_024
 #: Pieces and windows that meet in one task, and how many of each are transformed at a time.
@@ -172,14 +176,27 @@ def _long_matches(pairs: DataFrame, pieces: DataFrame, windows: DataFrame, piece
     return enough.groupBy("q", "r").agg(F.min(C("e") / (C("f") * 32.0)).alias("ber")).where(C("ber") <= AUDIO_MATCH_BER)
 
 
+def _worth_matching(query: DataFrame, index: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The frames of ``query`` without the clips that cannot match: those of at most ``SHORT_CLIP`` frames none of whose first n - need + 1 frames
+    (in the order of the hashes) has a reference hash within the distance."""
+    frames = query.where("hash IS NOT NULL").select("clip_id", "hash").join(sizes, "clip_id")
+    at = F.row_number().over(Window.partitionBy("clip_id").orderBy("hash"))  # clips of a bounded number of frames
+    asked = frames.where(C("n") <= SHORT_CLIP).withColumn("_at", at).where(C("_at") <= C("n") - C("need") + 1).select("clip_id", "hash")
+    clips = asked.join(may_have_near(asked, index, VIDEO_MATCH_BITS), "hash").select("clip_id").distinct()
+    clips = durable(clips.unionByName(sizes.where(C("n") > SHORT_CLIP).select("clip_id")))
+    return query.join(clips, "clip_id", "left_semi")
+
+
 def video_fingerprint_match(query: DataFrame, index: DataFrame) -> DataFrame:
     """(clip_id, ref_id, frames_matched): at least four and at least half of the clip's frames have a reference hash within eight bits.
 
     Input: clip_id, frame_idx, hash; ref_id, hash. Frames are counted per (clip, hash) before any join.
     """
-    per_hash = query.groupBy("clip_id", "hash").agg(F.count(F.lit(1)).alias("c"))
     sizes = query.groupBy("clip_id").agg(F.count(F.lit(1)).alias("n")).where(C("n") >= VIDEO_MIN_FRAMES)
     sizes = sizes.withColumn("need", F.greatest(F.lit(VIDEO_MIN_FRAMES).cast("bigint"), F.ceil(VIDEO_MIN_SHARE * C("n"))))
+    query = durable(_worth_matching(query, index, sizes))
+    sizes = sizes.join(query.select("clip_id").distinct(), "clip_id", "left_semi")
+    per_hash = query.groupBy("clip_id", "hash").agg(F.count(F.lit(1)).alias("c"))
     refs = index.where("hash IS NOT NULL").select("ref_id", C("hash").alias("hash_b")).distinct()
     pairs = durable(hamming_pairs(query, index, VIDEO_MATCH_BITS).select(C("hash_a").alias("hash"), "hash_b"))
     held = pairs.join(refs.groupBy("hash_b").agg(F.count(F.lit(1)).alias("d")), "hash_b").groupBy("hash").agg(F.sum("d").alias("d"))
