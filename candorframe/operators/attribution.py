@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,8 +79,9 @@ NAMING_SHARE = 0.25
 
 
 def _word(text: Column, names: list[str]) -> Column:
+    """Whether one of the names stands in the lower-cased text as a word. The plain search spares most texts the regex."""
     alternatives = "|".join(re.escape(n) for n in names)
-    return text.rlike(rf"(?<![a-z0-9])(?:{alternatives})(?![a-z0-9])")
+    return reduce(or_, [text.contains(n) for n in names]) & text.rlike(rf"(?<![a-z0-9])(?:{alternatives})(?![a-z0-9])")
 
 
 # Taxonomy states of a camera capture; such an image gets no generator.
@@ -96,9 +99,21 @@ def _chain(conditions: list[tuple[Column, str]]) -> list[tuple[Column, str]]:
 
 def _rows(df: DataFrame, cues: list[tuple[Column, str, float]], declared: bool) -> DataFrame:
     """Cue rows (media_id, model_key, weight, declared) of the cues that hold."""
-    each = [F.when(cond, F.struct(F.lit(key).alias("model_key"), F.lit(float(weight)).alias("weight"), F.lit(declared).alias("declared"))) for cond, key, weight in cues]
+    each = [F.when(cond, F.struct(F.lit(key).alias("model_key"), F.lit(float(weight)).alias("weight"))) for cond, key, weight in cues]
+    return _unpacked(df, F.array_compact(F.array(*each)), declared)
+
+
+def _first_named(df: DataFrame, cues: list[tuple[Column, str]]) -> DataFrame:
+    """The cue row of the first condition that holds; no row when none does."""
+    first = F
+    for cond, key in cues:
+        first = first.when(cond, F.struct(F.lit(key).alias("model_key"), F.lit(VENDOR_WEIGHT).alias("weight")))
+    return _unpacked(df, F.array(first), True)
+
+
+def _unpacked(df: DataFrame, held: Column, declared: bool) -> DataFrame:
     # explode_outer keeps Spark from evaluating the whole array of cues once more as a filter.
-    return df.select("media_id", F.explode_outer(F.array(*each)).alias("c")).where("c IS NOT NULL").select("media_id", "c.*")
+    return df.select("media_id", F.explode_outer(held).alias("c")).where("c IS NOT NULL").select("media_id", "c.*", F.lit(declared).alias("declared"))
 
 
 def _image_cues() -> tuple[list[tuple[Column, str, float]], list[tuple[Column, str, float]]]:
@@ -129,11 +144,11 @@ def _image_cues() -> tuple[list[tuple[Column, str, float]], list[tuple[Column, s
 
 def audio_declared(tags: DataFrame) -> DataFrame:
     """Cue rows of what recordings declare. Input: media_id, tag_text, one row per metadata value; each value counts."""
-    text = F.lower(F.coalesce("tag_text", F.lit("")))
+    tags, text = tags.withColumn("_text", F.lower(F.coalesce("tag_text", F.lit("")))), C("_text")
     spoken = [(_word(text, names), key) for names, key in AUDIO_WORDS]
     spoken.insert(4, (_word(text, ["gemini"]) & _word(text, ["audio"]), "google_gemini_audio"))
     spoken.append((_word(text, ["gpt-4o"]) & _word(text, ["voice"]), "openai_voice"))
-    return _rows(tags, [(cond, key, VENDOR_WEIGHT) for cond, key in _chain(spoken)], True)
+    return _first_named(tags, spoken)
 
 
 def audio_signals(media: DataFrame) -> DataFrame:
@@ -150,14 +165,14 @@ def audio_signals(media: DataFrame) -> DataFrame:
 
 def video_declared(tags: DataFrame) -> DataFrame:
     """Cue rows of what clips declare. Input: media_id, vendor_text, one row per container string; each string counts."""
-    text = F.lower(F.coalesce("vendor_text", F.lit("")))
+    tags, text = tags.withColumn("_text", F.lower(F.coalesce("vendor_text", F.lit("")))), C("_text")
     named = []
     for names, key in VIDEO_VENDORS:
         hit = F.lit(False)
         for n in names:
             hit = hit | text.contains(n)
         named.append((hit, key))
-    return _rows(tags, [(cond, key, VENDOR_WEIGHT) for cond, key in _chain(named)], True)
+    return _first_named(tags, named)
 
 
 def video_signals(media: DataFrame) -> DataFrame:
