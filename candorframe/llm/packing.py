@@ -9,10 +9,12 @@ per input chunk plus the total of the chunks before it: no sort of the corpus, a
 
 from __future__ import annotations
 
+import struct
 import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import MEMO_WORDS, stage, texts, wide_rows
+from candorframe.llm.common import stage, texts, wide_rows
 
 CAPACITY = 4096
 #: Lengths are put into this many classes for the fit.
@@ -29,6 +31,12 @@ CLASSES = 192
 #: Most documents of a pattern.
 PARTS = 6
 SLICE = 500
+#: Words of each of a worker's two memos, some 200 bytes each; they only save time.
+MEMO_WORDS = 400_000
+
+
+def _as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordTokens(dict):
@@ -36,11 +44,13 @@ class WordTokens(dict):
 
     A word's ids do not depend on its neighbours: the pre-tokenizer drops white space and no rule reaches across it. ASCII capitals are lower-cased
     first, as the normaliser does. Words of Latin letters are single pre-tokens and go straight to the model; all others take the whole way.
+    A full memo becomes the older one, from which words come back when they are met again, so rare words do not push out the common ones.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -48,16 +58,23 @@ class WordTokens(dict):
         self.letters = [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
     def __missing__(self, word: bytes) -> bytes:
+        known = self.older.get(word)
+        if known is not None:
+            return self._keep(word, known)
         if len(word) > 1 and word[-1] in b".," and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1:]]
         else:
             text = word.decode()
             if text.isalpha() and (text.isascii() or (max(text) < "ɐ" and unicodedata.is_normalized("NFC", text) and "İ" not in text)):
                 seen = "".join(map(self.letters.__getitem__, text.lower().encode())) if not text.isascii() else text
-                ids = np.array([t.id for t in self.model.tokenize(seen)], "<u4").tobytes()
+                ids = _as_bytes([t.id for t in self.model.tokenize(seen)])
             else:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                ids = _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._keep(word, ids)
+
+    def _keep(self, word: bytes, ids: bytes) -> bytes:
         if len(self) >= MEMO_WORDS:
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -66,6 +83,12 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
+@lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    """One for all tasks of a worker process: reading the tokenizer and learning the common words again would cost every task."""
+    return WordTokens(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, chunk, nth): each document's ids and ``end_id``, cut into pieces of at most ``capacity`` ids.
 
@@ -76,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, seen, chunk = WordTokens(tokenizer), [0] * (capacity + 1), TaskContext.get().partitionId()
+        memo, seen, chunk = word_tokens(tokenizer), [0] * (capacity + 1), TaskContext.get().partitionId()
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
