@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from candorframe.llm.common import drop_stage, stage
@@ -25,15 +25,16 @@ def components(edges: DataFrame) -> DataFrame:
         moved = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return _oriented(moved.unionByName(low.select("a", F.col("m").alias("b"))))
 
-    def mark(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+    def kept(e: DataFrame) -> tuple[DataFrame, dict]:
+        """The edges as staged, with their number and digest, which the writing job counts on its way."""
+        mark = Observation()
+        return stage(e.observe(mark, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "stars"), mark.get
 
-    now = stage(_oriented(edges), "stars")
-    seen = mark(now)
+    now, seen = kept(_oriented(edges))
     while True:
-        then = stage(small(large(now)), "stars")
+        then, fresh = kept(small(large(now)))
         drop_stage(now)
-        now, fresh = then, mark(then)
+        now = then
         if fresh == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = fresh
