@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import WordHash, mix64, signed, stage, texts, wide_rows, words
-from candorframe.llm.graph import components
+from candorframe.llm.common import WordHash, free, mix64, signed, stage, texts, wide_rows, words
+from candorframe.llm.graph import components, joined
 
 SHINGLE = 5
 #: Bins, and the most of them in a band; the share of pairs just at the threshold that may meet in no band.
@@ -270,16 +270,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets = stage(full_sets(docs, known.select("node", "doc_id")), "sets")
 
     open_ = member.join(known.select("node", "central"), "node").select("bucket", "node", "central", F.col("node").alias("comp"))
-    links: DataFrame | None = None
+    comps: DataFrame | None = None
     for _ in range(STARS):
         open_ = stage(open_, "open")
-        fresh = stage(_verified(_star(open_), sets, percent), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        open_ = _still_open(open_, stage(components(links), "components"))
+        links = stage(_verified(_star(open_), sets, percent), "links")
+        comps = stage(components(links) if comps is None else joined(comps, links), "components")
+        open_ = _still_open(open_, comps)
+        free(docs.sparkSession)
     open_ = stage(open_, "open")
     if not open_.isEmpty():
-        links = links.unionByName(stage(_tiles(open_, sets, percent), "links"))
-    comps = stage(components(links), "components")
+        comps = stage(joined(comps, stage(_tiles(open_, sets, percent), "links")), "components")
+        free(docs.sparkSession)
     # The smallest document of a component; only linked sets take part, the others stand for themselves.
     tied = nodes.join(comps, "node")
     low = tied.groupBy("root").agg(F.min("doc_id").alias("component_id"))
