@@ -14,7 +14,6 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import stage, texts, wide_rows
+from candorframe.llm.common import left, stage, texts, wide_rows
 
 CAPACITY = 4096
 #: Lengths are put into this many classes for the fit.
@@ -83,10 +82,9 @@ class WordTokens(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-@lru_cache(maxsize=1)
 def word_tokens(path: str) -> WordTokens:
-    """One for all tasks of a worker process: reading the tokenizer and learning the common words again would cost every task."""
-    return WordTokens(path)
+    """One for all tasks of a worker process, until it goes on to another operator: reading the tokenizer and learning the common words again would cost every task."""
+    return left(f"tokens {path}", lambda: WordTokens(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candorframe.llm.common import stage, texts, wide_rows
+from candorframe.llm.common import let_go, stage, texts, wide_rows
 
 FIT_ROWS = 12_000
 BUCKETS = 1_024
@@ -133,6 +133,7 @@ def buckets(joined: np.ndarray) -> np.ndarray:
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
+    let_go()
     return (t or b"" for t in texts(column))
 
 
