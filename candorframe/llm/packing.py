@@ -30,8 +30,12 @@ CLASSES = 192
 #: Most documents of a pattern.
 PARTS = 6
 SLICE = 500
-#: Words of each of a worker's two memos, some 200 bytes each; they only save time.
-MEMO_WORDS = 400_000
+#: Words of each of a worker's two memos, some 200 bytes each; they only save time. An executor of two cores has up to four workers.
+MEMO_WORDS = 174_000
+#: Flags for words met once, a byte each.
+MET = 1 << 21
+#: Signs that the pre-tokenizer parts from the letters before them, and takes as one run.
+SIGNS = b"!#$%&*,.:;?"
 
 
 def _as_bytes(ids: list[int]) -> bytes:
@@ -42,14 +46,17 @@ class WordTokens(dict):
     """Token ids (little-endian unsigned 32-bit) of words between ASCII white space, which this tokenizer never joins.
 
     A word's ids do not depend on its neighbours: the pre-tokenizer drops white space and no rule reaches across it. ASCII capitals are lower-cased
-    first, as the normaliser does. Words of Latin letters are single pre-tokens and go straight to the model; all others take the whole way.
-    A full memo becomes the older one, from which words come back when they are met again, so rare words do not push out the common ones.
+    first, as the normaliser does. Words of Latin letters are single pre-tokens and go straight to the model; ``SIGNS`` after them are a pre-token of
+    their own; all other words take the whole way.
+    A full memo becomes the older one, from which words come back when they are met again, so rare words do not push out the common ones. From then
+    on a new word is kept when it is met a second time: most words of a corpus are met once, and keeping them would take most of the memory.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.older: dict[bytes, bytes] = {}
+        self.met = bytearray(MET)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -60,21 +67,27 @@ class WordTokens(dict):
         known = self.older.get(word)
         if known is not None:
             return self._keep(word, known)
-        if len(word) > 1 and word[-1] in b".," and word[:-1].isalpha():
-            ids = self[word[:-1]] + self[word[-1:]]
+        stem = word.rstrip(SIGNS)
+        text = stem.decode()
+        if not (text.isalpha() and (stem.isascii() or (max(text) < "ɐ" and unicodedata.is_normalized("NFC", text) and "İ" not in text))):
+            ids = _as_bytes(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        elif len(stem) < len(word):
+            ids = self[stem] + self[word[len(stem) :]]
         else:
-            text = word.decode()
-            if text.isalpha() and (text.isascii() or (max(text) < "ɐ" and unicodedata.is_normalized("NFC", text) and "İ" not in text)):
-                seen = "".join(map(self.letters.__getitem__, text.lower().encode())) if not text.isascii() else text
-                ids = _as_bytes([t.id for t in self.model.tokenize(seen)])
-            else:
-                ids = _as_bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            seen = "".join(map(self.letters.__getitem__, text.lower().encode())) if not stem.isascii() else text
+            ids = _as_bytes([t.id for t in self.model.tokenize(seen)])
         return self._keep(word, ids)
 
     def _keep(self, word: bytes, ids: bytes) -> bytes:
+        if self.older and word not in self.older:
+            at = hash(word) & (MET - 1)
+            if not self.met[at]:
+                self.met[at] = 1
+                return ids
         if len(self) >= MEMO_WORDS:
             self.older = dict(self)
             self.clear()
+            self.met = bytearray(MET)
         self[word] = ids
         return ids
 
